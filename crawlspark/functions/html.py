@@ -12,6 +12,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..fixed_values import REMOVED_ELEMENTS
+from .staging import let, record
 from .text import decode_references, strip
 from .urls import raw_path_of, scheme_of
 
@@ -35,62 +36,68 @@ def without_raw_text(html: Column) -> Column:
     return F.regexp_replace(html, COMMENTS_AND_RAW, CUT)
 
 
-def without_nesting_elements(markup: Column) -> Column:
-    """Drop the boilerplate elements, nested ones included.
+def _pieces(markup: Column) -> Column:
+    """Markup cut before each tag of the nesting elements."""
+    return F.split(markup, f"(?i)(?=</?(?:{'|'.join(NESTING_ELEMENTS)}){_END})")
 
-    The page is cut at the tags of these elements only (a handful of pieces), and the pieces
-    are read in order with the stack of open elements: text is kept while the stack is empty.
-    A closing tag closes up to its own opening tag; one without an opening tag is ignored.
+
+def _outside(pieces: Column) -> Column:
+    """Pieces outside the nesting elements, joined.
+
+    The pieces are read in order with the stack of open elements: text is kept while the stack
+    is empty. A closing tag closes up to its own opening tag; one without is ignored.
     """
-    names = "|".join(NESTING_ELEMENTS)
-    pieces = F.split(markup, f"(?i)(?=</?(?:{names}){_END})")
     start = F.struct(
         F.array().cast("array<string>").alias("open"), F.array().cast("array<string>").alias("kept")
     )
 
     def step(acc: Column, piece: Column) -> Column:
-        name = F.lower(F.regexp_extract(piece, f"(?i)^</?({names}){_END}", 1))
-        body = F.regexp_replace(piece, f"(?s)^(?:{TAG})", CUT)
-        depth = F.size(acc["open"])
-        last = depth - F.array_position(F.reverse(acc["open"]), name).cast("int") + 1
-        closing = piece.startswith("</")
-        known = F.array_contains(acc["open"], name)
-        opened = (
-            F.when(name == "", acc["open"])
-            .when(~closing, F.array_append(acc["open"], name))
-            .when(known, F.slice(acc["open"], F.lit(1), last - 1))
-            .otherwise(acc["open"])
-        )
-        shown = F.when(name == "", piece).otherwise(body)
-        return F.struct(
-            opened.alias("open"),
-            F.when(F.size(opened) == 0, F.array_append(acc["kept"], shown))
-            .otherwise(acc["kept"]).alias("kept"),
-        )
+        name = F.lower(F.regexp_extract(piece, f"(?i)^</?({'|'.join(NESTING_ELEMENTS)}){_END}", 1))
+
+        def moved(n: Column) -> Column:
+            last = F.size(acc["open"]) - F.array_position(F.reverse(acc["open"]), n).cast("int") + 1
+            return (
+                F.when(n == "", acc["open"])
+                .when(~piece.startswith("</"), F.array_append(acc["open"], n))
+                .when(F.array_contains(acc["open"], n), F.slice(acc["open"], F.lit(1), last - 1))
+                .otherwise(acc["open"])
+            )
 
-    kept = F.aggregate(pieces, start, step)["kept"]
-    return F.when(F.size(pieces) <= 1, markup).otherwise(F.array_join(kept, ""))
+        def kept(opened: Column) -> Column:
+            shown = F.regexp_replace(piece, f"(?is)^</?(?:{'|'.join(NESTING_ELEMENTS)}){_END}{_ATTRS}", CUT)
+            return F.struct(
+                opened.alias("open"),
+                F.when(F.size(opened) == 0, F.array_append(acc["kept"], shown))
+                .otherwise(acc["kept"]).alias("kept"),
+            )
+
+        return let(let(name, moved), kept)
+
+    return F.array_join(F.aggregate(pieces, start, step)["kept"], "")
 
 
 def clean_markup(html: Column) -> Column:
-    return without_nesting_elements(without_raw_text(html))
+    """Markup without raw text and without the boilerplate elements, nested ones included."""
+    return let(without_raw_text(html), lambda m: let(
+        _pieces(m), lambda p: F.when(F.size(p) <= 1, m).otherwise(_outside(p))))
 
 
 def _first_element(markup: Column, name: str) -> Column:
     """Inner markup of the first `name` element, up to its own closing tag."""
+    opening = f"(?i)<{name}{_END}"
     inner = F.regexp_extract(markup, f"(?is)<{name}{_END}{_ATTRS}(.*)$", 1)
-    parts = F.split(inner, f"(?i)</{name}{_END}[^>]*+>")
 
     def step(acc: Column, part: Column) -> Column:
-        opens = F.regexp_count(part, F.lit(f"(?i)<{name}{_END}"))
+        opens = F.regexp_count(part, F.lit(opening))
         return F.when(acc["depth"] == 0, acc).otherwise(
             F.struct((acc["depth"] + opens - 1).alias("depth"), (acc["n"] + 1).alias("n")))
 
-    taken = F.aggregate(
-        parts, F.struct(F.lit(1).alias("depth"), F.lit(0).alias("n")), step)["n"]
-    nested = F.element_at(parts, 1).rlike(f"(?i)<{name}{_END}")
-    return F.when(nested, F.array_join(F.slice(parts, F.lit(1), taken), CUT)).otherwise(
-        F.element_at(parts, 1))
+    def own(parts: Column) -> Column:
+        taken = F.aggregate(parts, F.struct(F.lit(1).alias("depth"), F.lit(0).alias("n")), step)["n"]
+        first = F.element_at(parts, 1)
+        return F.when(first.rlike(opening), F.array_join(F.slice(parts, F.lit(1), taken), CUT)).otherwise(first)
+
+    return let(F.split(inner, f"(?i)</{name}{_END}[^>]*+>"), own)
 
 
 def main_block(markup: Column) -> Column:
@@ -157,9 +164,6 @@ def anchor_hrefs(html: Column) -> Column:
 
 def _dot_free(path: Column) -> Column:
     """Resolve `.` and `..` segments; `..` above the root is dropped."""
-    parts = F.split(path, "/")
-    last = F.element_at(parts, -1)
-
     def step(acc: Column, s: Column) -> Column:
         return (
             F.when(s == "..", F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0))))
@@ -167,12 +171,16 @@ def _dot_free(path: Column) -> Column:
             .otherwise(F.array_append(acc, s))
         )
 
-    walked = F.aggregate(parts, F.array().cast("array<string>"), step)
-    closed = F.when(last.isin(".", ".."), F.array_append(walked, F.lit(""))).otherwise(walked)
-    joined = F.array_join(closed, "/")
-    rooted = F.when(joined.startswith("/"), joined).otherwise(F.concat(F.lit("/"), joined))
-    return F.when(path.rlike("(^|/)\\.\\.?(/|$)"), rooted).otherwise(
-        F.when(path.startswith("/"), path).otherwise(F.concat(F.lit("/"), path)))
+    def walked(p: Column) -> Column:
+        segments = F.aggregate(F.split(p, "/"), F.array().cast("array<string>"), step)
+        folder = p.rlike("(^|/)\\.\\.?$")
+        return F.array_join(F.when(folder, F.array_append(segments, F.lit(""))).otherwise(segments), "/")
+
+    def rooted(p: Column) -> Column:
+        return F.when(p.startswith("/"), p).otherwise(F.concat(F.lit("/"), p))
+
+    return let(path, lambda p: let(
+        F.when(p.rlike("(^|/)\\.\\.?(/|$)"), walked(p)).otherwise(p), rooted))
 
 
 def resolved_link(base: Column, href: Column) -> Column:
@@ -180,25 +188,37 @@ def resolved_link(base: Column, href: Column) -> Column:
 
     A link with another scheme is returned as written.
     """
-    link = F.regexp_replace(href, "^[\\x00-\\x20]+|[\\t\\r\\n]+", "")
-    link = F.substring_index(link, "#", 1)
-    base = F.substring_index(base, "#", 1)
-    base_scheme, link_scheme = scheme_of(base), scheme_of(link)
-    rest = F.when(link_scheme == "", link).otherwise(
-        F.substring(link, F.length(link_scheme) + 2, F.length(link)))
-    authority = F.regexp_extract(base, "^[^:/?#]+://([^/?#]*)", 1)
-    root = F.concat(base_scheme, F.lit("://"), authority)
-    base_path = raw_path_of(base)
-    base_query = F.regexp_extract(base, "(\\?.+)$", 1)
-    path = F.regexp_extract(rest, "^([^?#]*)", 1)
-    query = F.regexp_extract(rest, "(\\?.+)$", 1)
-    folder = F.when(base_path == "", F.lit("/")).otherwise(
-        F.regexp_replace(base_path, "[^/]*$", ""))
-    merged = F.regexp_replace(F.concat(folder, path), "/{2,}", "/")
-    return (
-        F.when((link_scheme != "") & (link_scheme != base_scheme), link)
-        .when(rest.startswith("//"), F.concat(base_scheme, F.lit(":"), F.regexp_replace(rest, "\\?$", "")))
-        .when(path == "", F.concat(root, base_path, F.when(query == "", base_query).otherwise(query)))
-        .when(path.startswith("/"), F.concat(root, _dot_free(path), query))
-        .otherwise(F.concat(root, _dot_free(merged), query))
-    )
+    def before_fragment(c: Column) -> Column:
+        return F.substring_index(c, "#", 1)
+
+    def parts(v: Column) -> Column:
+        """Base parts, and the link split after a scheme equal to the base's."""
+        scheme = scheme_of(v["link"])
+        same = F.when((scheme != "") & (scheme == scheme_of(v["base"])), F.length(scheme) + 1).otherwise(F.lit(0))
+        return record(
+            link=v["link"],
+            foreign=(scheme != "") & (scheme != scheme_of(v["base"])),
+            rest=F.substring(v["link"], same + 1, F.length(v["link"])),
+            scheme=scheme_of(v["base"]),
+            authority=F.regexp_extract(v["base"], "^[^:/?#]+://([^/?#]*)", 1),
+            path=raw_path_of(v["base"]),
+            query=F.regexp_extract(v["base"], "(\\?.+)$", 1),
+        )
+
+    def joined(v: Column) -> Column:
+        root = F.concat(v["scheme"], F.lit("://"), v["authority"])
+        path = F.regexp_extract(v["rest"], "^([^?#]*)", 1)
+        query = F.regexp_extract(v["rest"], "(\\?.+)$", 1)
+        folder = F.when(v["path"] == "", F.lit("/")).otherwise(F.regexp_replace(v["path"], "[^/]*$", ""))
+        merged = F.regexp_replace(F.concat(folder, path), "/{2,}", "/")
+        return (
+            F.when(v["foreign"], v["link"])
+            .when(v["rest"].startswith("//"),
+                  F.concat(v["scheme"], F.lit(":"), F.regexp_replace(v["rest"], "\\?$", "")))
+            .when(path == "", F.concat(root, v["path"], F.when(query == "", v["query"]).otherwise(query)))
+            .when(path.startswith("/"), F.concat(root, _dot_free(path), query))
+            .otherwise(F.concat(root, _dot_free(merged), query))
+        )
+
+    link = before_fragment(F.regexp_replace(href, "^[\\x00-\\x20]+|[\\t\\r\\n]+", ""))
+    return let(let(record(link=link, base=before_fragment(base)), parts), joined)

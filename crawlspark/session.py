@@ -6,6 +6,10 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+# A side is broadcast only after its rows were counted; about 20 MB of URLs.
+BROADCAST_ROWS = 100_000
 
 # Runtime SQL settings the jobs rely on; all may be changed on a live session.
 RUNTIME_SETTINGS = {
@@ -56,3 +60,15 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A fresh folder below the shared checkpoint folder, for stream sinks and state."""
     return f"{checkpoint_dir(spark)}/{label}-{uuid.uuid4().hex}"
+
+
+def rows_for_keys(table: DataFrame, keys: DataFrame, key: str, n_keys: int) -> DataFrame:
+    """Rows of a large table whose `key` occurs in `keys`, a counted set of rows.
+
+    Below the limit the keys are broadcast and the table is filtered where it is read;
+    beyond it this is an ordinary shuffled semi join.
+    """
+    wanted = keys.select(key).distinct()
+    if n_keys <= BROADCAST_ROWS:
+        wanted = F.broadcast(wanted)
+    return table.join(wanted, key, "left_semi")

@@ -69,6 +69,15 @@ def scan(spark: SparkSession, path: str, *columns: str) -> DataFrame:
     return df.select(*columns) if columns else df
 
 
+def file_stream(spark: SparkSession, schema: T.StructType, folder: str, names: str = "*.parquet",
+                files_per_batch: int = 1000) -> DataFrame:
+    """Parquet files as they land in `folder`, a bounded number per micro-batch."""
+    return (
+        spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch)
+        .option("pathGlobFilter", names).parquet(folder)
+    )
+
+
 def scan_pages(spark: SparkSession, path: str, with_html: bool = True) -> DataFrame:
     """Crawled pages; `pos`, the page's place in the list, is its id."""
     df = scan(spark, path, *(("page_id", "url", "html") if with_html else ("page_id", "url")))
