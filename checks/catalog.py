@@ -23,7 +23,7 @@ from crawlspark.functions.urls import (
 from crawlspark.operators import dedupe, fetch, links, progress, quota, robots, scope, sitemaps, sites
 from crawlspark.operators.crawl import crawl_frontier
 from crawlspark.plans import discover, export
-from crawlspark.session import configure, scratch_path
+from crawlspark.session import configure, scratch_path, spread
 from crawlspark.sources import tables
 from crawlspark.streaming import export as export_stream
 from crawlspark.streaming import quota as quota_stream
@@ -388,7 +388,7 @@ def unseen_sites(spark, d):
 
 
 def _texts(spark, d):
-    return export.with_text_and_title(derived(spark, d, "page_variants"))
+    return export.with_text_and_title(spread(derived(spark, d, "page_variants")))
 
 
 @_query

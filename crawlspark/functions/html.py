@@ -19,14 +19,17 @@ from .urls import raw_path_of, scheme_of
 # Elements whose content is not markup; the rest of the removed ones may nest.
 RAW_ELEMENTS = ("script", "style")
 NESTING_ELEMENTS = tuple(e for e in REMOVED_ELEMENTS if e not in RAW_ELEMENTS)
+BLOCK_ELEMENTS = ("main", "article", "body")
+TEXT_ELEMENTS = ("title", "h1")
 
-# Attributes up to the closing bracket. Possessive groups run as loops, not recursion.
-_ATTRS = "[^>\"']*+(?:(?:\"[^\"]*+\"|'[^']*+')[^>\"']*+)*+>"
+# All patterns start with `<`, so a scan tests one character per position. Possessive groups
+# run as loops, not recursion, however long an attribute list is.
 _END = "(?=[\\s/>])"
-_COMMENT = "<!--(?:-?>|.*?(?:--!?>|\\z))"
-_RAW = "|".join(f"<{e}{_END}.*?(?:</{e}{_END}[^>]*+>|\\z)" for e in RAW_ELEMENTS)
-COMMENTS_AND_RAW = f"(?is){_COMMENT}|{_RAW}"
-TAG = f"</?[a-zA-Z]{_ATTRS}|</?[a-zA-Z][^>]*+>|<[!?][^>]*+>"
+_ATTRS = "[^>\"']*+(?:(?:\"[^\"]*+\"|'[^']*+')[^>\"']*+)*+>"
+_RAW = "|".join(f"{e}{_END}.*?(?:</{e}{_END}[^>]*+>|\\z)" for e in RAW_ELEMENTS)
+COMMENTS_AND_RAW = f"(?is)<(?:!--(?:-?>|.*?(?:--!?>|\\z))|{_RAW})"
+TAG = f"<(?:/?[a-zA-Z](?:{_ATTRS}|[^>]*+>)|[!?][^>]*+>)"
+LANDMARK = f"(?i)<(?=/?(?:{'|'.join((*NESTING_ELEMENTS, *BLOCK_ELEMENTS, *TEXT_ELEMENTS))})[\\s/>])"
 # Left where something was cut, so that the texts around it stay apart.
 CUT = "<!>"
 
@@ -36,112 +39,139 @@ def without_raw_text(html: Column) -> Column:
     return F.regexp_replace(html, COMMENTS_AND_RAW, CUT)
 
 
-def _pieces(markup: Column) -> Column:
-    """Markup cut before each tag of the nesting elements."""
-    return F.split(markup, f"(?i)(?=</?(?:{'|'.join(NESTING_ELEMENTS)}){_END})")
-
-
-def _outside(pieces: Column) -> Column:
-    """Pieces outside the nesting elements, joined.
+def landmarks(markup: Column) -> Column:
+    """ARRAY<STRUCT<name, shut, body>>: markup cut before each tag of the elements that matter.
 
-    The pieces are read in order with the stack of open elements: text is kept while the stack
-    is empty. A closing tag closes up to its own opening tag; one without is ignored.
+    A page has a handful of them. Everything below works on this array, so the page is scanned
+    once here and its text once more for the tags in it. `body` has no `<` in front; the first
+    piece has no name.
     """
-    start = F.struct(
-        F.array().cast("array<string>").alias("open"), F.array().cast("array<string>").alias("kept")
-    )
+    names = "|".join((*NESTING_ELEMENTS, *BLOCK_ELEMENTS, *TEXT_ELEMENTS))
 
-    def step(acc: Column, piece: Column) -> Column:
-        name = F.lower(F.regexp_extract(piece, f"(?i)^</?({'|'.join(NESTING_ELEMENTS)}){_END}", 1))
+    def piece(p: Column) -> Column:
+        return record(
+            name=F.lower(F.regexp_extract(p, f"(?i)^/?({names})[\\s/>]", 1)),
+            shut=p.startswith("/"), body=p)
 
-        def moved(n: Column) -> Column:
-            last = F.size(acc["open"]) - F.array_position(F.reverse(acc["open"]), n).cast("int") + 1
-            return (
-                F.when(n == "", acc["open"])
-                .when(~piece.startswith("</"), F.array_append(acc["open"], n))
-                .when(F.array_contains(acc["open"], n), F.slice(acc["open"], F.lit(1), last - 1))
-                .otherwise(acc["open"])
-            )
+    # the first piece is no tag, whatever it starts with
+    return F.transform(
+        F.split(markup, LANDMARK), lambda p, i: F.when(
+            i == 0, record(name=F.lit(""), shut=F.lit(False), body=p)).otherwise(piece(p)))
 
-        def kept(opened: Column) -> Column:
-            shown = F.regexp_replace(piece, f"(?is)^</?(?:{'|'.join(NESTING_ELEMENTS)}){_END}{_ATTRS}", CUT)
-            return F.struct(
-                opened.alias("open"),
-                F.when(F.size(opened) == 0, F.array_append(acc["kept"], shown))
-                .otherwise(acc["kept"]).alias("kept"),
-            )
 
-        return let(let(name, moved), kept)
+def outside_boilerplate(pieces: Column) -> Column:
+    """The pieces outside nav, header, footer and noscript elements, nested ones included.
 
-    return F.array_join(F.aggregate(pieces, start, step)["kept"], "")
+    Read in order with the stack of open elements: a piece is kept while the stack is empty. A
+    closing tag closes up to its own opening tag; one without an opening tag is ignored.
+    """
+    empty = F.array().cast("array<string>")
+    kept_type = "array<struct<name:string,shut:boolean,body:string>>"
+    start = record(open=empty, kept=F.array().cast(kept_type))
+
+    def step(acc: Column, p: Column) -> Column:
+        tracked = p["name"].isin(*NESTING_ELEMENTS)
+        last = F.size(acc["open"]) - F.array_position(F.reverse(acc["open"]), p["name"]).cast("int")
+        opened = (
+            F.when(~tracked, acc["open"])
+            .when(~p["shut"], F.array_append(acc["open"], p["name"]))
+            .when(F.array_contains(acc["open"], p["name"]), F.slice(acc["open"], F.lit(1), last))
+            .otherwise(acc["open"])
+        )
+        return let(opened, lambda o: record(
+            open=o, kept=F.when(F.size(o) == 0, F.array_append(acc["kept"], p)).otherwise(acc["kept"])))
 
+    return F.aggregate(pieces, start, step)["kept"]
 
-def clean_markup(html: Column) -> Column:
-    """Markup without raw text and without the boilerplate elements, nested ones included."""
-    return let(without_raw_text(html), lambda m: let(
-        _pieces(m), lambda p: F.when(F.size(p) <= 1, m).otherwise(_outside(p))))
 
+def _position(pieces: Column, name: str) -> Column:
+    """1-based place of the first opening tag of `name`, NULL when there is none."""
+    place = F.array_position(
+        F.transform(pieces, lambda p: ~p["shut"] & (p["name"] == name)), F.lit(True))
+    return F.nullif(place, F.lit(0).cast("bigint")).cast("int")
 
-def _first_element(markup: Column, name: str) -> Column:
-    """Inner markup of the first `name` element, up to its own closing tag."""
-    opening = f"(?i)<{name}{_END}"
-    inner = F.regexp_extract(markup, f"(?is)<{name}{_END}{_ATTRS}(.*)$", 1)
 
-    def step(acc: Column, part: Column) -> Column:
-        opens = F.regexp_count(part, F.lit(opening))
-        return F.when(acc["depth"] == 0, acc).otherwise(
-            F.struct((acc["depth"] + opens - 1).alias("depth"), (acc["n"] + 1).alias("n")))
+def _own_extent(pieces: Column, at: Column, name: str) -> Column:
+    """Pieces of the element opened at `at`, up to its own closing tag."""
+    def step(acc: Column, p: Column) -> Column:
+        move = F.when(p["name"] != name, 0).when(p["shut"], -1).otherwise(1)
+        return F.when((acc["n"] > 0) & (acc["depth"] == 0), acc).otherwise(
+            record(depth=acc["depth"] + move, n=acc["n"] + 1))
 
-    def own(parts: Column) -> Column:
-        taken = F.aggregate(parts, F.struct(F.lit(1).alias("depth"), F.lit(0).alias("n")), step)["n"]
-        first = F.element_at(parts, 1)
-        return F.when(first.rlike(opening), F.array_join(F.slice(parts, F.lit(1), taken), CUT)).otherwise(first)
+    def extent(tail: Column) -> Column:
+        walked = F.aggregate(tail, record(depth=F.lit(0), n=F.lit(0)), step)
+        # a closed element ends before its closing piece, which starts the text after it
+        return let(walked, lambda w: F.slice(
+            tail, F.lit(1), F.when(w["depth"] == 0, w["n"] - 1).otherwise(w["n"])))
 
-    return let(F.split(inner, f"(?i)</{name}{_END}[^>]*+>"), own)
+    return let(F.slice(pieces, at, F.size(pieces)), extent)
 
 
-def main_block(markup: Column) -> Column:
-    """Inner markup of the first main, else article, else body (chosen by presence).
+def main_block(pieces: Column) -> Column:
+    """Pieces of the first main, else article, else body (chosen by presence).
 
-    Markup without a body tag still has a body: everything outside head and title. NULL when
+    Markup without a body tag still has a body: what is outside head and title. NULL when
     there is no content at all.
     """
+    def rest(name: str) -> Column:
+        at = _position(pieces, name)
+        return F.slice(pieces, at, F.size(pieces))
+
+    headless = F.filter(
+        F.transform(pieces, lambda p: record(
+            name=p["name"], shut=p["shut"],
+            body=F.regexp_replace(p["body"], "(?is)<head(?=[\\s>]).*?(?:</head\\s*>|\\z)", CUT))),
+        lambda p: ~((p["name"] == "title") & ~p["shut"]))
+    implied = F.when(F.exists(headless, lambda p: F.regexp_replace(
+        F.concat(F.lit("<"), p["body"]), f"(?s)^<|{TAG}|\\s+", "") != ""), headless)
+
     def has(name: str) -> Column:
-        return markup.rlike(f"(?i)<{name}{_END}")
+        return F.exists(pieces, lambda p: ~p["shut"] & (p["name"] == name))
 
-    headless = F.regexp_replace(
-        markup, f"(?is)<head{_END}.*?(?:</head\\s*>|\\z)|<title{_END}.*?(?:</title\\s*>|\\z)", CUT)
-    implied = F.when(F.regexp_replace(headless, f"(?is){TAG}|\\s+", "") != "", headless)
     return (
-        F.when(has("main"), _first_element(markup, "main"))
-        .when(has("article"), _first_element(markup, "article"))
-        .when(has("body"), F.regexp_extract(markup, f"(?is)<body{_END}{_ATTRS}(.*)$", 1))
+        F.when(has("main"), _own_extent(pieces, _position(pieces, "main"), "main"))
+        .when(has("article"), _own_extent(pieces, _position(pieces, "article"), "article"))
+        .when(has("body"), rest("body"))
         .otherwise(implied)
     )
 
 
+def _markup(pieces: Column) -> Column:
+    """Pieces joined to markup again; only the nameless first one lacks its `<`."""
+    return F.array_join(F.transform(pieces, lambda p: F.when(p["name"] == "", p["body"]).otherwise(
+        F.concat(F.lit("<"), p["body"]))), "")
+
+
 def text_nodes(markup: Column) -> Column:
     """Decoded, trimmed, non-empty texts between tags, in order."""
-    nodes = F.transform(F.split(markup, f"(?s){TAG}"), lambda t: strip(decode_references(t)))
+    nodes = F.transform(F.split(markup, TAG), lambda t: strip(decode_references(t)))
     return F.array_remove(nodes, "")
 
 
 def block_text(block: Column) -> Column:
-    joined = F.array_join(text_nodes(block), "\n")
-    return F.coalesce(F.regexp_replace(joined, "\\n{3,}", "\n\n"), F.lit(""))
+    joined = F.array_join(text_nodes(_markup(block)), "\n")
+    return let(F.coalesce(joined, F.lit("")), lambda t: F.when(
+        t.contains("\n\n\n"), F.regexp_replace(t, "\\n{3,}", "\n\n")).otherwise(t))
+
+
+def _content(piece: Column) -> Column:
+    """Markup of a piece after its own tag."""
+    return F.regexp_replace(F.concat(F.lit("<"), piece["body"]), f"^{TAG}", "")
 
 
-def document_title(markup: Column) -> Column:
+def document_title(pieces: Column) -> Column:
     """Content of the first title; a title that holds elements counts as none."""
-    content = F.regexp_extract(markup, f"(?is)<title{_END}{_ATTRS}(.*?)(?:</title\\s*>|\\z)", 1)
-    return F.when(content.rlike("<[a-zA-Z/!]"), F.lit("")).otherwise(
-        strip(decode_references(content)))
+    piece = F.get(F.filter(pieces, lambda p: ~p["shut"] & (p["name"] == "title")), F.lit(0))
+    return let(F.coalesce(_content(piece), F.lit("")), lambda t: F.when(
+        t.rlike("<[a-zA-Z/!]"), F.lit("")).otherwise(strip(decode_references(t))))
 
 
 def block_heading(block: Column) -> Column:
     """Text of the first h1 of the block, its nodes joined without a separator."""
-    content = F.regexp_extract(block, f"(?is)<h1{_END}{_ATTRS}(.*?)(?:</h1\\s*>|\\z)", 1)
-    return F.array_join(text_nodes(content), "")
+    own = _own_extent(block, _position(block, "h1"), "h1")
+    return F.when(
+        F.exists(block, lambda p: ~p["shut"] & (p["name"] == "h1")),
+        F.array_join(text_nodes(_markup(own)), ""))
 
 
 # ------------------------------------------------------------------------------ links

@@ -6,7 +6,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..fixed_values import DEFAULT_DOCUMENT_NAME, MAX_BODY_BYTES, MAX_EXPORT_BATCH
-from ..functions.html import block_heading, block_text, clean_markup, document_title, main_block
+from ..functions.html import (
+    block_heading,
+    block_text,
+    document_title,
+    landmarks,
+    main_block,
+    outside_boilerplate,
+    without_raw_text,
+)
 from ..functions.urls import bare_host, host_of, same_site
 from ..operators.dedupe import language_dedupe
 from ..operators.progress import cap_per_seed
@@ -20,11 +28,12 @@ def with_text_and_title(pages: DataFrame, html: str = "html") -> DataFrame:
     block = F.col("_block")
     heading = F.nullif(block_heading(block), F.lit(""))
     return (
-        pages.withColumn("_markup", clean_markup(F.col(html)))
-        .withColumn("_block", main_block(F.col("_markup")))
+        pages.withColumn("_all", landmarks(without_raw_text(F.col(html))))
+        .withColumn("_pieces", outside_boilerplate(F.col("_all")))
+        .withColumn("_block", main_block(F.col("_pieces")))
         .select(
             *kept,
-            F.coalesce(heading, document_title(F.col("_markup")), F.lit("")).alias("title"),
+            F.coalesce(heading, document_title(F.col("_pieces")), F.lit("")).alias("title"),
             block_text(block).alias("text"))
     )
 

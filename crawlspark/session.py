@@ -72,3 +72,13 @@ def rows_for_keys(table: DataFrame, keys: DataFrame, key: str, n_keys: int) -> D
     if n_keys <= BROADCAST_ROWS:
         wanted = F.broadcast(wanted)
     return table.join(wanted, key, "left_semi")
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Rows over all cores when a scan has fewer splits than cores.
+
+    For CPU-heavy work on a table kept in one or two small files. A large table has more
+    splits than cores and is left as it is: its bodies are never shuffled.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
