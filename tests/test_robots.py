@@ -1,7 +1,6 @@
 from urllib.robotparser import RobotFileParser
 
 import pytest
-from pyspark.sql import functions as F
 
 from crawlspark.operators import robots
 
@@ -69,4 +68,3 @@ def test_selectable_reasons(spark):
         [(1, 1, "https://www.h.be/ok"), (1, 2, "https://h.be/no"), (1, 3, "https://else.be/")], "seed_id long, pos long, url string")
     got = robots.selectable_verdict(urls, seeds, robots.robots_policy(files, "bot")).orderBy("pos").collect()
     assert [(r.selectable, r.reason) for r in got] == [(True, "ok"), (False, "robots"), (False, "other_host")]
-    assert F is not None
