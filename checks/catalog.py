@@ -45,6 +45,13 @@ def _pages(spark, d, with_html=False):
     return tables.scan_pages(spark, f"{d}/pages.parquet", with_html)
 
 
+def _stored(spark, d, name):
+    """A derived input as a table on disk, as crawl tables are; the loop jobs read it per level."""
+    path = scratch_path(spark, name)
+    derived(spark, d, name).write.parquet(path)
+    return spark.read.parquet(path)
+
+
 def _dated(df):
     """Days as text, the one spelling both engines share."""
     return df.withColumn("day", F.col("day").cast("string"))
@@ -247,7 +254,7 @@ def _linked_pages(pages):
 @_query
 def crawl_levels(spark, d):
     answers = fetch.crawlable_response(derived(spark, d, "crawl_responses"))
-    return crawl_frontier(derived(spark, d, "crawl_seeds"), answers, derived(spark, d, "edges")).select(
+    return crawl_frontier(derived(spark, d, "crawl_seeds"), answers, _stored(spark, d, "edges")).select(
         "seed_id", F.col("depth").cast("bigint").alias("depth"), "pos", "url", "final_url")
 
 
@@ -259,13 +266,13 @@ def _guessed(spark, d):
 @_query
 def sitemap_expand(spark, d):
     return sitemaps.sitemap_expand(
-        _guessed(spark, d), derived(spark, d, "sitemaps"), ["seed_id", "guess"]
+        _guessed(spark, d), _stored(spark, d, "sitemaps"), ["seed_id", "guess"]
     ).withColumn("guess", F.col("guess").cast("bigint"))
 
 
 @_query
 def redirect_resolve(spark, d):
-    hops = derived(spark, d, "redirects")
+    hops = _stored(spark, d, "redirects")
     closed = sites.host_verdicts(derived(spark, d, "host_ips"))
     return fetch.redirect_resolve(hops.select("url"), hops, closed).select(
         "url", "final_url", F.col("hops").cast("bigint").alias("hops"),
@@ -274,9 +281,9 @@ def redirect_resolve(spark, d):
 
 def _site_tables(spark, d):
     return (
-        derived(spark, d, "sitemaps"),
-        fetch.crawlable_response(derived(spark, d, "site_responses")),
-        derived(spark, d, "site_links"),
+        _stored(spark, d, "sitemaps"),
+        fetch.crawlable_response(_stored(spark, d, "site_responses")),
+        _stored(spark, d, "site_links"),
     )
 
 

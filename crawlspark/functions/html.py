@@ -148,30 +148,37 @@ def text_nodes(markup: Column) -> Column:
     return F.array_remove(nodes, "")
 
 
-def block_text(block: Column) -> Column:
-    joined = F.array_join(text_nodes(_markup(block)), "\n")
-    return let(F.coalesce(joined, F.lit("")), lambda t: F.when(
-        t.contains("\n\n\n"), F.regexp_replace(t, "\\n{3,}", "\n\n")).otherwise(t))
+def _title_markup(pieces: Column) -> Column:
+    """Content of the first title; a title that holds elements counts as none."""
+    piece = F.get(F.filter(pieces, lambda p: ~p["shut"] & (p["name"] == "title")), F.lit(0))
+    content = F.regexp_replace(F.concat(F.lit("<"), piece["body"]), f"^{TAG}", "")
+    return let(F.coalesce(content, F.lit("")), lambda t: F.when(
+        t.rlike("<[a-zA-Z/!]"), F.lit("")).otherwise(t))
 
 
-def _content(piece: Column) -> Column:
-    """Markup of a piece after its own tag."""
-    return F.regexp_replace(F.concat(F.lit("<"), piece["body"]), f"^{TAG}", "")
+def page_nodes(pieces: Column, block: Column) -> Column:
+    """Text nodes of the block, of its first h1 and of the title: ARRAY<ARRAY<STRING>>.
+
+    The three go through one expression, so the reference tables are in the plan once.
+    """
+    heading = F.when(
+        F.exists(block, lambda p: ~p["shut"] & (p["name"] == "h1")),
+        _markup(_own_extent(block, _position(block, "h1"), "h1")))
+    markups = F.array(*[
+        F.coalesce(m, F.lit("")) for m in (_markup(block), heading, _title_markup(pieces))])
+    return F.transform(markups, text_nodes)
 
 
-def document_title(pieces: Column) -> Column:
-    """Content of the first title; a title that holds elements counts as none."""
-    piece = F.get(F.filter(pieces, lambda p: ~p["shut"] & (p["name"] == "title")), F.lit(0))
-    return let(F.coalesce(_content(piece), F.lit("")), lambda t: F.when(
-        t.rlike("<[a-zA-Z/!]"), F.lit("")).otherwise(strip(decode_references(t))))
+def page_title(nodes: Column) -> Column:
+    """Text of the h1, its nodes joined without a separator, else the title, else nothing."""
+    heading, title = F.element_at(nodes, 2), F.element_at(nodes, 3)
+    return F.array_join(F.when(F.size(heading) > 0, heading).otherwise(title), "")
 
 
-def block_heading(block: Column) -> Column:
-    """Text of the first h1 of the block, its nodes joined without a separator."""
-    own = _own_extent(block, _position(block, "h1"), "h1")
-    return F.when(
-        F.exists(block, lambda p: ~p["shut"] & (p["name"] == "h1")),
-        F.array_join(text_nodes(_markup(own)), ""))
+def page_text(nodes: Column) -> Column:
+    """Nodes of the block, one per line; three or more line breaks become two."""
+    return let(F.array_join(F.element_at(nodes, 1), "\n"), lambda t: F.when(
+        t.contains("\n\n\n"), F.regexp_replace(t, "\\n{3,}", "\n\n")).otherwise(t))
 
 
 # ------------------------------------------------------------------------------ links

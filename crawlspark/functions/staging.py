@@ -8,8 +8,9 @@ table and keeps later filters from pulling their expressions down.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -24,3 +25,19 @@ def record(**fields: Column) -> Column:
 def stage(df: DataFrame, **columns: Column) -> DataFrame:
     """Add columns through a generator: a filter on them stays above it."""
     return df.select("*", F.inline(F.array(record(**columns))))
+
+
+def built_once(build: Callable) -> Callable:
+    """Cache for functions of column names that return columns: long expressions take the
+    driver about a second to put together, and jobs are often started many times."""
+    cache: dict = {}
+
+    @wraps(build)
+    def cached(*names: str):
+        session = SparkSession.getActiveSession() or SparkSession.builder.getOrCreate()
+        key = (session.sparkContext.applicationId, *names)
+        if key not in cache:
+            cache[key] = build(*names)
+        return cache[key]
+
+    return cached

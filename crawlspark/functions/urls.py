@@ -20,6 +20,7 @@ from ..fixed_values import (
     PAGINATION_KEYS,
     QUERY_DIGEST_LENGTH,
 )
+from .staging import built_once
 from .text import quote_form, strip, unquote_form
 
 _SCHEME = "(?:[A-Za-z][A-Za-z0-9+.\\-]*:)?"
@@ -99,26 +100,32 @@ def split_params(raw_path: Column) -> tuple[Column, Column]:
     )
 
 
-def with_url_parts(df: DataFrame, url: str = "url", prefix: str = "") -> DataFrame:
-    """Add scheme, netloc, host, path, params, query, fragment, each with `prefix`."""
+@built_once
+def _part_stages(url: str, prefix: str) -> list[dict[str, Column]]:
     raw = F.col(f"{prefix}_readable")
     path, params = split_params(F.col(f"{prefix}_raw_path"))
-    return (
-        df.withColumn(f"{prefix}_readable", readable_url(F.col(url)))
-        .withColumns({
+    return [
+        {f"{prefix}_readable": readable_url(F.col(url))},
+        {
             f"{prefix}scheme": scheme_of(raw),
             f"{prefix}netloc": netloc_of(raw),
             f"{prefix}_raw_path": raw_path_of(raw),
             f"{prefix}query": query_of(raw),
             f"{prefix}fragment": fragment_of(raw),
-        })
-        .withColumns({
+        },
+        {
             f"{prefix}host": host_of_netloc(F.col(f"{prefix}netloc")),
             f"{prefix}path": path,
             f"{prefix}params": params,
-        })
-        .drop(f"{prefix}_readable", f"{prefix}_raw_path")
-    )
+        },
+    ]
+
+
+def with_url_parts(df: DataFrame, url: str = "url", prefix: str = "") -> DataFrame:
+    """Add scheme, netloc, host, path, params, query, fragment, each with `prefix`."""
+    for columns in _part_stages(url, prefix):
+        df = df.withColumns(columns)
+    return df.drop(f"{prefix}_readable", f"{prefix}_raw_path")
 
 
 def joined_path(path: Column, params: Column) -> Column:
@@ -207,31 +214,12 @@ def _by_folded_name(pairs: Column) -> Column:
     return F.array_sort(keyed)
 
 
-def with_language_key(df: DataFrame, url: str = "url") -> DataFrame:
-    """Add `page_key` (equal for language variants of one page), `lang` and `lang_rank`.
-
-    Built in stages so that each URL is split, and its query decoded, once.
-    """
-    parts = with_url_parts(df, url, prefix="_u_")
+@built_once
+def _key_stages() -> list[dict[str, Column]]:
     c = F.col
     first = F.lower(first_segment(c("_u_path")))
     in_path = first.isin(*LANGUAGE_SEGMENTS)
     rest = F.slice(segments(c("_u_path")), F.lit(2), F.size(segments(c("_u_path"))))
-    staged = (
-        parts.withColumns({
-            "_in_path": in_path,
-            "_base": F.concat(
-                F.when(c("_u_scheme") == "", F.lit("https")).otherwise(c("_u_scheme")),
-                F.lit("://"), F.lower(c("_u_netloc"))),
-            "_page_path": F.when(in_path, F.concat(F.lit("/"), F.array_join(rest, "/")))
-            .when(c("_u_path") == "", F.lit("/")).otherwise(c("_u_path")),
-            "_pairs": query_pairs(c("_u_query")),
-        })
-        .withColumns({
-            "_content": content_pairs(c("_pairs")),
-            "_listing": listing_id(c("_page_path")),
-        })
-    )
     first_language = F.get(
         F.filter(c("_pairs"), lambda p: _is_language_key(p["k"]) & (p["v"] != "")), F.lit(0)
     )["v"]
@@ -244,19 +232,40 @@ def with_language_key(df: DataFrame, url: str = "url") -> DataFrame:
     digest = F.substring(F.sha2(_encoded(_by_folded_name(c("_content"))), 256), 1, QUERY_DIGEST_LENGTH)
     slashed = F.when(c("_page_path").startswith("/"), c("_page_path")).otherwise(
         F.concat(F.lit("/"), c("_page_path")))
-    key = (
-        F.when(c("_in_path") & c("_listing").isNotNull(),
-               with_query(F.concat(c("_base"), F.lit("/__listing__/"), c("_listing")), sorted_query))
-        .when(resource, F.concat(c("_base"), F.lit("/__qstable__/"), digest))
-        .otherwise(with_query(F.concat(c("_base"), joined_path(slashed, c("_u_params"))), sorted_query))
-    )
-    lang = F.when(c("_in_path"), F.lower(first_segment(c("_u_path")))).otherwise(
-        language_code(first_language))
-    return (
-        staged.withColumns({"page_key": key, "lang": lang})
-        .withColumn("lang_rank", language_rank(c("lang")))
-        .select(*df.columns, "page_key", "lang", "lang_rank")
-    )
+    return [
+        {
+            "_in_path": in_path,
+            "_base": F.concat(
+                F.when(c("_u_scheme") == "", F.lit("https")).otherwise(c("_u_scheme")),
+                F.lit("://"), F.lower(c("_u_netloc"))),
+            "_page_path": F.when(in_path, F.concat(F.lit("/"), F.array_join(rest, "/")))
+            .when(c("_u_path") == "", F.lit("/")).otherwise(c("_u_path")),
+            "_pairs": query_pairs(c("_u_query")),
+        },
+        {"_content": content_pairs(c("_pairs")), "_listing": listing_id(c("_page_path"))},
+        {
+            "page_key":
+                F.when(c("_in_path") & c("_listing").isNotNull(), with_query(
+                    F.concat(c("_base"), F.lit("/__listing__/"), c("_listing")), sorted_query))
+                .when(resource, F.concat(c("_base"), F.lit("/__qstable__/"), digest))
+                .otherwise(with_query(
+                    F.concat(c("_base"), joined_path(slashed, c("_u_params"))), sorted_query)),
+            "lang": F.when(c("_in_path"), F.lower(first_segment(c("_u_path")))).otherwise(
+                language_code(first_language)),
+        },
+        {"lang_rank": language_rank(c("lang"))},
+    ]
+
+
+def with_language_key(df: DataFrame, url: str = "url") -> DataFrame:
+    """Add `page_key` (equal for language variants of one page), `lang` and `lang_rank`.
+
+    Built in stages so that each URL is split, and its query decoded, once.
+    """
+    out = with_url_parts(df, url, prefix="_u_")
+    for columns in _key_stages():
+        out = out.withColumns(columns)
+    return out.select(*df.columns, "page_key", "lang", "lang_rank")
 
 
 # ------------------------------------------------------------------------ start URLs

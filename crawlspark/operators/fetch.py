@@ -14,6 +14,7 @@ from ..fixed_values import (
     WAIT_EXTRA_SECONDS,
 )
 from ..functions.html import resolved_link
+from ..functions.staging import built_once
 from ..functions.text import strip
 from ..functions.urls import host_of
 from ..session import cut_lineage, rows_for_keys
@@ -61,6 +62,11 @@ def crawlable_response(responses: DataFrame) -> DataFrame:
     return responses.filter(crawlable(F.col("status"), F.col("content_type")))
 
 
+@built_once
+def _next_address() -> Column:
+    return resolved_link(F.col("url"), F.col("location"))
+
+
 def redirect_resolve(urls: DataFrame, responses: DataFrame, closed_hosts: DataFrame | None = None,
                      max_redirects: int = MAX_REDIRECTS) -> DataFrame:
     """urls (url, distinct) → final_url, hops, status, outcome.
@@ -74,7 +80,7 @@ def redirect_resolve(urls: DataFrame, responses: DataFrame, closed_hosts: DataFr
     sends_on = F.col("status").isin(*REDIRECT_STATUSES) & (F.coalesce("location", F.lit("")) != "")
     answers = responses.select(
         page_address(F.col("url")).alias("current"), "status",
-        F.when(sends_on, resolved_link(F.col("url"), F.col("location"))).alias("next"))
+        F.when(sends_on, _next_address()).alias("next"))
     refused = None if closed_hosts is None else closed_hosts.filter("closed").select(
         F.col("host").alias("_host"), F.lit("closed_network").alias("_closed"))
     tests = {"_host": host_of(F.col("current")), "_bad": unsafe_url(F.col("current"))}

@@ -7,14 +7,23 @@ from pyspark.sql import functions as F
 
 from ..fixed_values import IGNORED_LINK_PREFIXES, ROBOTS_PATH
 from ..functions.html import anchor_hrefs, resolved_link
-from ..functions.staging import stage
+from ..functions.staging import built_once, stage
 from ..functions.urls import host_of, same_site, scheme_of
 
 
+@built_once
+def _hrefs() -> Column:
+    return anchor_hrefs(F.col("html"))
+
+
+@built_once
+def _target() -> Column:
+    return F.when(_followable(F.col("href")), resolved_link(F.col("url"), F.col("href")))
+
+
 def page_links(pages: DataFrame) -> DataFrame:
     """page_id, url, link_pos, href: anchors in document order. The body stops here."""
-    return pages.select(
-        "page_id", "url", F.posexplode(anchor_hrefs(F.col("html"))).alias("link_pos", "href"))
+    return pages.select("page_id", "url", F.posexplode(_hrefs()).alias("link_pos", "href"))
 
 
 def _followable(href: Column) -> Column:
@@ -26,8 +35,7 @@ def _followable(href: Column) -> Column:
 
 def resolve_links(links: DataFrame) -> DataFrame:
     """Add `dst`, the absolute target without fragment; NULL for hrefs never followed."""
-    return stage(links, dst=F.when(
-        _followable(F.col("href")), resolved_link(F.col("url"), F.col("href"))))
+    return stage(links, dst=_target())
 
 
 def web_target(dst: Column) -> Column:

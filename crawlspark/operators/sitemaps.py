@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.staging import built_once
 from ..functions.text import decode_references, strip
 from ..functions.urls import host_of, same_site, scheme_of
 from ..session import cut_lineage, rows_for_keys
@@ -34,11 +35,22 @@ def locations(xml: Column) -> Column:
     return F.array_remove(F.transform(raw, text), "")
 
 
+@built_once
+def _all_locations() -> Column:
+    return locations(F.col("_xml"))
+
+
+@built_once
+def _listed_pages() -> Column:
+    return F.slice(
+        F.filter("locs", lambda u: page_loc(u, F.col("host"))), F.lit(1), F.col("max_urls"))
+
+
 def sitemap_locs(sitemaps: DataFrame) -> DataFrame:
     """sitemap_url, is_index, locs ARRAY. A urlset lists a location once, an index as often as
     it is written."""
     parsed = sitemaps.select("sitemap_url", _without_comments(F.col("xml")).alias("_xml")).select(
-        "sitemap_url", is_index(F.col("_xml")).alias("is_index"), locations(F.col("_xml")).alias("_all"))
+        "sitemap_url", is_index(F.col("_xml")).alias("is_index"), _all_locations().alias("_all"))
     return parsed.select(
         "sitemap_url", "is_index",
         F.when(F.col("is_index"), F.col("_all")).otherwise(F.array_distinct("_all")).alias("locs"))
@@ -49,7 +61,7 @@ def all_loc_rows(sitemaps: DataFrame) -> DataFrame:
     plain = sitemaps.select("sitemap_url", _without_comments(F.col("xml")).alias("_xml"))
     return plain.select(
         "sitemap_url", is_index(F.col("_xml")).alias("is_index"),
-        F.posexplode(locations(F.col("_xml"))).alias("pos", "loc"))
+        F.posexplode(_all_locations()).alias("pos", "loc"))
 
 
 def loc_rows(sitemaps: DataFrame) -> DataFrame:
@@ -77,8 +89,7 @@ def sitemap_expand(starts: DataFrame, sitemaps: DataFrame, group: list[str]) ->
     only documents that start below the cap are unfolded.
     """
     documents = sitemap_locs(sitemaps)
-    pages = F.slice(
-        F.filter("locs", lambda u: page_loc(u, F.col("host"))), F.lit(1), F.col("max_urls"))
+    pages = _listed_pages()
     dims = ["host", "max_urls"]
     candidates = starts.select(*group, *dims, "sitemap_url", F.array(F.lit(0).cast("bigint")).alias("path"))
     seen: DataFrame | None = None

@@ -7,14 +7,15 @@ from pyspark.sql import functions as F
 
 from ..fixed_values import DEFAULT_DOCUMENT_NAME, MAX_BODY_BYTES, MAX_EXPORT_BATCH
 from ..functions.html import (
-    block_heading,
-    block_text,
-    document_title,
     landmarks,
     main_block,
     outside_boilerplate,
+    page_nodes,
+    page_text,
+    page_title,
     without_raw_text,
 )
+from ..functions.staging import built_once
 from ..functions.urls import bare_host, host_of, same_site
 from ..operators.dedupe import language_dedupe
 from ..operators.progress import cap_per_seed
@@ -22,20 +23,30 @@ from ..operators.robots import robots_allowed, seed_policies
 from ..operators.scope import in_scope
 
 
+@built_once
+def _text_stages(html: str) -> list[tuple[str, Column]]:
+    """Columns added one after the other, each from the one before."""
+    pieces, block = F.col("_pieces"), F.col("_block")
+    return [
+        ("_all", landmarks(without_raw_text(F.col(html)))),
+        ("_pieces", outside_boilerplate(F.col("_all"))),
+        ("_block", main_block(pieces)),
+        ("_nodes", page_nodes(pieces, block)),
+    ]
+
+
+@built_once
+def _text_results() -> list[Column]:
+    nodes = F.col("_nodes")
+    return [page_title(nodes).alias("title"), page_text(nodes).alias("text")]
+
+
 def with_text_and_title(pages: DataFrame, html: str = "html") -> DataFrame:
     """Replace the body by `title` and `text`, in stages so that each cut runs once."""
     kept = [c for c in pages.columns if c != html]
-    block = F.col("_block")
-    heading = F.nullif(block_heading(block), F.lit(""))
-    return (
-        pages.withColumn("_all", landmarks(without_raw_text(F.col(html))))
-        .withColumn("_pieces", outside_boilerplate(F.col("_all")))
-        .withColumn("_block", main_block(F.col("_pieces")))
-        .select(
-            *kept,
-            F.coalesce(heading, document_title(F.col("_pieces")), F.lit("")).alias("title"),
-            block_text(block).alias("text"))
-    )
+    for name, column in _text_stages(html):
+        pages = pages.withColumn(name, column)
+    return pages.select(*kept, *_text_results())
 
 
 def before_fetch(url: Column, seed_host: Column, status: Column, rules: Column) -> Column:
