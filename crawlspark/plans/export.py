@@ -100,18 +100,19 @@ def fetch_verdict(requests: DataFrame, seeds: DataFrame, policy: DataFrame,
 def export_rows(verdicts: DataFrame, bodies: DataFrame) -> DataFrame:
     """seed_id, pos, url, title, text, error.
 
-    `bodies` (url, html) is keyed by the requested URL. Only pages that passed meet their
-    bodies; the refused rows are added without reading one.
+    `bodies` (url, html) is keyed by the requested URL; stored bucketed by `url`, it is joined
+    without a shuffle. The verdicts are read once: refused rows go through the same outer join
+    under keys of their own, which match no body and spread evenly, and skip the text work.
     """
-    passed = verdicts.filter("error IS NULL").select("seed_id", "pos", "url", "final_url")
-    texts = with_text_and_title(passed.join(bodies.select("url", "html"), "url").drop("url"))
-    refused = verdicts.filter("error IS NOT NULL")
-    return texts.select(
-        "seed_id", "pos", F.col("final_url").alias("url"), "title", "text",
-        F.lit(None).cast("string").alias("error"),
-    ).unionByName(refused.select(
-        "seed_id", "pos", "url", F.lit(None).cast("string").alias("title"),
-        F.lit(None).cast("string").alias("text"), "error"))
+    no_body = F.concat_ws(" ", F.lit("refused"), F.col("seed_id"), F.col("pos"))
+    keyed = verdicts.withColumn("_key", F.when(F.col("error").isNull(), F.col("url")).otherwise(no_body))
+    joined = keyed.join(bodies.select(F.col("url").alias("_key"), "html"), "_key", "left").select(
+        "seed_id", "pos", F.col("final_url").alias("url"), "html",
+        F.coalesce("error", F.when(F.col("html").isNull(), "no_response")).alias("error"))
+    ok = F.col("error").isNull()
+    return with_text_and_title(joined).select(
+        "seed_id", "pos", "url", F.when(ok, F.col("title")).alias("title"),
+        F.when(ok, F.col("text")).alias("text"), "error")
 
 
 def export_pages(requests: DataFrame, seeds: DataFrame, policy: DataFrame, responses: DataFrame,
@@ -134,12 +135,21 @@ def ndjson_lines(rows: DataFrame) -> DataFrame:
     return rows.select("seed_id", "pos", F.to_json(page_object(), {"ignoreNullFields": "true"}).alias("line"))
 
 
+def export_part(pos: Column) -> Column:
+    """Export batch a position falls into: blocks of positions of the batch size."""
+    return F.floor(pos / MAX_EXPORT_BATCH).cast("bigint")
+
+
 def write_ndjson(rows: DataFrame, path: str) -> None:
-    """One object per line, range-partitioned in request order, so that files read in name
-    order give the rows in order; a large seed spreads over many files."""
+    """One object per line; the lines of a batch lie together and in request order.
+
+    Hash partitions by (seed, batch): a large seed spreads over many files, and no sampling
+    pass runs the text work a second time, as a range partitioning would.
+    """
+    part = export_part(F.col("pos"))
     (
-        ndjson_lines(rows).repartitionByRange("seed_id", "pos")
-        .sortWithinPartitions("seed_id", "pos").select("line")
+        ndjson_lines(rows).withColumn("part", part).repartition("seed_id", "part")
+        .sortWithinPartitions("seed_id", "part", "pos").select("line")
         .write.mode("overwrite").text(path)
     )
 
@@ -157,8 +167,7 @@ def site_documents(rows: DataFrame, seeds: DataFrame) -> DataFrame:
     A document covers one export batch: `part` counts blocks of positions of that size, so an
     array never outgrows a batch, however many pages a site has.
     """
-    part = F.floor(F.col("pos") / MAX_EXPORT_BATCH).cast("bigint")
-    gathered = rows.groupBy("seed_id", part.alias("part")).agg(
+    gathered = rows.groupBy("seed_id", export_part(F.col("pos")).alias("part")).agg(
         F.array_sort(F.collect_list(F.struct("pos", "url", "title", "text", "error"))).alias("pages"))
     return gathered.join(seeds.select("seed_id", F.col("url").alias("base_url")), "seed_id").select(
         document_name(F.col("base_url")).alias("name"), "base_url", "part", "pages")

@@ -357,3 +357,32 @@ def test_text_job_is_one_stage(spark):
 def test_checkpoint_folder_comes_from_the_session(spark):
     named = spark.conf.get("spark.checkpoint.dir", None)
     assert named is None or session.checkpoint_dir(spark).startswith(("file:" + named, named))
+
+
+def test_export_rows_keep_every_request(spark):
+    verdicts = spark.createDataFrame(
+        [(1, 1, "https://h.be/a", "https://h.be/b", None), (1, 2, "https://h.be/c", "https://h.be/c", "robots"), (1, 3, "https://h.be/d", "https://h.be/d", None)],
+        "seed_id long, pos long, url string, final_url string, error string")
+    bodies = spark.createDataFrame([("https://h.be/a", "<title>t</title><body>x"), ("https://h.be/c", "<body>no")], "url string, html string")
+    assert rows(export.export_rows(verdicts, bodies), "pos") == [
+        (1, 1, "https://h.be/b", "t", "x", None), (1, 2, "https://h.be/c", None, None, "robots"), (1, 3, "https://h.be/d", None, None, "no_response")]
+
+
+def test_ndjson_files_keep_the_order_of_a_batch(spark):
+    path = session.scratch_path(spark, "lines")
+    data = spark.range(6000).select((F.col("id") % 2).alias("seed_id"), F.col("id").alias("pos"), F.concat(F.col("id") % 2, F.lit("/"), F.col("id")).alias("url"),
+                                    F.lit("t").alias("title"), F.lit("x").alias("text"), F.lit(None).cast("string").alias("error"))
+    export.write_ndjson(data.repartition(5), path)
+    import glob
+    import json
+    seen = []
+    for name in glob.glob(path.removeprefix("file:") + "/part-*"):
+        with open(name) as f:
+            last = {}
+            for line in f:
+                seed, pos = json.loads(line)["url"].split("/")
+                batch = (seed, int(pos) // 5000)
+                assert last.get(batch, -1) < int(pos)
+                last[batch] = int(pos)
+                seen.append(int(pos))
+    assert sorted(seen) == list(range(6000))
