@@ -27,7 +27,7 @@ def unquote(c: Column) -> Column:
 def unquote_form(c: Column) -> Column:
     """Form-decode: `+` is a space; a stray `%` stays."""
     escaped = F.regexp_replace(c, "%(?![0-9A-Fa-f]{2})", "%25")
-    return F.when(c.rlike("[%+]"), F.url_decode(escaped)).otherwise(c)
+    return F.when(c.contains("%") | c.contains("+"), F.url_decode(escaped)).otherwise(c)
 
 
 def quote_form(c: Column) -> Column:

@@ -74,27 +74,38 @@ def quota_decisions(events: DataFrame, limit: int = DAILY_SITES,
     `check`. `used` counts the accepted sites up to the event; `retry_after` is 0 unless refused.
     """
     limit = max(1, limit)
-    accepted = (
-        accepted_sites(events, limit, carried)
-        .groupBy("day").agg(F.collect_list(F.struct("site_key", "first")).alias("_accepted"))
+    # one row per day: its accepted sites by name, their claims, and when the last one came
+    accepted = accepted_sites(events, limit, carried).groupBy("day").agg(
+        F.map_from_entries(F.collect_list(F.struct("site_key", "first"))).alias("_by_site"),
+        F.collect_list(F.struct("first")).alias("_claims"),
+        F.count("*").alias("_n"),
+        F.max("first").alias("_last"),
     )
     if limit <= BROADCAST_LIMIT:
         accepted = F.broadcast(accepted)
+    c = F.col
     now = F.struct("ts", "event_id")
-    own = F.get(F.filter("_accepted", lambda a: a["site_key"] == F.col("site_key")), F.lit(0))
-    used = F.size(F.filter(
-        F.coalesce("_accepted", F.array()), lambda a: a["first"].isNull() | (a["first"] <= now)))
+    before = F.size(F.filter("_claims", lambda a: a["first"].isNull() | (a["first"] <= now)))
+    used = (
+        F.when(c("_n").isNull(), F.lit(0))
+        # most events come after the day is full: nothing to look through
+        .when(c("_last").isNull() | (c("_last") <= now), c("_n"))
+        .otherwise(before)
+    )
     staged = (
         with_day_and_site(events).join(accepted, "day", "left")
-        .withColumns({"_own": own, "used": used.cast("bigint"), "_now": now})
+        .withColumns({
+            "_now": now, "used": used.cast("bigint"),
+            "_known": F.coalesce(F.map_contains_key("_by_site", c("site_key")), F.lit(False)),
+            "_own": F.try_element_at("_by_site", c("site_key")),
+        })
     )
-    c = F.col
-    here = c("_own").isNotNull() & (c("_own.first").isNull() | (c("_own.first") <= c("_now")))
+    here = c("_known") & (c("_own").isNull() | (c("_own") <= c("_now")))
     decision = (
         F.when((c("op") == "check") & here, "already")
         .when(c("op") == "check", F.when(c("used") >= limit, "limit").otherwise("ok"))
         .when(~here, "limit")
-        .when(c("_own.first") == c("_now"), "claimed")
+        .when(c("_own") == c("_now"), "claimed")
         .when(c("op") == "discover", "already")
         .otherwise("continued")
     )
