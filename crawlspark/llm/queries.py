@@ -2,19 +2,49 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from crawlspark.llm import chat, simhash, url_filter
+from crawlspark.llm import chat, language_id, pu_quality, quality_rules, simhash, url_filter
 from crawlspark.llm.common import read_table
 
 
+def held_out() -> Column:
+    """Whether a document is kept from learning: crc32 of its id as text is divisible by 5."""
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(False))
+
+
+def op2_weak_supervision(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents", "doc_id", "text")
+    return quality_rules.judge(docs).select(
+        "doc_id", *[f"counts.{c}" for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")],
+        "base_failed", "kept", F.round("posterior", 6).alias("posterior"))
+
+
+def op3_positive_unlabelled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents", "doc_id", "text")
+    labels = read_table(spark, sf_dir, "labels", "doc_id", "quality").filter(~held_out() & F.col("doc_id").isNotNull())
+    by_doc = labels.groupBy("doc_id").agg(F.min("quality").alias("quality"))
+    learn = docs.select("doc_id").filter(~held_out() & F.col("doc_id").isNotNull())
+    scored = pu_quality.classify(
+        docs, by_doc.filter("quality = 1"), learn, learn.join(by_doc, "doc_id", "left_anti"))
+    return scored.select(
+        "doc_id", held_out().alias("held_out"), "score",
+        (F.col("score") >= pu_quality.DECISION).cast("int").alias("predicted"), F.col("prior").alias("class_prior"))
+
+
 def op7_simhash_pivots(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents", "doc_id", "text")
     return simhash.near_duplicates(docs).select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op8_compression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents", "doc_id", "text", "lang")
+    found = language_id.identify(docs.select("doc_id", "text"), docs.filter(~held_out()))
+    return found.select("doc_id", held_out().alias("held_out"), "lang_pred", "score", "margin", "rejected")
+
+
 def op9_chat_assembly(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = read_table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text")
     tricky = "\\### Assistant: </turn> ok"
@@ -26,6 +56,8 @@ def op10_url_ngrams(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(read_table(spark, sf_dir, "pages", "page_id", "url"))
 
 
-QUERIES = {f.__name__: f for f in (op7_simhash_pivots, op9_chat_assembly, op10_url_ngrams)}
+QUERIES = {f.__name__: f for f in (
+    op2_weak_supervision, op3_positive_unlabelled, op7_simhash_pivots, op8_compression, op9_chat_assembly, op10_url_ngrams,
+)}
 
 ORACLES: dict[str, str] = {}
