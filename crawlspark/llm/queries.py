@@ -5,7 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from crawlspark.llm import chat, language_id, pu_quality, quality_rules, simhash, url_filter
+import public_tokenizers
+
+from crawlspark.llm import (
+    chat, decontaminate, language_id, packing, pu_quality, quality_rules, sentence_spans, simhash, url_filter, warc_derive,
+)
 from crawlspark.llm.common import read_table
 
 
@@ -14,6 +18,11 @@ def held_out() -> Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(False))
 
 
+def op1_bm25_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents", "doc_id", "text")
+    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
+
+
 def op2_weak_supervision(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents", "doc_id", "text")
     return quality_rules.judge(docs).select(
@@ -33,6 +42,20 @@ def op3_positive_unlabelled(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("score") >= pu_quality.DECISION).cast("int").alias("predicted"), F.col("prior").alias("class_prior"))
 
 
+def op4_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc_derive.derive(warc_derive.responses(read_table(spark, sf_dir, "pages", "page_id", "url", "html")))
+
+
+def op5_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents", "doc_id", "text")
+    return sentence_spans.remove_repeats(docs).select("doc_id", "text", "dedup.n_sentences", "dedup.n_removed")
+
+
+def op6_pigeonhole_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents", "doc_id", "text")
+    return decontaminate.contaminations(docs, read_table(spark, sf_dir, "benchmark", "item_id", "text"))
+
+
 def op7_simhash_pivots(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents", "doc_id", "text")
     return simhash.near_duplicates(docs).select(
@@ -57,7 +80,8 @@ def op10_url_ngrams(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op2_weak_supervision, op3_positive_unlabelled, op7_simhash_pivots, op8_compression, op9_chat_assembly, op10_url_ngrams,
+    op1_bm25_packing, op2_weak_supervision, op3_positive_unlabelled, op4_warc_derivatives, op5_sentence_spans,
+    op6_pigeonhole_edits, op7_simhash_pivots, op8_compression, op9_chat_assembly, op10_url_ngrams,
 )}
 
 ORACLES: dict[str, str] = {}
