@@ -29,7 +29,12 @@ _ATTRS = "[^>\"']*+(?:(?:\"[^\"]*+\"|'[^']*+')[^>\"']*+)*+>"
 _RAW = "|".join(f"{e}{_END}.*?(?:</{e}{_END}[^>]*+>|\\z)" for e in RAW_ELEMENTS)
 COMMENTS_AND_RAW = f"(?is)<(?:!--(?:-?>|.*?(?:--!?>|\\z))|{_RAW})"
 TAG = f"<(?:/?[a-zA-Z](?:{_ATTRS}|[^>]*+>)|[!?][^>]*+>)"
-LANDMARK = f"(?i)<(?=/?(?:{'|'.join((*NESTING_ELEMENTS, *BLOCK_ELEMENTS, *TEXT_ELEMENTS))})[\\s/>])"
+LANDMARK = f"(?i)<(?=/?(?:{'|'.join((*BLOCK_ELEMENTS, *TEXT_ELEMENTS))})[\\s/>])"
+BOILERPLATE = f"(?i)<(?=/?(?:{'|'.join(NESTING_ELEMENTS)})[\\s/>])"
+# Elements whose text is not part of a page's text: alternatives and annotations.
+_SILENT = "(?is)<(template|rt|rp)(?=[\\s/>]).*?(?:</\\1\\s*>|</ruby\\s*>|\\z)"
+# Tags are followed in blocks of this many, so that what is copied per tag stays short.
+FOLD_BLOCK = 1024
 # Left where something was cut, so that the texts around it stay apart.
 CUT = "<!>"
 
@@ -39,14 +44,85 @@ def without_raw_text(html: Column) -> Column:
     return F.regexp_replace(html, COMMENTS_AND_RAW, CUT)
 
 
+def boilerplate_chunks(markup: Column) -> Column:
+    """Markup cut before each tag of nav, header, footer and noscript; chunks lack their `<`."""
+    return F.split(markup, BOILERPLATE)
+
+
+def boilerplate_mask(chunks: Column) -> Column:
+    """One byte per chunk after the first: 1 where no nav, header, footer or noscript is open.
+
+    Read in order with the stack of open elements. A closing tag closes up to its own opening
+    tag; one without an opening tag is ignored. The stack is a byte string with one letter per
+    open element, split into what a block of tags found open (`base`) and what it opened itself
+    (`top`): a tag copies a block's worth of bytes at most, unless it closes below it.
+    """
+    names = "|".join(NESTING_ELEMENTS)
+    none = F.lit(b"")
+
+    def code(p: Column) -> Column:
+        name = F.lower(F.regexp_extract(p, f"(?i)^/?({names})[\\s/>]", 1))
+        letter = F.element_at(F.create_map(*[F.lit(x) for k, e in enumerate(NESTING_ELEMENTS) for x in (e, chr(97 + k))]), name)
+        return F.when(p.startswith("/"), F.upper(letter)).otherwise(letter)
+
+    def last(stack: Column, letter: Column) -> Column:
+        """Elements above the last one of that letter, or the size of the stack without one."""
+        return F.octet_length(F.call_function("substring_index", stack.cast("string"), letter, F.lit(-1)))
+
+    def below(stack: Column, above: Column) -> Column:
+        return F.substring(stack, F.lit(1), F.octet_length(stack) - above - 1)
+
+    def step(acc: Column, c: Column) -> Column:
+        letter = F.lower(c)
+
+        def moved(on_top: Column, in_base: Column) -> Column:
+            shut = c != letter
+            closes_top = shut & (on_top < F.octet_length(acc["top"]))
+            closes_base = shut & ~closes_top & (in_base < F.octet_length(acc["base"]))
+            base = F.when(closes_base, below(acc["base"], in_base)).otherwise(acc["base"])
+            top = (
+                F.when(~shut, F.concat(acc["top"], letter.cast("binary")))
+                .when(closes_top, below(acc["top"], on_top))
+                .when(closes_base, none).otherwise(acc["top"]))
+            return record(base=base, top=top)
+
+        both = let(
+            record(t=F.when(c != letter, last(acc["top"], letter)), b=F.when(c != letter, last(acc["base"], letter))),
+            lambda k: moved(k["t"], k["b"]))
+        return let(both, lambda s: record(
+            base=s["base"], top=s["top"], mask=F.concat(acc["mask"], F.when(
+                (F.octet_length(s["base"]) == 0) & (F.octet_length(s["top"]) == 0), F.lit(b"1")).otherwise(F.lit(b"0")))))
+
+    codes = F.transform(F.slice(chunks, F.lit(2), F.size(chunks)), code)
+
+    def block(acc: Column, at: Column, codes: Column) -> Column:
+        inner = F.aggregate(
+            F.slice(codes, at, F.lit(FOLD_BLOCK)), record(base=acc["stack"], top=none, mask=none), step)
+        return let(inner, lambda i: record(
+            stack=F.concat(i["base"], i["top"]), mask=F.concat(acc["mask"], i["mask"])))
+
+    def folded(codes: Column) -> Column:
+        starts = F.when(F.size(codes) > 0, F.sequence(F.lit(1), F.size(codes), F.lit(FOLD_BLOCK))).otherwise(
+            F.array().cast("array<int>"))
+        return F.aggregate(starts, record(stack=none, mask=none), lambda acc, at: block(acc, at, codes))["mask"]
+
+    return let(codes, folded)
+
+
+def outside_boilerplate(chunks: Column, mask: Column) -> Column:
+    """Markup outside nav, header, footer and noscript elements, nested ones included."""
+    # bound first: inlined into the filter, the mask would be built again for every chunk
+    return let(mask, lambda m: F.array_join(
+        F.filter(chunks, lambda p, i: (i == 0) | (F.substring(m, i, F.lit(1)) == F.lit(b"1"))), "<"))
+
+
 def landmarks(markup: Column) -> Column:
     """ARRAY<STRUCT<name, shut, body>>: markup cut before each tag of the elements that matter.
 
-    A page has a handful of them. Everything below works on this array, so the page is scanned
-    once here and its text once more for the tags in it. `body` has no `<` in front; the first
-    piece has no name.
+    Everything below works on this array, so the page is scanned once here and its text once more
+    for the tags in it. `body` has no `<` in front; the first piece has no name.
     """
-    names = "|".join((*NESTING_ELEMENTS, *BLOCK_ELEMENTS, *TEXT_ELEMENTS))
+    names = "|".join((*BLOCK_ELEMENTS, *TEXT_ELEMENTS))
 
     def piece(p: Column) -> Column:
         return record(
@@ -59,31 +135,6 @@ def landmarks(markup: Column) -> Column:
             i == 0, record(name=F.lit(""), shut=F.lit(False), body=p)).otherwise(piece(p)))
 
 
-def outside_boilerplate(pieces: Column) -> Column:
-    """The pieces outside nav, header, footer and noscript elements, nested ones included.
-
-    Read in order with the stack of open elements: a piece is kept while the stack is empty. A
-    closing tag closes up to its own opening tag; one without an opening tag is ignored.
-    """
-    empty = F.array().cast("array<string>")
-    kept_type = "array<struct<name:string,shut:boolean,body:string>>"
-    start = record(open=empty, kept=F.array().cast(kept_type))
-
-    def step(acc: Column, p: Column) -> Column:
-        tracked = p["name"].isin(*NESTING_ELEMENTS)
-        last = F.size(acc["open"]) - F.array_position(F.reverse(acc["open"]), p["name"]).cast("int")
-        opened = (
-            F.when(~tracked, acc["open"])
-            .when(~p["shut"], F.array_append(acc["open"], p["name"]))
-            .when(F.array_contains(acc["open"], p["name"]), F.slice(acc["open"], F.lit(1), last))
-            .otherwise(acc["open"])
-        )
-        return let(opened, lambda o: record(
-            open=o, kept=F.when(F.size(o) == 0, F.array_append(acc["kept"], p)).otherwise(acc["kept"])))
-
-    return F.aggregate(pieces, start, step)["kept"]
-
-
 def _position(pieces: Column, name: str) -> Column:
     """1-based place of the first opening tag of `name`, NULL when there is none."""
     place = F.array_position(
@@ -144,7 +195,8 @@ def _markup(pieces: Column) -> Column:
 
 def text_nodes(markup: Column) -> Column:
     """Decoded, trimmed, non-empty texts between tags, in order."""
-    nodes = F.transform(F.split(markup, TAG), lambda t: strip(decode_references(t)))
+    heard = F.when(markup.rlike("(?i)<(?:template|rt|rp)[\\s/>]"), F.regexp_replace(markup, _SILENT, CUT)).otherwise(markup)
+    nodes = F.transform(F.split(heard, TAG), lambda t: strip(decode_references(t)))
     return F.array_remove(nodes, "")
 
 

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from ..fixed_values import DEFAULT_DOCUMENT_NAME, MAX_BODY_BYTES, MAX_EXPORT_BATCH
 from ..functions.html import (
+    boilerplate_chunks,
+    boilerplate_mask,
     landmarks,
     main_block,
     outside_boilerplate,
@@ -28,8 +30,9 @@ def _text_stages(html: str) -> list[tuple[str, Column]]:
     """Columns added one after the other, each from the one before."""
     pieces, block = F.col("_pieces"), F.col("_block")
     return [
-        ("_all", landmarks(without_raw_text(F.col(html)))),
-        ("_pieces", outside_boilerplate(F.col("_all"))),
+        ("_chunks", boilerplate_chunks(without_raw_text(F.col(html)))),
+        ("_mask", boilerplate_mask(F.col("_chunks"))),
+        ("_pieces", landmarks(outside_boilerplate(F.col("_chunks"), F.col("_mask")))),
         ("_block", main_block(pieces)),
         ("_nodes", page_nodes(pieces, block)),
     ]

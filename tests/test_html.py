@@ -1,7 +1,11 @@
+import random
+import re
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
-from crawlspark.functions.html import anchor_hrefs
+from crawlspark.functions.html import anchor_hrefs, boilerplate_chunks, boilerplate_mask, outside_boilerplate
 from crawlspark.plans.export import with_text_and_title
 
 X = F.col("x")
@@ -63,3 +67,57 @@ def test_long_inputs_do_not_recurse(spark):
 ])
 def test_anchors(values, html, hrefs):
     assert values(anchor_hrefs(X), [html]) == [hrefs]
+
+
+PAGES_SILENT = {
+    "<body>a<template>t<p>u</p></template>b</body>": "a\nb",
+    "<body><ruby>kan<rp>(</rp><rt>ka</rt><rp>)</rp></ruby> x</body>": "kan\nx",
+    "<body><ruby>kan<rt>ka</ruby> x<rtc>y</rtc></body>": "kan\nx\ny",
+    "<body>a<template>never closed <b>x</b></body>": "a",
+}
+
+
+def test_silent_elements(spark):
+    df = spark.createDataFrame([(i, h) for i, h in enumerate(PAGES_SILENT)], "i int, html string")
+    assert [r.text for r in with_text_and_title(df).orderBy("i").collect()] == list(PAGES_SILENT.values())
+
+
+def plain_outside(html):
+    """The stack of boilerplate elements, tag by tag."""
+    parts, stack, out = re.split(r"(?i)<(?=/?(?:nav|header|footer|noscript)[\s/>])", html), [], []
+    for i, p in enumerate(parts):
+        if i:
+            name = re.match(r"/?(\w+)", p)[1].lower()
+            if not p.startswith("/"):
+                stack.append(name)
+            elif name in stack:
+                while stack.pop() != name:
+                    pass
+        if not stack:
+            out.append(p)
+    return "<".join(out)
+
+
+def test_boilerplate_against_a_stack(spark):
+    rng = random.Random(1)
+    tags = ["<nav>", "</nav>", "<header a='b'>", "</header>", "<FOOTER>", "</footer>", "<noscript>", "</noscript >", "t", "<p>"]
+    pages = ["".join(rng.choice(tags) for _ in range(n)) for n in [*range(60), 5000, 5000, 9000]]
+    pages += ["<nav>" * 3000 + "</nav>" * 2999 + "x</nav>y", "<nav>" * 2000 + "<header>" * 3000 + "</nav>" * 1999 + "</nav>y"]
+    df = spark.createDataFrame([(i, h) for i, h in enumerate(pages)], "i int, html string")
+    cut = df.withColumn("c", boilerplate_chunks(F.col("html"))).withColumn("m", boilerplate_mask(F.col("c")))
+    got = [r.o for r in cut.select("i", outside_boilerplate(F.col("c"), F.col("m")).alias("o")).orderBy("i").collect()]
+    assert got == [plain_outside(p) for p in pages]
+
+
+@pytest.mark.parametrize("tag", ["h1", "title", "main", "article", "body", "nav", "header", "footer", "noscript", "template", "rt"])
+def test_time_grows_with_the_number_of_tags(spark, tag):
+    def seconds(n, shape):
+        df = spark.createDataFrame([("<body>" + shape * n,)], "html string")
+        start = time.perf_counter()
+        with_text_and_title(df).collect()
+        return time.perf_counter() - start
+
+    for shape in (f"<{tag}>x</{tag}>", f"<{tag}>x"):
+        seconds(100, shape)
+        few, many = seconds(4_000, shape), seconds(64_000, shape)
+        assert many < 32 * max(few, 0.25), (shape, few, many)
