@@ -12,13 +12,15 @@ from __future__ import annotations
 
 import math
 import os
-import re
+import string
 import unicodedata
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,18 +33,19 @@ ID_LIMIT = 1 << 16
 SHARD_TOKENS = 2_000_000
 QUERY_TERMS = 24
 K1, B = 1.2, 0.75
-# words remembered per generation by a Python worker: two are about 100 MB
-MEMO_WORDS = 250_000
+# words remembered per generation by a Python worker: two are about 160 MB
+MEMO_WORDS = 400_000
+
+# marks that end a word; an apostrophe may belong to letters after it
+MARKS = string.punctuation.replace("'", "")
+# bytes of text encoded at once: a word is looked up once for all of them
+ENCODED_BYTES = 12_000_000
 
 FULL, REST, TERMS = 0, 1, 2
 _ROWS = "kind int, doc_id bigint, start bigint, length bigint, crc bigint, doc_tokens bigint, ids binary"
 PIECES = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint"
 
 
-# letters whose lower case depends on nothing around them
-_BEYOND_LATIN = re.compile("[^\0-\u024f]|\u0130")
-
-
 def _byte_letters() -> dict[int, str]:
     """Byte → letter, as byte-level vocabularies spell bytes: printable Latin-1 as itself, others from U+0100 on."""
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -50,49 +53,94 @@ def _byte_letters() -> dict[int, str]:
     return {**{b: chr(b) for b in plain}, **{b: chr(256 + k) for k, b in enumerate(others)}}
 
 
-class Encoder(dict):
-    """Texts to token ids, remembering the ids of words between blanks.
+class Encoder:
+    """Columns of texts to token ids, each distinct word of a batch looked up once.
 
-    The tokenizer never joins text across a blank or a line end, drops both, and lowers letters, so
-    the ids of a text are those of its words in order. A word of letters alone goes to the
-    vocabulary directly; of a word that ends in `.` or `,` after letters, that mark is a token of its
-    own; all others go through the whole tokenizer. The last and the present generation of
-    remembered words are kept, so frequent ones stay.
+    The tokenizer never joins text across ASCII white space, drops it, and lowers letters, so the ids
+    of a text are those of its words in order. Arrow splits a batch into words and numbers the
+    distinct ones; their ids are remembered, and numpy lays them out in order. A word of letters
+    alone goes to the vocabulary directly; of letters with marks after them, the tokenizer parts the
+    two, and so does this; all others go through the whole tokenizer. The last and the present
+    generation of remembered words are kept, so frequent ones stay.
     """
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
-        self.model, self.letters, self.older = self.tokenizer.model, _byte_letters(), {}
+        self.model, self.letters = self.tokenizer.model, _byte_letters()
+        self.words: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
-    def __missing__(self, word: str) -> bytes:
-        ids = self.older.get(word)
+    def _word(self, word: str) -> bytes:
+        ids = self.words.get(word)
         if ids is None:
-            ids = self._ids(word)
-        if len(word) <= 64:
-            self[word] = ids
+            ids = self.older.get(word)
+            if ids is None:
+                ids = self._ids(word)
+            if len(word) <= 64:
+                self.words[word] = ids
         return ids
 
     def _ids(self, word: str) -> bytes:
-        if word.isalpha() and word == word.lower() and (word.isascii() or unicodedata.is_normalized("NFC", word)):
-            spelled = word if word.isascii() else word.encode().decode("latin-1").translate(self.letters)
-            return np.array([t.id for t in self.model.tokenize(spelled)], "<u2").tobytes()
-        base = word[:-1]
-        if word[-1:] in (".", ",") and base.isalpha() and (
+        if word.isalpha() and (word.isascii() or unicodedata.is_normalized("NFC", word)):
+            low = word.lower()
+            if low == word:
+                spelled = word if word.isascii() else word.encode().decode("latin-1").translate(self.letters)
+                return array("H", [t.id for t in self.model.tokenize(spelled)]).tobytes()
+            if low.isalpha() and "\u03a3" not in word:  # the lower case of a sigma depends on its place
+                return self._word(low)
+        base = word.rstrip(MARKS)
+        if len(base) < len(word) and base.isalpha() and (
                 base.isascii() or base.lower().isalpha() and unicodedata.is_normalized("NFC", base)):
-            return self[base] + self[word[-1]]
-        return np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u2").tobytes()
-
-    def encode(self, text: str) -> np.ndarray:
-        if len(self) > MEMO_WORDS:
-            self.older = dict(self)
-            self.clear()
-        if "<|" not in text and not _BEYOND_LATIN.search(text):
-            text = text.lower()
-        return np.frombuffer(b"".join(map(self.__getitem__, text.replace("\n", " ").split(" "))), "<u2")
+            return self._word(base) + self._word(word[len(base):])
+        return array("H", self.tokenizer.encode(word, add_special_tokens=False).ids).tobytes()
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts, where each text's begin and the end); null is empty."""
+        if len(self.words) > MEMO_WORDS:
+            self.older, self.words = self.words, {}
+        texts = texts.fill_null("")
+        if not pc.any(pc.match_substring(texts, "<|")).as_py():  # special tokens are found before letters are lowered
+            texts = pc.ascii_lower(texts)
+        split = pc.ascii_split_whitespace(texts)
+        numbered = split.flatten().dictionary_encode()
+        distinct = numbered.dictionary.to_numpy(zero_copy_only=False).tolist()
+        known = list(map(self.words.get, distinct))
+        coded = [self._word(w) if ids is None else ids for w, ids in zip(distinct, known)]
+        sizes = np.fromiter(map(len, coded), np.int64, len(coded)) // 2
+        flat = np.frombuffer(b"".join(coded), "<u2")
+        word = numbered.indices.to_numpy(zero_copy_only=False)
+        n = sizes[word]
+        ends = np.r_[0, np.cumsum(n)]
+        begin = np.r_[0, np.cumsum(sizes)][:-1]
+        ids = flat[np.repeat(begin[word] - ends[:-1], n) + np.arange(ends[-1])]
+        offsets = split.offsets.to_numpy()
+        return ids, ends[offsets - offsets[0]]
+
+
+def slices(batches: Iterator[pa.RecordBatch], size: int = ENCODED_BYTES) -> Iterator[pa.RecordBatch]:
+    """The rows in runs of about `size` bytes of text (column 1), at least one row each."""
+    held, held_bytes = [], 0
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        n = pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False)
+        part = (np.cumsum(n) + held_bytes) // size
+        bounds = np.r_[0, np.flatnonzero(np.diff(part)) + 1, len(part)]
+        for lo, hi in zip(bounds, bounds[1:]):
+            if lo or (held and part[0]):
+                yield _joined(held)
+                held, held_bytes = [], 0
+            held.append(batch.slice(lo, hi - lo))
+            held_bytes += int(n[lo:hi].sum())
+    if held:
+        yield _joined(held)
+
+
+def _joined(batches: list[pa.RecordBatch]) -> pa.RecordBatch:
+    return pa.Table.from_batches(batches).combine_chunks().to_batches()[0]
 
 
 _encoders: dict[str, Encoder] = {}
@@ -115,10 +163,11 @@ def _tokenised(path: str, window: int, end_id: int):
         enc = encoder(path)
         seen = np.zeros(ID_LIMIT, np.int64)
         docs = tokens = 0
-        for batch in batches:
+        for part in slices(batches):
             rows = []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                ids = np.append(enc.encode(text or ""), np.uint16(end_id))
+            all_ids, at_ = enc.encode(part.column(1))
+            for k, doc_id in enumerate(part.column(0).to_pylist()):
+                ids = np.append(all_ids[at_[k]: at_[k + 1]], np.uint16(end_id))
                 n = len(ids)
                 whole = n // window * window
                 for at in range(0, whole, window):
@@ -127,11 +176,8 @@ def _tokenised(path: str, window: int, end_id: int):
                     rows.append((REST, doc_id, whole, n - whole, 0, n, ids[whole:].tobytes()))
                     tokens += n - whole
                     docs += 1
-                present = np.zeros(ID_LIMIT, bool)
-                present[ids] = True
-                seen += present
-            if rows:
-                yield _batch(rows)
+                seen[np.unique(ids)] += 1
+            yield _batch(rows)
         yield _batch([(TERMS, None, docs, tokens, 0, 0, seen.astype("<i8").tobytes())])
 
     return run

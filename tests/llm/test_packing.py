@@ -3,6 +3,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 from tokenizers import Tokenizer
 
 from crawlspark.llm import packing
@@ -22,10 +23,21 @@ STRANGE = ["", None, " ", "\n", "É. é, İx. ΣΑΣ. it's. 12,3. x y\tz\x1cq e
 def test_ids_are_the_tokenizers():
     enc = packing.Encoder(PATH)
     rng = random.Random(1)
-    bits = ["the", "The", "THE", "é", "É", "Σ", "ΑΣ", "don't", "'s", ".", ",", "!?", "<|endoftext|>", "1", "23", " ", "  ", "\n", "\t", " ", "\x85", "İ", "ﬁ", "word", "Ünï"]
+    bits = ["the", "The", "THE", "é", "É", "Σ", "ΑΣ", "don't", "'s", ".", ",", "!?", "<|endoftext|>", "***", "###", "()", "-", "_x", "1", "23", " ", "  ", "\n", "\t", " ", "\x85", "İ", "ﬁ", "word", "Ünï"]
     texts = [t for t in STRANGE if t is not None] + ["".join(rng.choice(bits) for _ in range(rng.randrange(30))) for _ in range(800)]
-    for t in texts + texts[::-1]:
-        assert enc.encode(t).tolist() == TOKENIZER.encode(t, add_special_tokens=False).ids, repr(t)
+    for part in (texts, texts[::-1], texts[:3], ["plain", None, ""]):
+        ids, at = enc.encode(pa.array(part, pa.string()))
+        for t, a, b in zip(part, at, at[1:]):
+            assert ids[a:b].tolist() == TOKENIZER.encode(t or "", add_special_tokens=False).ids, repr(t)
+    for t in texts[:200]:  # no special token in the batch: letters are lowered at once
+        ids, _ = enc.encode(pa.array([t]).slice(0))
+        assert ids.tolist() == TOKENIZER.encode(t, add_special_tokens=False).ids, repr(t)
+
+
+def test_slices_keep_rows_in_order():
+    batch = pa.RecordBatch.from_arrays([pa.array(range(7)), pa.array(["x" * 10, None, "", "x" * 95, "x", "x" * 300, "y"])], names=["a", "b"])
+    parts = list(packing.slices(iter([batch.slice(0, 2), batch.slice(2, 0), batch.slice(2, 2), batch.slice(4)]), 100))
+    assert [v for p in parts for v in p.column(0).to_pylist()] == list(range(7)) and len(parts) > 2
 
 
 def check_pieces(rows, docs, window):
