@@ -18,6 +18,7 @@ from crawlspark.session import cut_lineage, scratch_path
 BATCH_ROWS = 512
 
 _shipped: set[str] = set()
+_made: list[str] = []  # folders of stored(), oldest first
 
 
 def prepare(spark: SparkSession) -> SparkSession:
@@ -53,14 +54,27 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     """
     path = scratch_path(df.sparkSession, label)
     df.write.parquet(path)
+    _made.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def text_batches(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[tuple[pa.RecordBatch, list]]:
-    """Each batch with one of its columns as Python values."""
-    for batch in batches:
-        if batch.num_rows:
-            yield batch, batch.column(batch.schema.get_field_index(column)).to_pylist()
+def folders_made() -> int:
+    """How many folders stored() has made so far: a mark for remove_folders()."""
+    return len(_made)
+
+
+def remove_folders(spark: SparkSession, paths: list[str]) -> None:
+    """Delete folders in the file system they lie in; the rows of what read them must be written."""
+    for path in paths:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def folders_since(mark: int) -> list[str]:
+    """The folders made since a mark; they are the caller's from then on."""
+    found = _made[mark:]
+    del _made[mark:]
+    return found
 
 
 def mapped(df: DataFrame, one_batch: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str) -> DataFrame:

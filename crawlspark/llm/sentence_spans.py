@@ -25,8 +25,8 @@ from crawlspark.llm.common import prepare, stored
 
 SENTENCES = 3
 MIN_WORDS = 15
-LONG_WORDS = 16
-CUT_MASK = 3  # on average every fourth word
+LONG_WORDS = 24
+CUT_MASK = 7  # on average every eighth word
 
 _END = re.compile(r"[.!?…。！？]+(?=\s)|\n")
 _WORD = re.compile(r"\S+")
@@ -68,7 +68,7 @@ def sentences(text: str) -> tuple[list[int], list[int], list[bytes]]:
 
 
 def spans(text: str | None, n: int = SENTENCES, min_words: int = MIN_WORDS) -> tuple[np.ndarray, np.ndarray]:
-    """(two 64-bit hashes per run, [first, last + 1] per run).
+    """(64-bit and 32-bit hash per run, [first, last + 1] per run).
 
     From every sentence one run: `n` sentences, or more where these have under `min_words` words.
     """
@@ -89,6 +89,7 @@ def spans(text: str | None, n: int = SENTENCES, min_words: int = MIN_WORDS) -> t
     total = np.cumsum(np.concatenate([np.zeros((1, 2), np.uint64), raw * powers[:-1, None]]), axis=0, dtype=np.uint64)
     inverse = np.cumprod(np.r_[np.uint64(1), np.full(len(keys), np.uint64(pow(int(_FACTOR), -1, 1 << 64)))], dtype=np.uint64)
     found = (total[stops] - total[starts]) * inverse[starts, None] + (stops - starts).astype(np.uint64)[:, None]
+    found[:, 1] >>= np.uint64(32)
     return found.view(np.int64), np.stack([starts, stops], axis=1).astype(np.int32)
 
 
@@ -103,26 +104,27 @@ def all_spans(docs: DataFrame, n: int, min_words: int) -> DataFrame:
             h = np.concatenate([h for h, _ in found])
             where = np.concatenate([w for _, w in found])
             yield pa.RecordBatch.from_arrays(
-                [pa.array(h[:, 0]), pa.array(h[:, 1]), batch.column(0).take(at), batch.column(1).take(at),
-                 pa.array(where[:, 0]), pa.array(where[:, 1])],
+                [pa.array(h[:, 0]), pa.array(h[:, 1].astype(np.uint32).view(np.int32)), batch.column(0).take(at),
+                 batch.column(1).take(at), pa.array(where[:, 0]), pa.array(where[:, 1])],
                 names=["h1", "h2", "doc_id", "text_hash", "first", "stop"])
 
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), _text_hash(), F.col("text").cast("string")).mapInArrow(
-        run, "h1 bigint, h2 bigint, doc_id bigint, text_hash bigint, first int, stop int")
-
-
-def _text_hash():
-    return F.xxhash64(F.col("text").cast("string")).alias("text_hash")
+    text = F.col("text").cast("string")
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.hash(text).alias("text_hash"), text.alias("text")).mapInArrow(
+        run, "h1 bigint, h2 int, doc_id bigint, text_hash int, first int, stop int")
 
 
 def repeated_spans(docs: DataFrame, n: int = SENTENCES, min_words: int = MIN_WORDS) -> DataFrame:
-    """doc_id, text_hash, first, stop of every run that occurred before, in order of doc_id and place."""
+    """doc_id, text_hash, first, stop of every run that occurred before, in order of doc_id and place.
+
+    Runs are counted by hash alone, with partial sums; only those that repeat go on with their
+    places, and of these the earliest is found, again with partial minima.
+    """
     rows = stored(all_spans(docs, n, min_words), "spans")
+    repeated = rows.groupBy("h1", "h2").agg(F.count("*").alias("times")).filter("times > 1").select("h1", "h2")
+    again = stored(rows.join(repeated, ["h1", "h2"], "left_semi"), "repeated_spans")
     place = F.struct("doc_id", "text_hash", "first")
-    seen = (
-        rows.groupBy("h1", "h2").agg(F.min(place).alias("earliest"), F.count("*").alias("times"))
-        .filter("times > 1").select("h1", "h2", "earliest"))
-    return rows.join(seen, ["h1", "h2"]).filter(~place.eqNullSafe(F.col("earliest"))).select(
+    earliest = again.groupBy("h1", "h2").agg(F.min(place).alias("earliest"))
+    return again.join(earliest, ["h1", "h2"]).filter(~place.eqNullSafe(F.col("earliest"))).select(
         "doc_id", "text_hash", "first", "stop")
 
 
@@ -161,7 +163,7 @@ def remove_repeats(docs: DataFrame, n: int = SENTENCES, min_words: int = MIN_WOR
                 for t, r in zip(texts, runs)]
         return pd.DataFrame(rows, columns=["text", "n_sentences", "n_removed"])
 
-    both = docs.toDF(*plain).withColumn("_hash", F.xxhash64(F.col(text).cast("string"))).join(
+    both = docs.toDF(*plain).withColumn("_hash", F.hash(F.col(text).cast("string"))).join(
         covered, F.col(id_).cast("bigint").eqNullSafe(F.col("doc_id")) & (F.col("_hash") == F.col("text_hash")), "left")
     out = both.withColumn("_clean", cleaned(F.col(text).cast("string"), F.col("covered")))
     kept = [F.col("_clean.text") if c == text else F.col(c) for c in plain]
