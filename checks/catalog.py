@@ -23,7 +23,7 @@ from crawlspark.functions.urls import (
 from crawlspark.operators import dedupe, fetch, links, progress, quota, robots, scope, sitemaps, sites
 from crawlspark.operators.crawl import crawl_frontier
 from crawlspark.plans import discover, export
-from crawlspark.session import configure, scratch_path, spread
+from crawlspark.session import configure, scratch_path
 from crawlspark.sources import tables
 from crawlspark.streaming import export as export_stream
 from crawlspark.streaming import quota as quota_stream
@@ -41,6 +41,14 @@ def _query(fn: Query) -> Query:
     return fn
 
 
+def claims_of(events):
+    """Request events (event_id, ts, url, op) of the given event table or stream, all types."""
+    kind = F.col("event_type")
+    op = F.when(kind.isin("view", "signup"), "discover").when(kind.isin("click", "purchase"), "scrape").otherwise("check")
+    url = F.concat(F.lit("https://www.site"), F.col("user_id").cast("string"), F.lit(".example.com/"))
+    return events.select("event_id", "ts", url.alias("url"), op.alias("op"))
+
+
 def _pages(spark, d, with_html=False):
     return tables.scan_pages(spark, f"{d}/pages.parquet", with_html)
 
@@ -92,8 +100,9 @@ def scan_claim_events(spark, d):
 @_query
 def export_ndjson(spark, d):
     path = scratch_path(spark, "ndjson")
-    export.write_ndjson(_exported(spark, d), path)
-    return spark.read.schema("url string, title string, text string, error string").json(path)
+    export.write_ndjson(_exported(spark, d), derived(spark, d, "seeds"), path)
+    return spark.read.schema(
+        "base_url string, index bigint, requested_url string, url string, title string, text string, error string").json(path)
 
 
 @_query
@@ -204,6 +213,24 @@ def fetch_verdict(spark, d):
     return _verdicts(spark, d)
 
 
+def _final_answers(spark, d):
+    """What each address gives in the end: retries first, then redirects with their safety tests."""
+    log = fetch.final_attempt(_stored(spark, d, "hop_log"))
+    hosts = sites.host_verdicts(derived(spark, d, "host_ips"))
+    return fetch.after_redirects(log.select("url"), log, hosts)
+
+
+def _redirected_verdicts(spark, d):
+    # requests name addresses without fragments, as the log does
+    requests = derived(spark, d, "requests").withColumn("url", links.page_address(F.col("url")))
+    return export.fetch_verdict(requests, derived(spark, d, "seeds"), _policy(spark, d), _final_answers(spark, d))
+
+
+@_query
+def fetch_verdict_redirects(spark, d):
+    return _redirected_verdicts(spark, d)
+
+
 @_query
 def selectable_verdict(spark, d):
     return robots.selectable_verdict(
@@ -395,7 +422,7 @@ def unseen_sites(spark, d):
 
 
 def _texts(spark, d):
-    return export.with_text_and_title(spread(derived(spark, d, "page_variants")))
+    return export.with_text_and_title(derived(spark, d, "page_variants"))
 
 
 @_query
@@ -454,6 +481,11 @@ def export_pages(spark, d):
     return _exported(spark, d)
 
 
+@_query
+def export_pages_redirects(spark, d):
+    return export.export_rows(_redirected_verdicts(spark, d), _pages(spark, d, True))
+
+
 # --------------------------------------------------------------------------------- streams
 
 
@@ -461,14 +493,14 @@ def export_pages(spark, d):
 def quota_decisions_stream(spark, d):
     events = quota_stream.read_events(spark, d, "events.parquet")
     return _dated(quota_stream.run_quota_stream(
-        quota_stream.claims_of(events), scratch_path(spark, "quota")))
+        claims_of(events), scratch_path(spark, "quota")))
 
 
 @_query
 def first_claims_stream(spark, d):
     events = quota_stream.read_events(spark, d, "events.parquet")
     return _dated(quota_stream.run_first_claims_stream(
-        quota_stream.claims_of(events), scratch_path(spark, "first-claims")))
+        claims_of(events), scratch_path(spark, "first-claims")))
 
 
 @_query

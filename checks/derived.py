@@ -214,8 +214,20 @@ FROM pg""")
 
 _block("claim_events", (), """
 SELECT event_id, ts, concat('https://www.site', CAST(user_id AS VARCHAR(20)), '.example.com/') AS url,
-       CASE event_type WHEN 'view' THEN 'discover' WHEN 'click' THEN 'scrape' ELSE 'check' END AS op
-FROM events WHERE event_type IN ('view', 'click', 'error')""")
+       CASE WHEN event_type IN ('view', 'signup') THEN 'discover' WHEN event_type IN ('click', 'purchase') THEN 'scrape' ELSE 'check' END AS op
+FROM events""")
+
+# addresses that answer over redirects: some fail once, some lead on, some are no page
+_block("hop_log", ("site_pages",), """
+SELECT s.address AS url, s.attempt,
+       CASE WHEN s.page_id % 20 = 5 AND s.attempt = 0 THEN 503 WHEN t.address IS NOT NULL THEN 302
+            WHEN s.page_id % 20 = 7 THEN 404 WHEN s.page_id % 20 = 8 THEN 403 ELSE 200 END AS status,
+       CASE s.page_id % 20 WHEN 9 THEN 'application/pdf' ELSE 'text/html' END AS content_type,
+       CASE WHEN s.page_id % 20 = 11 THEN 2000001 ELSE 1000 END AS n_bytes,
+       CASE WHEN s.page_id % 20 <> 5 OR s.attempt = 1 THEN t.address END AS location
+FROM (SELECT page_id, address, 0 AS attempt FROM site_pages
+      UNION ALL SELECT page_id, address, 1 FROM site_pages WHERE page_id % 20 = 5) s
+LEFT JOIN site_pages t ON t.page_id = s.page_id + 1 AND s.page_id % 4 <> 3""")
 
 # ordered text aggregation is the one construct the two engines spell differently
 _SPARK = {

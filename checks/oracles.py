@@ -418,24 +418,51 @@ ORACLES["sitemap_expand"] = _with(
 ORACLES["sitemap_locs"] = _with(("sitemaps",), "SELECT sitemap_url, is_index, pos, loc FROM locs", _LOCS)
 ORACLES["loc_distinct"] = _with(("sitemaps",), "SELECT sitemap_url, is_index, pos, loc FROM kept_locs", _LOCS)
 
-ORACLES["redirect_resolve"] = _with(("redirects", "host_ips"), f"""
-SELECT url, current AS final_url, hops,
-       CASE WHEN closed THEN NULL ELSE status END AS status_raw, status AS status,
-       CASE WHEN unresolved THEN 'too_many_redirects' WHEN closed THEN 'closed_network' ELSE 'ok' END AS outcome
-FROM chain WHERE last""", _HOSTS_CLOSED, f"""
+
+
+def chain_ctes(source: str) -> str:
+    """chain: url, current, hops, status, outcome parts; `last` rows are where each url ends."""
+    return f"""
 hop AS (
-  SELECT r.url AS current, r.status, r.location, coalesce(v.closed, false) AS closed
-  FROM redirects r LEFT JOIN verdicts v ON v.host = {host('r.url')}),
+  SELECT r.url AS current, r.status, r.location, v.closed IS NULL AS lost, coalesce(v.closed, false) AS closed
+  FROM {source} r LEFT JOIN verdicts v ON v.host = {host('r.url')}),
 chain AS (
-  SELECT h.current AS url, h.current, CAST(0 AS BIGINT) AS hops, CAST(h.status AS BIGINT) AS status, h.closed, h.location,
-         h.closed OR h.location IS NULL AS last, false AS unresolved FROM hop h
+  SELECT h.current AS url, h.current, CAST(0 AS BIGINT) AS hops, CAST(h.status AS BIGINT) AS status, h.lost, h.closed, h.location,
+         h.lost OR h.closed OR h.location IS NULL AS last, false AS endless FROM hop h
   UNION ALL
   SELECT c.url, CASE WHEN c.hops = 8 THEN c.current ELSE h.current END, CASE WHEN c.hops = 8 THEN 8 ELSE c.hops + 1 END,
-         CASE WHEN c.hops = 8 THEN c.status ELSE h.status END, h.closed, h.location,
-         c.hops = 8 OR h.closed OR h.location IS NULL, c.hops = 8
-  FROM chain c JOIN hop h ON h.current = regexp_replace(c.location, '#.*', '') OR h.current = c.location WHERE NOT c.last)""",
-                                   recursive=True).replace(
-    "CASE WHEN closed THEN NULL ELSE status END AS status_raw, ", "")
+         CASE WHEN c.hops = 8 THEN c.status ELSE h.status END, h.lost, h.closed, h.location,
+         c.hops = 8 OR h.lost OR h.closed OR h.location IS NULL, c.hops = 8
+  FROM chain c JOIN hop h ON h.current = c.location WHERE NOT c.last),
+ends AS (
+  SELECT url, current AS final_url, hops, status, CASE WHEN endless THEN 'too_many_redirects' WHEN lost THEN 'unresolved'
+         WHEN closed THEN 'closed_network' ELSE 'ok' END AS outcome FROM chain WHERE last)"""
+
+
+ORACLES["redirect_resolve"] = _with(
+    ("redirects", "host_ips"), "SELECT url, final_url, hops, status, outcome FROM ends",
+    _HOSTS_CLOSED, chain_ctes("redirects"), recursive=True)
+
+_HOPS = ("requests", "seeds", "robots_txt", "hop_log", "host_ips")
+_BARE = "bare_requests AS (SELECT seed_id, pos, regexp_replace(url, '#.*', '') AS url FROM requests)"
+_REDIRECTED = (_ROBOTS, _HOSTS_CLOSED, """
+last_hops AS (
+  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY url ORDER BY status = 503, attempt) AS rn FROM hop_log) x WHERE rn = 1)""",
+               chain_ctes("last_hops"), _BARE, f"""
+redirected AS (
+  SELECT q.seed_id, q.pos, q.url, e.final_url,
+         CASE WHEN NOT {same_site(host('q.url'), 's.host')} THEN 'other_host'
+              WHEN {first_seg('q.url')} IN ({_EXCLUDED}) THEN 'excluded_path'
+              WHEN NOT {robots_ok('q.url', 's.host')} THEN 'robots'
+              WHEN e.url IS NULL THEN 'no_response' WHEN e.outcome <> 'ok' THEN e.outcome
+              WHEN l.status IN (401, 403) THEN 'not_public'
+              WHEN l.status NOT BETWEEN 200 AND 299 THEN 'http_' || l.status
+              WHEN l.n_bytes > 2000000 THEN 'too_large'
+              WHEN lower(l.content_type) NOT LIKE '%html%' THEN 'not_html' END AS error
+  FROM bare_requests q JOIN seeds s USING (seed_id) LEFT JOIN ends e ON e.url = q.url LEFT JOIN last_hops l ON l.url = e.final_url)""")
+ORACLES["fetch_verdict_redirects"] = _with(_HOPS, """
+SELECT seed_id, pos, url, CASE WHEN error IS NULL THEN final_url ELSE url END AS final_url, error FROM redirected""",
+                                           *_REDIRECTED, recursive=True)
 
 _SITE_ANSWERS = f"site_answers AS (SELECT url, final_url FROM site_responses WHERE {_ANSWERS})"
 
@@ -445,7 +472,7 @@ def fallback_ctes(cap: str, where: str) -> str:
     return expand_ctes(cap, where) + f""",
 best AS (SELECT seed_id, min(guess) AS guess FROM expanded GROUP BY seed_id),
 unlisted AS (
-  SELECT seed_id, url, host, 1 AS max_depth, least(200, {cap}) AS max_pages FROM seeds
+  SELECT seed_id, url, host, 1 AS max_depth, {cap} AS max_pages FROM seeds
   {where} {'AND' if where else 'WHERE'} seed_id NOT IN (SELECT seed_id FROM best)),
 {_SITE_ANSWERS},
 {crawl_ctes('near', 'unlisted', 'site_answers', 'site_links')},
@@ -457,7 +484,7 @@ fallback AS (
 _SITE_INPUTS = ("seeds", "sitemaps", "site_responses", "site_links")
 ORACLES["discovery_fallback"] = _with(
     _SITE_INPUTS, "SELECT seed_id, url, pos, source FROM fallback", fallback_ctes("crawl_max_pages", ""), recursive=True)
-_MODE = fallback_ctes("CASE WHEN mode = 'auto' THEN 5000 ELSE crawl_max_pages END", "WHERE mode <> 'crawl'") + f""",
+_MODE = fallback_ctes("CASE WHEN mode = 'auto' THEN 2000000000 ELSE crawl_max_pages END", "WHERE mode <> 'crawl'") + f""",
 recrawl AS (
   SELECT seed_id, url, host, crawl_depth AS max_depth, crawl_max_pages AS max_pages FROM seeds
   WHERE mode = 'crawl' OR (mode = 'auto' AND (SELECT count(*) FROM fallback f WHERE f.seed_id = seeds.seed_id) < 3)),
@@ -586,12 +613,21 @@ _EXPORTED = (
 wanted AS (
   SELECT seed_id, min(pos) AS pos, arg_min(url, {'r': lang_rank, 'u': url}) AS url FROM keyed GROUP BY seed_id, page_key)""",
     _ROBOTS, _FINAL, verdict_cte("wanted"), text_ctes("pages"), """
+address_texts AS (
+  SELECT regexp_replace(url, '#.*', '') AS address, arg_min(title, url) AS title, arg_min(text, url) AS text FROM texts GROUP BY 1),
 exported AS (
-  SELECT f.seed_id, f.pos, f.url, t.title, t.text, f.error
-  FROM fetched f LEFT JOIN texts t ON t.url = f.url AND f.error IS NULL)""")
+  SELECT f.seed_id, f.pos, f.final_url AS url, t.title, t.text, f.error, f.url AS requested_url
+  FROM fetched f LEFT JOIN address_texts t ON t.address = regexp_replace(f.url, '#.*', '') AND f.error IS NULL)""")
 ORACLES["export_pages"] = _with(
-    _FETCH_INPUTS, "SELECT seed_id, pos, url, title, text, error FROM exported", *_EXPORTED)
-ORACLES["export_ndjson"] = _with(_FETCH_INPUTS, "SELECT url, title, text, error FROM exported", *_EXPORTED)
+    _FETCH_INPUTS, "SELECT seed_id, pos, url, title, text, error, requested_url FROM exported", *_EXPORTED)
+ORACLES["export_pages_redirects"] = _with(_HOPS, """
+SELECT f.seed_id, f.pos, CASE WHEN f.error IS NULL THEN f.final_url ELSE f.url END AS url, t.title, t.text, f.error, f.url AS requested_url
+FROM redirected f LEFT JOIN (
+  SELECT regexp_replace(url, '#.*', '') AS address, arg_min(title, url) AS title, arg_min(text, url) AS text FROM texts GROUP BY 1) t
+  ON t.address = f.final_url AND f.error IS NULL""", *_REDIRECTED, text_ctes("pages"), recursive=True)
+ORACLES["export_ndjson"] = _with(_FETCH_INPUTS, """
+SELECT s.url AS base_url, x.pos AS index, x.requested_url, x.url, x.title, x.text, x.error
+FROM exported x JOIN seeds s USING (seed_id)""", *_EXPORTED)
 ORACLES["export_site_documents"] = _with(_FETCH_INPUTS, """
 SELECT regexp_extract(s.host, '^([^.]*)', 1) AS name, s.url AS base_url, CAST(floor(x.pos / 5000.0) AS BIGINT) AS part,
        row_number() OVER (PARTITION BY x.seed_id, floor(x.pos / 5000.0) ORDER BY x.pos) - 1 AS i,

@@ -6,13 +6,17 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.urls import host_of, same_site
-from ..session import cut_lineage, rows_for_keys
+from ..session import cut_lineage, measured, rows_for_keys
+
+
+# stands for "no limit" where a number is compared
+NO_LIMIT = (1 << 62)
 
 
 def crawl_frontier(seeds: DataFrame, responses: DataFrame, edges: DataFrame) -> DataFrame:
     """seeds (seed_id, url, host, max_depth, max_pages) → seed_id, depth, pos, url, final_url.
 
-    `responses` (url, final_url) holds the addresses that answer with a crawlable page;
+    A NULL `max_pages` is no limit. `responses` (url, final_url) holds the addresses that answer with a crawlable page;
     `edges` (src, link_pos, dst) the links of the pages answering as `src`.
 
     One pass per level: the frontier meets the responses, the answering rows meet their links,
@@ -24,7 +28,7 @@ def crawl_frontier(seeds: DataFrame, responses: DataFrame, edges: DataFrame) ->
     """
     dims = ["seed_id", "host", "max_depth", "left"]
     candidates = seeds.select(
-        "seed_id", "host", "max_depth", F.col("max_pages").cast("bigint").alias("left"), "url",
+        "seed_id", "host", "max_depth", F.coalesce(F.col("max_pages").cast("bigint"), F.lit(NO_LIMIT)).alias("left"), "url",
         F.array(F.lit(0).cast("bigint")).alias("path"))
     by_queue = Window.partitionBy("seed_id").orderBy("path")
     answers = responses.select("url", "final_url")
@@ -36,10 +40,10 @@ def crawl_frontier(seeds: DataFrame, responses: DataFrame, edges: DataFrame) ->
     depth = 0
     while True:
         candidates = cut_lineage(candidates)
-        n_asked = candidates.count()
+        n_asked, asked_bytes = measured(candidates, "url")
         if n_asked == 0:
             break
-        known = rows_for_keys(answers, candidates, "url", n_asked)
+        known = rows_for_keys(answers, candidates, "url", asked_bytes)
         level = cut_lineage(candidates.join(known, "url", "left"))
         asked = level.select("seed_id", "url")
         seen = asked if seen is None else seen.unionByName(asked)
@@ -51,12 +55,14 @@ def crawl_frontier(seeds: DataFrame, responses: DataFrame, edges: DataFrame) ->
         levels.append(answered.select(
             "seed_id", F.lit(depth).alias("depth"), "path", "url", "final_url"))
         spent = F.count("*").over(Window.partitionBy("seed_id"))
+        # a final address may be longer than the asked one, so it is measured by itself
         growing = (
             answered.withColumn("left", F.col("left") - spent)
             .filter((F.col("left") > 0) & (F.col("max_depth") > depth))
         )
+        _, growing_bytes = measured(growing, "final_url")
         found = (
-            growing.join(rows_for_keys(links, growing, "final_url", n_asked), "final_url")
+            growing.join(rows_for_keys(links, growing, "final_url", growing_bytes), "final_url")
             .filter(on_site)
             .select(*dims, F.col("dst").alias("url"), F.array_append("path", F.col("link_pos").cast("bigint")).alias("path"))
             .groupBy("seed_id", "url")

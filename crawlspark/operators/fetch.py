@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..fixed_values import (
-    FETCH_ATTEMPTS,
     MAX_REDIRECTS,
     REDIRECT_STATUSES,
     RETRY_STATUSES,
@@ -17,40 +16,43 @@ from ..functions.html import resolved_link
 from ..functions.staging import built_once
 from ..functions.text import strip
 from ..functions.urls import host_of
-from ..session import cut_lineage, rows_for_keys
+from ..session import cut_lineage, measured, rows_for_keys
 from .links import page_address
 from .sites import unsafe_url
 
-LAST_ATTEMPT = FETCH_ATTEMPTS - 1
-
-
 def retryable(status: Column) -> Column:
     return F.coalesce(status.isin(*RETRY_STATUSES), F.lit(False))
 
 
-def final_attempt(log: DataFrame) -> DataFrame:
+def _within(log: DataFrame, max_attempts: int | None) -> DataFrame:
+    return log if max_attempts is None else log.filter(F.col("attempt") < max_attempts)
+
+
+def final_attempt(log: DataFrame, max_attempts: int | None = None) -> DataFrame:
     """One row per url: the first attempt that is not retryable, else the last one logged.
 
-    A narrow aggregation with map-side partials; page bodies stay out of it.
+    A narrow aggregation with map-side partials; page bodies stay out of it. `max_attempts` leaves
+    later attempts out, as a fetcher that gives up would; None reads all.
     """
     columns = [c for c in log.columns if c != "url"]
-    usable = log.filter(F.col("attempt") <= LAST_ATTEMPT)
-    order = F.when(retryable(F.col("status")), LAST_ATTEMPT + 1 - F.col("attempt")).otherwise(
-        F.col("attempt"))
+    order = F.when(retryable(F.col("status")), -F.col("attempt")).otherwise(F.col("attempt"))
     rank = F.struct(retryable(F.col("status")).alias("r"), order.alias("o"))
-    return usable.groupBy("url").agg(F.min_by(F.struct(*columns), rank).alias("f")).select(
+    return _within(log, max_attempts).groupBy("url").agg(F.min_by(F.struct(*columns), rank).alias("f")).select(
         "url", *[F.col(f"f.{c}") for c in columns])
 
 
-def retry_accounting(log: DataFrame) -> DataFrame:
-    """url, attempts and total seconds waited between them."""
+def retry_accounting(log: DataFrame, max_attempts: int | None = None) -> DataFrame:
+    """url, attempts and total seconds waited between them; nothing is waited for after the last."""
     a = F.col("attempt")
-    waited = retryable(F.col("status")) & (a < LAST_ATTEMPT)
-    wait = F.least(F.lit(WAIT_CAP_SECONDS), F.pow(F.lit(2), a) + WAIT_EXTRA_SECONDS).cast("bigint")
-    return log.filter(a <= LAST_ATTEMPT).groupBy("url").agg(
-        F.count("*").alias("attempts"),
-        F.sum(F.when(waited, wait).otherwise(0)).cast("bigint").alias("wait_seconds"),
-    )
+    wait = F.when(retryable(F.col("status")), F.least(
+        F.lit(WAIT_CAP_SECONDS), F.pow(F.lit(2), a) + WAIT_EXTRA_SECONDS).cast("bigint")).otherwise(0)
+    summed = _within(log, max_attempts).withColumn("_wait", wait).groupBy("url").agg(
+        F.count("*").alias("attempts"), F.sum("_wait").alias("_all"),
+        F.max(F.struct("attempt", "_wait")).alias("_last"))
+    # a log that ends early although the fetcher would have gone on was waited for
+    goes_on = F.lit(False) if max_attempts is None else F.col("_last.attempt") < max_attempts - 1
+    return summed.select("url", "attempts", F.when(goes_on, F.col("_all")).otherwise(
+        F.col("_all") - F.col("_last._wait")).cast("bigint").alias("wait_seconds"))
 
 
 def crawlable(status: Column, content_type: Column) -> Column:
@@ -67,41 +69,44 @@ def _next_address() -> Column:
     return resolved_link(F.col("url"), F.col("location"))
 
 
-def redirect_resolve(urls: DataFrame, responses: DataFrame, closed_hosts: DataFrame | None = None,
+def redirect_resolve(urls: DataFrame, responses: DataFrame, hosts: DataFrame | None = None,
                      max_redirects: int = MAX_REDIRECTS) -> DataFrame:
     """urls (url, distinct) → final_url, hops, status, outcome.
 
     One N:1 join of all URLs with their responses; each further hop reads only the responses
-    of the rows still being redirected. `closed_hosts` (host, closed) refuses hops into closed
-    networks. Outcomes: ok, too_many_redirects, no_response, or the safety reason of the
-    refused hop.
+    of the rows still being redirected. `hosts` (host, closed) holds the hosts that have an address:
+    a hop to any other is refused as `unresolved`, one into a closed network as `closed_network`.
+    Outcomes: ok, too_many_redirects, no_response, or the safety reason of the refused hop. Of
+    several responses to one address (they may differ by fragment) the one with the smallest url holds.
     """
     # a location is relative to the page that sent it, so it is resolved once per response
     sends_on = F.col("status").isin(*REDIRECT_STATUSES) & (F.coalesce("location", F.lit("")) != "")
-    answers = responses.select(
-        page_address(F.col("url")).alias("current"), "status",
-        F.when(sends_on, _next_address()).alias("next"))
-    refused = None if closed_hosts is None else closed_hosts.filter("closed").select(
-        F.col("host").alias("_host"), F.lit("closed_network").alias("_closed"))
+    answers = (
+        responses.select(
+            page_address(F.col("url")).alias("current"), "url", F.struct(
+                "status", F.when(sends_on, _next_address()).alias("next")).alias("r"))
+        .groupBy("current").agg(F.min_by("r", "url").alias("r")).select("current", "r.status", "r.next"))
+    known_hosts = None if hosts is None else hosts.select(F.col("host").alias("_host"), F.col("closed").alias("_closed"))
     tests = {"_host": host_of(F.col("current")), "_bad": unsafe_url(F.col("current"))}
     go_on = F.col("_bad").isNull() & F.col("next").isNotNull()
     outcome = F.coalesce("_bad", F.when(F.col("status").isNull(), "no_response"), F.lit("ok"))
 
     done: list[DataFrame] = []
     moved = urls.select("url", page_address(strip(F.col("url"))).alias("next"), F.lit(-1).alias("hops"))
-    n_moving = None
+    moving_bytes = None
     for _ in range(max_redirects + 1):
         state = moved.select("url", F.col("next").alias("current"), (F.col("hops") + 1).alias("hops"))
         checked = state.withColumns(tests)
-        if refused is not None:
-            checked = checked.join(refused, "_host", "left").withColumn("_bad", F.coalesce("_bad", "_closed"))
-        known = answers if n_moving is None else rows_for_keys(answers, state, "current", n_moving)
+        if known_hosts is not None:
+            checked = checked.join(known_hosts, "_host", "left").withColumn("_bad", F.coalesce(
+                "_bad", F.when(F.col("_closed").isNull(), "unresolved").when(F.col("_closed"), "closed_network")))
+        known = answers if moving_bytes is None else rows_for_keys(answers, state, "current", moving_bytes)
         joined = cut_lineage(checked.join(known, "current", "left").select(
             "url", "current", "hops", "_bad", "status", "next"))
         done.append(joined.filter(~go_on).select(
             "url", F.col("current").alias("final_url"), "hops", "status", outcome.alias("outcome")))
         moved = joined.filter(go_on)
-        n_moving = moved.count()
+        n_moving, moving_bytes = measured(moved, "next")
         if n_moving == 0:
             break
     done.append(moved.select(
@@ -111,3 +116,19 @@ def redirect_resolve(urls: DataFrame, responses: DataFrame, closed_hosts: DataFr
     for part in done[1:]:
         out = out.unionByName(part)
     return out
+
+
+def after_redirects(urls: DataFrame, responses: DataFrame, hosts: DataFrame | None = None,
+                    max_redirects: int = MAX_REDIRECTS) -> DataFrame:
+    """urls (url, distinct) → url, final_url, status, content_type, n_bytes, fetch_error.
+
+    What a fetch of each url gives in the end: the response of the address its redirects lead to, or
+    why that was refused. One row per url, in the form fetch_verdict() takes.
+    """
+    ends = redirect_resolve(urls, responses, hosts, max_redirects)
+    last = responses.select(
+        page_address(F.col("url")).alias("final_url"), "url", F.struct("content_type", "n_bytes").alias("r")).groupBy(
+        "final_url").agg(F.min_by("r", "url").alias("r"))
+    failed = F.when(~F.col("outcome").isin("ok", "no_response"), F.col("outcome"))
+    return ends.join(last, "final_url", "left").select(
+        "url", "final_url", "status", "r.content_type", "r.n_bytes", failed.alias("fetch_error"))

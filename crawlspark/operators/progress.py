@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..fixed_values import MAX_LIST_URLS
 from .ordering import first_per_group, running_sums
 
 
@@ -36,9 +35,17 @@ def export_progress(rows: DataFrame) -> DataFrame:
     return summed.select("seed_id", "pos", index.alias("index"), "ok", "failed", percent.alias("percent"))
 
 
-def cap_per_seed(urls: DataFrame, limit: Column | int = MAX_LIST_URLS) -> DataFrame:
-    """The first `limit` rows of each seed by position."""
-    return first_per_group(urls, ["seed_id"], "pos", limit).drop("rank")
+def cap_per_seed(urls: DataFrame, limit: Column | int | None = None) -> DataFrame:
+    """The first `limit` rows of each seed by position; None keeps all."""
+    return urls if limit is None else first_per_group(urls, ["seed_id"], "pos", limit).drop("rank")
+
+
+def over_limit(urls: DataFrame, limit: int | None) -> DataFrame:
+    """Adds `over_limit`: whether a row comes after the first `limit` rows of its seed."""
+    if limit is None:
+        return urls.withColumn("over_limit", F.lit(False))
+    counted = running_sums(urls, ["seed_id"], "pos", {"_nth": F.lit(1)})
+    return counted.select(*urls.columns, (F.col("_nth") > limit).alias("over_limit"))
 
 
 def ordered_output(rows: DataFrame) -> DataFrame:

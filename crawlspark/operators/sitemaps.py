@@ -8,11 +8,10 @@ from pyspark.sql import functions as F
 from ..functions.staging import built_once
 from ..functions.text import decode_references, strip
 from ..functions.urls import host_of, same_site, scheme_of
-from ..session import cut_lineage, rows_for_keys
+from ..session import cut_lineage, measured, rows_for_keys
 
-# An index may name further indexes to any depth; a chain longer than this is a loop of
-# generated names and is reported instead of followed.
-MAX_LEVELS = 50
+# Stands for a NULL `max_urls`: more than any array holds.
+NO_LIMIT = 2_000_000_000
 
 
 def _without_comments(xml: Column) -> Column:
@@ -43,7 +42,7 @@ def _all_locations() -> Column:
 @built_once
 def _listed_pages() -> Column:
     return F.slice(
-        F.filter("locs", lambda u: page_loc(u, F.col("host"))), F.lit(1), F.col("max_urls"))
+        F.filter("locs", lambda u: page_loc(u, F.col("host"))), F.lit(1), F.least("max_urls", F.lit(NO_LIMIT)))
 
 
 def sitemap_locs(sitemaps: DataFrame) -> DataFrame:
@@ -84,30 +83,30 @@ def sitemap_expand(starts: DataFrame, sitemaps: DataFrame, group: list[str]) ->
 
     Breadth first from each start; every sitemap is read once per group, missing ones are
     skipped. The first `max_urls` page locations in reading order count, then repeats are
-    removed. Reading order is (level, path of positions in the indexes, position in the
+    removed; a NULL `max_urls` is no limit. A table holds finitely many sitemaps and each is read
+    once per group, so indexes may nest to any depth. Reading order is (level, path of positions in the indexes, position in the
     document), so no rank is needed until the cap: documents are capped by their counts, and
     only documents that start below the cap are unfolded.
     """
     documents = sitemap_locs(sitemaps)
     pages = _listed_pages()
     dims = ["host", "max_urls"]
+    starts = starts.withColumn("max_urls", F.coalesce(F.col("max_urls").cast("int"), F.lit(NO_LIMIT)))
     candidates = starts.select(*group, *dims, "sitemap_url", F.array(F.lit(0).cast("bigint")).alias("path"))
     seen: DataFrame | None = None
     urlsets: list[DataFrame] = []
     level = 0
     while True:
         candidates = cut_lineage(candidates)
-        n_asked = candidates.count()
+        n_asked, asked_bytes = measured(candidates, "sitemap_url")
         if n_asked == 0:
             break
         # the semi join moves below the parsing: only documents asked for are parsed
-        asked_for = rows_for_keys(documents, candidates, "sitemap_url", n_asked)
+        asked_for = rows_for_keys(documents, candidates, "sitemap_url", asked_bytes)
         read = candidates.join(asked_for, "sitemap_url", "left").select(
             *group, *dims, "sitemap_url", "path", "is_index",
             F.when(F.col("is_index"), F.col("locs")).otherwise(pages).alias("locs"))
         read = cut_lineage(read)
-        if level >= MAX_LEVELS:
-            raise ValueError(f"sitemap indexes nest deeper than {MAX_LEVELS} levels")
         asked = read.select(*group, "sitemap_url")
         seen = asked if seen is None else seen.unionByName(asked)
         urlsets.append(read.filter("NOT is_index AND size(locs) > 0").select(

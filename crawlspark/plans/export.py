@@ -20,9 +20,11 @@ from ..functions.html import (
 from ..functions.staging import built_once
 from ..functions.urls import bare_host, host_of, same_site
 from ..operators.dedupe import language_dedupe
-from ..operators.progress import cap_per_seed
+from ..operators.links import page_address
+from ..operators.progress import over_limit
 from ..operators.robots import robots_allowed, seed_policies
 from ..operators.scope import in_scope
+from ..session import BROADCAST_BYTES, cut_lineage, measured, rows_for_keys
 
 
 @built_once
@@ -61,20 +63,22 @@ def before_fetch(url: Column, seed_host: Column, status: Column, rules: Column)
     )
 
 
-def after_fetch(fetch_error: Column, status: Column, n_bytes: Column, content_type: Column) -> Column:
-    """Reason a response gives no text, or NULL."""
+def after_fetch(fetch_error: Column, status: Column, n_bytes: Column, content_type: Column,
+                max_body_bytes: int | None = MAX_BODY_BYTES) -> Column:
+    """Reason a response gives no text, or NULL. `max_body_bytes` None takes bodies of any size."""
+    too_large = F.lit(False) if max_body_bytes is None else n_bytes > max_body_bytes
     return (
-        F.when(fetch_error.isNotNull(), F.substring(fetch_error, 1, 200))
+        F.when(fetch_error.isNotNull(), fetch_error)
         .when(status.isNull(), "no_response")
         .when(status.isin(401, 403), "not_public")
         .when(~status.between(200, 299), F.concat(F.lit("http_"), status.cast("string")))
-        .when(n_bytes > MAX_BODY_BYTES, "too_large")
+        .when(too_large, "too_large")
         .when(~F.lower(F.coalesce(content_type, F.lit(""))).contains("html"), "not_html")
     )
 
 
 def fetch_verdict(requests: DataFrame, seeds: DataFrame, policy: DataFrame,
-                  responses: DataFrame) -> DataFrame:
+                  responses: DataFrame, max_body_bytes: int | None = MAX_BODY_BYTES) -> DataFrame:
     """requests (seed_id, pos, url) → final_url, error (NULL when the page has text).
 
     `responses` has one row per url: status, content_type, n_bytes and, optionally, final_url
@@ -93,65 +97,93 @@ def fetch_verdict(requests: DataFrame, seeds: DataFrame, policy: DataFrame,
         .withColumn("_early", before_fetch(c("url"), c("seed_host"), c("robots_status"), c("rules")))
         .join(answers, "url", "left")
         .withColumn("error", F.coalesce(
-            c("_early"), after_fetch(c("_failed"), c("status"), c("n_bytes"), c("content_type"))))
+            c("_early"), after_fetch(c("_failed"), c("status"), c("n_bytes"), c("content_type"), max_body_bytes)))
         .select(
             *requests.columns,
             F.when(c("error").isNull(), c("_final")).otherwise(c("url")).alias("final_url"), "error")
     )
 
 
+def texts_of(bodies: DataFrame, wanted: DataFrame) -> DataFrame:
+    """_key, title, text of the bodies (url, html) whose address occurs in `wanted` (_key).
+
+    Bodies never move: wanted addresses are broadcast to the scan if they measure small enough, and
+    the text is extracted in the scan stage. If they do not, all bodies are read for text there.
+    Only titles and texts are shuffled. Of several bodies with one address the one with the smallest
+    url holds.
+    """
+    keyed = bodies.select("url", "html", page_address(F.col("url")).alias("_key"))
+    _, key_bytes = measured(wanted, "_key")
+    if key_bytes <= BROADCAST_BYTES:
+        keyed = rows_for_keys(keyed, wanted, "_key", key_bytes)
+    return with_text_and_title(keyed).groupBy("_key").agg(F.min_by(F.struct("title", "text"), "url").alias("t")).select(
+        "_key", "t.title", "t.text")
+
+
 def export_rows(verdicts: DataFrame, bodies: DataFrame) -> DataFrame:
-    """seed_id, pos, url, title, text, error.
+    """seed_id, pos, url (final), title, text, error, requested_url.
 
-    `bodies` (url, html) is keyed by the requested URL; stored bucketed by `url`, it is joined
-    without a shuffle. The verdicts are read once: refused rows go through the same outer join
-    under keys of their own, which match no body and spread evenly, and skip the text work.
+    `bodies` (url, html) is looked up by the final address, without its fragment.
     """
-    no_body = F.concat_ws(" ", F.lit("refused"), F.col("seed_id"), F.col("pos"))
-    keyed = verdicts.withColumn("_key", F.when(F.col("error").isNull(), F.col("url")).otherwise(no_body))
-    joined = keyed.join(bodies.select(F.col("url").alias("_key"), "html"), "_key", "left").select(
-        "seed_id", "pos", F.col("final_url").alias("url"), "html",
-        F.coalesce("error", F.when(F.col("html").isNull(), "no_response")).alias("error"))
+    # the verdicts are read for the wanted addresses and for the rows
+    keyed = cut_lineage(verdicts.withColumn("_key", F.when(F.col("error").isNull(), page_address(F.col("final_url")))))
+    texts = texts_of(bodies, keyed.filter("_key IS NOT NULL").select("_key"))
+    found = texts.withColumn("_found", F.lit(True))
     ok = F.col("error").isNull()
-    return with_text_and_title(joined).select(
-        "seed_id", "pos", "url", F.when(ok, F.col("title")).alias("title"),
-        F.when(ok, F.col("text")).alias("text"), "error")
+    # refused rows have keys of their own, so that they spread evenly over the join
+    spread_key = F.coalesce("_key", F.concat_ws(" ", F.lit("refused"), F.col("seed_id"), F.col("pos")))
+    return (
+        keyed.withColumn("_key", spread_key).join(found, "_key", "left")
+        .withColumn("error", F.coalesce("error", F.when(F.col("_found").isNull(), "no_response")))
+        .select("seed_id", "pos", F.col("final_url").alias("url"), F.when(ok, F.col("title")).alias("title"),
+                F.when(ok, F.col("text")).alias("text"), "error", F.col("url").alias("requested_url"))
+    )
 
 
 def export_pages(requests: DataFrame, seeds: DataFrame, policy: DataFrame, responses: DataFrame,
-                 bodies: DataFrame) -> DataFrame:
-    """Requested URLs → language variants collapsed → verdicts → titles and texts."""
-    wanted = language_dedupe(cap_per_seed(requests, MAX_EXPORT_BATCH), ["seed_id"])
-    return export_rows(fetch_verdict(wanted, seeds, policy, responses), bodies)
+                 bodies: DataFrame, max_batch: int | None = None) -> DataFrame:
+    """Requested URLs → language variants collapsed → verdicts → titles and texts.
+
+    Requests beyond `max_batch` per seed come back with the error `over_limit`.
+    """
+    marked = over_limit(requests, max_batch)
+    wanted = language_dedupe(marked.filter("NOT over_limit").drop("over_limit"), ["seed_id"])
+    verdicts = fetch_verdict(wanted, seeds, policy, responses)
+    if max_batch is not None:
+        verdicts = verdicts.unionByName(marked.filter("over_limit").select(
+            *wanted.columns, F.col("url").alias("final_url"), F.lit("over_limit").alias("error")))
+    return export_rows(verdicts, bodies)
 
 
 # ------------------------------------------------------------------------------ sinks
 
 
 def page_object() -> Column:
-    """{url, title, text} or {url, error}: absent parts are left out of the JSON."""
-    return F.struct("url", "title", "text", "error")
+    """What a page's line says; absent parts are left out of the JSON."""
+    return F.struct("base_url", F.col("pos").alias("index"), "requested_url", "url", "title", "text", "error")
 
 
-def ndjson_lines(rows: DataFrame) -> DataFrame:
-    """seed_id, pos, line: one JSON object per page."""
-    return rows.select("seed_id", "pos", F.to_json(page_object(), {"ignoreNullFields": "true"}).alias("line"))
+def ndjson_lines(rows: DataFrame, seeds: DataFrame) -> DataFrame:
+    """seed_id, pos, line: one JSON object per page, with the seed's address, the place in the
+    request list and the requested URL, so that lines of several sites can share a folder."""
+    based = rows.join(seeds.select("seed_id", F.col("url").alias("base_url")), "seed_id", "left")
+    return based.select("seed_id", "pos", F.to_json(page_object(), {"ignoreNullFields": "true"}).alias("line"))
 
 
-def export_part(pos: Column) -> Column:
-    """Export batch a position falls into: blocks of positions of the batch size."""
-    return F.floor(pos / MAX_EXPORT_BATCH).cast("bigint")
+def export_part(pos: Column, part_rows: int = MAX_EXPORT_BATCH) -> Column:
+    """Part a position falls into: blocks of `part_rows` positions. No row is left out."""
+    return F.floor(pos / part_rows).cast("bigint")
 
 
-def write_ndjson(rows: DataFrame, path: str) -> None:
-    """One object per line; the lines of a batch lie together and in request order.
+def write_ndjson(rows: DataFrame, seeds: DataFrame, path: str) -> None:
+    """One object per line; the lines of a part lie together and in request order.
 
-    Hash partitions by (seed, batch): a large seed spreads over many files, and no sampling
+    Hash partitions by (seed, part): a large seed spreads over many files, and no sampling
     pass runs the text work a second time, as a range partitioning would.
     """
     part = export_part(F.col("pos"))
     (
-        ndjson_lines(rows).withColumn("part", part).repartition("seed_id", "part")
+        ndjson_lines(rows, seeds).withColumn("part", part).repartition("seed_id", "part")
         .sortWithinPartitions("seed_id", "part", "pos").select("line")
         .write.mode("overwrite").text(path)
     )

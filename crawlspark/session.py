@@ -8,8 +8,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# A side is broadcast only after its rows were counted; about 20 MB of URLs.
-BROADCAST_ROWS = 100_000
+# A side is broadcast only after its bytes were measured.
+BROADCAST_BYTES = 16 << 20
 
 # Runtime SQL settings the jobs rely on; all may be changed on a live session.
 RUNTIME_SETTINGS = {
@@ -62,23 +62,19 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{checkpoint_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
-def rows_for_keys(table: DataFrame, keys: DataFrame, key: str, n_keys: int) -> DataFrame:
-    """Rows of a large table whose `key` occurs in `keys`, a counted set of rows.
+def measured(df: DataFrame, key: str) -> tuple[int, int]:
+    """(rows, bytes of the key column): one small job."""
+    row = df.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length(key)), F.lit(0)).alias("b")).first()
+    return row.n, row.b
 
-    Below the limit the keys are broadcast and the table is filtered where it is read;
-    beyond it this is an ordinary shuffled semi join.
+
+def rows_for_keys(table: DataFrame, keys: DataFrame, key: str, key_bytes: int) -> DataFrame:
+    """Rows of a large table whose `key` occurs in `keys`, whose keys were measured.
+
+    Up to the limit the keys are broadcast and the table is filtered where it is read; beyond it
+    this is an ordinary shuffled semi join.
     """
     wanted = keys.select(key).distinct()
-    if n_keys <= BROADCAST_ROWS:
+    if key_bytes <= BROADCAST_BYTES:
         wanted = F.broadcast(wanted)
     return table.join(wanted, key, "left_semi")
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """Rows over all cores when a scan has fewer splits than cores.
-
-    For CPU-heavy work on a table kept in one or two small files. A large table has more
-    splits than cores and is left as it is: its bodies are never shuffled.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..fixed_values import SITEMAP_GUESSES
-from ..session import spread
 
 PAGES = T.StructType([
     T.StructField("page_id", T.LongType()),
@@ -82,7 +81,7 @@ def file_stream(spark: SparkSession, schema: T.StructType, folder: str, names: s
 def scan_pages(spark: SparkSession, path: str, with_html: bool = True) -> DataFrame:
     """Crawled pages; `pos`, the page's place in the list, is its id."""
     if with_html:
-        df = spread(scan(spark, path, "page_id", "url", "html"))
+        df = scan(spark, path, "page_id", "url", "html")
     else:
         df = scan(spark, path, "page_id", "url")
     return df.withColumn("pos", F.col("page_id"))

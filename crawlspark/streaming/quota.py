@@ -18,18 +18,6 @@ def read_events(spark: SparkSession, folder: str, names: str = "*.parquet",
     return file_stream(spark, EVENTS, folder, names, files_per_batch)
 
 
-def claims_of(events: DataFrame) -> DataFrame:
-    """Request events of the event stream: (event_id, ts, url, op)."""
-    op = F.when(F.col("event_type") == "view", "discover").when(
-        F.col("event_type") == "click", "scrape").when(F.col("event_type") == "error", "check")
-    return events.select(
-        "event_id", "ts",
-        F.concat(F.lit("https://www.site"), F.col("user_id").cast("string"),
-                 F.lit(".example.com/")).alias("url"),
-        op.alias("op"),
-    ).filter("op IS NOT NULL")
-
-
 class QuotaBatches:
     """`foreachBatch` step: decides one micro-batch against the sites accepted before it.
 

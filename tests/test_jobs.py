@@ -125,13 +125,17 @@ def test_redirects(spark):
     other = [("https://h.be/none", 302, None), ("https://h.be/local", 302, "http://localhost/x"), ("https://h.be/ip", 307, "https://in.be/"),
              ("https://in.be/", 200, None), ("https://h.be/file", 302, "ftp://h.be/x"), ("https://h.be/lost", 308, "gone#f")]
     answers = spark.createDataFrame(chain + other, "url string, status int, location string")
+    other += [("https://h.be/away", 302, "https://nowhere.be/"), ("https://nowhere.be/", 200, None), ("https://h.be/two#a", 200, None), ("https://h.be/two#b", 404, None)]
+    answers = spark.createDataFrame(chain + other, "url string, status int, location string")
     closed = spark.createDataFrame([("in.be", True), ("h.be", False)], "host string, closed boolean")
-    asked = spark.createDataFrame([(f"https://h.be/{i}",) for i in ("1", "2", "9", "none", "local", "ip", "file", "lost")], "url string")
+    asked = spark.createDataFrame([(f"https://h.be/{i}",) for i in ("1", "2", "9", "none", "local", "ip", "file", "lost", "away", "two")], "url string")
+    assert fetch.redirect_resolve(asked, answers, closed).count() == 10
     got = {r.url.rsplit("/", 1)[1]: (r.final_url, r.hops, r.outcome) for r in fetch.redirect_resolve(asked, answers, closed).collect()}
     assert got == {
         "1": ("https://h.be/9", 8, "too_many_redirects"), "2": ("https://h.be/10", 8, "ok"), "9": ("https://h.be/10", 1, "ok"),
         "none": ("https://h.be/none", 0, "ok"), "local": ("http://localhost/x", 1, "blocked_host"), "ip": ("https://in.be/", 1, "closed_network"),
         "file": ("ftp://h.be/x", 1, "bad_scheme"), "lost": ("https://h.be/gone", 1, "no_response"),
+        "away": ("https://nowhere.be/", 1, "unresolved"), "two": ("https://h.be/two", 0, "ok"),
     }
 
 
@@ -299,8 +303,11 @@ def test_document_names(values):
 def test_ndjson_leaves_absent_parts_out(spark):
     df = spark.createDataFrame([(1, 1, "u", "é", "x", None), (1, 2, "v", None, None, "robots")],
                                "seed_id long, pos long, url string, title string, text string, error string")
-    assert [r.line for r in export.ndjson_lines(df).orderBy("pos").collect()] == [
-        '{"url":"u","title":"é","text":"x"}', '{"url":"v","error":"robots"}']
+    df = df.withColumn("requested_url", F.concat("url", F.lit("?")))
+    seeds = spark.createDataFrame([(1, "https://h.be/")], "seed_id long, url string")
+    assert [r.line for r in export.ndjson_lines(df, seeds).orderBy("pos").collect()] == [
+        '{"base_url":"https://h.be/","index":1,"requested_url":"u?","url":"u","title":"é","text":"x"}',
+        '{"base_url":"https://h.be/","index":2,"requested_url":"v?","url":"v","error":"robots"}']
 
 
 def test_documents_never_outgrow_a_batch(spark):
@@ -363,16 +370,71 @@ def test_export_rows_keep_every_request(spark):
     verdicts = spark.createDataFrame(
         [(1, 1, "https://h.be/a", "https://h.be/b", None), (1, 2, "https://h.be/c", "https://h.be/c", "robots"), (1, 3, "https://h.be/d", "https://h.be/d", None)],
         "seed_id long, pos long, url string, final_url string, error string")
-    bodies = spark.createDataFrame([("https://h.be/a", "<title>t</title><body>x"), ("https://h.be/c", "<body>no")], "url string, html string")
+    bodies = spark.createDataFrame(
+        [("https://h.be/b#z", "<body>later"), ("https://h.be/b", "<title>t</title><body>x"), ("https://h.be/c", "<body>no")], "url string, html string")
     assert rows(export.export_rows(verdicts, bodies), "pos") == [
-        (1, 1, "https://h.be/b", "t", "x", None), (1, 2, "https://h.be/c", None, None, "robots"), (1, 3, "https://h.be/d", None, None, "no_response")]
+        (1, 1, "https://h.be/b", "t", "x", None, "https://h.be/a"), (1, 2, "https://h.be/c", None, None, "robots", "https://h.be/c"),
+        (1, 3, "https://h.be/d", None, None, "no_response", "https://h.be/d")]
+
+
+@pytest.mark.parametrize("bound", [0, 1 << 24])
+def test_bodies_never_move(spark, bound, monkeypatch):
+    monkeypatch.setattr(export, "BROADCAST_BYTES", bound)
+    wanted = spark.createDataFrame([(1, i, f"https://h.be/{i}", f"https://h.be/{i}", None) for i in range(40)],
+                                   "seed_id long, pos long, url string, final_url string, error string")
+    bodies = spark.read.parquet("/root/testdata/sf0.001/pages.parquet").select("url", "html")
+    df = export.export_rows(wanted, bodies)
+    df.collect()
+    text = df._jdf.queryExecution().optimizedPlan().toString()
+    # bodies are read and turned into text below the first aggregation; joins above see texts only
+    joins = [line for line in text.splitlines() if "Join" in line or "Aggregate" in line]
+    assert joins and all("html" not in line for line in joins)
+    physical = df._jdf.queryExecution().executedPlan().toString()
+    moved = [line for line in physical.splitlines() if "Exchange" in line]
+    assert all("html" not in line for line in moved)
+    assert df.filter("error = 'no_response'").count() == 40
+
+
+def flow_inputs(spark, n):
+    requests = spark.range(n).select(F.lit(1).cast("long").alias("seed_id"), (F.col("id") * 1_000_000).alias("pos"),
+                                     F.concat(F.lit("https://h.be/p"), F.col("id")).alias("url"))
+    seeds = spark.createDataFrame([(1, "https://h.be/", "h.be")], "seed_id long, url string, host string")
+    policy = spark.createDataFrame([], "site string, robots_status string, rules array<struct<rule_pos:bigint,allow:boolean,prefix:string>>")
+    answers = requests.select("url", F.lit(200).alias("status"), F.lit("text/html").alias("content_type"), F.lit(10).cast("long").alias("n_bytes"))
+    bodies = requests.select("url", F.lit("<body>x").alias("html"))
+    return requests, seeds, policy, answers, bodies
+
+
+def test_every_request_comes_back(spark):
+    requests, seeds, policy, answers, bodies = flow_inputs(spark, 6001)
+    got = export.export_pages(requests, seeds, policy, answers, bodies)
+    assert got.filter("text = 'x' AND error IS NULL").count() == 6001
+    cut = export.export_pages(requests, seeds, policy, answers, bodies, max_batch=5000)
+    assert {r.error: r["count"] for r in cut.groupBy("error").count().collect()} == {None: 5000, "over_limit": 1001}
+    listed = discover.checked_urls(requests, seeds, policy, max_list=100)
+    assert {r.reason: r["count"] for r in listed.groupBy("reason").count().collect()} == {"ok": 100, "over_limit": 5901}
+    assert discover.checked_urls(requests, seeds, policy).filter("selectable").count() == 6001
+    assert progress.cap_per_seed(requests).count() == 6001
+
+
+def test_no_limit_where_none_is_named(spark):
+    seeds = spark.createDataFrame([(1, "https://h.be/", "h.be", None, 7)], "seed_id long, url string, host string, max_pages long, max_depth int")
+    answers = spark.range(300).select(F.concat(F.lit("https://h.be/"), F.when(F.col("id") > 0, F.col("id").cast("string")).otherwise("")).alias("url"))
+    links = spark.range(1, 300).select(F.lit("https://h.be/").alias("src"), F.col("id").alias("link_pos"), F.concat(F.lit("https://h.be/"), F.col("id")).alias("dst"))
+    assert crawl.crawl_frontier(seeds, answers.withColumn("final_url", F.col("url")), links).count() == 300
+    maps = spark.createDataFrame(
+        [(f"https://h.be/s{i}", f"<sitemapindex><loc>https://h.be/s{i + 1}</loc></sitemapindex>") for i in range(60)]
+        + [("https://h.be/s60", "<urlset>" + "".join(f"<loc>https://h.be/{i}</loc>" for i in range(50)) + "</urlset>")], "sitemap_url string, xml string")
+    starts = spark.createDataFrame([(1, "https://h.be/s0", "h.be", None)], "seed_id long, sitemap_url string, host string, max_urls int")
+    assert sitemaps.sitemap_expand(starts, maps.repartition(2), ["seed_id"]).count() == 50
 
 
 def test_ndjson_files_keep_the_order_of_a_batch(spark):
     path = session.scratch_path(spark, "lines")
     data = spark.range(6000).select((F.col("id") % 2).alias("seed_id"), F.col("id").alias("pos"), F.concat(F.col("id") % 2, F.lit("/"), F.col("id")).alias("url"),
                                     F.lit("t").alias("title"), F.lit("x").alias("text"), F.lit(None).cast("string").alias("error"))
-    export.write_ndjson(data.repartition(5), path)
+    seeds = spark.createDataFrame([(0, "https://a.be/"), (1, "https://b.be/")], "seed_id long, url string")
+    export.write_ndjson(data.withColumn("requested_url", F.col("url")).repartition(5), seeds, path)
     import glob
     import json
     seen = []

@@ -1,6 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from checks.catalog import claims_of
 from crawlspark.operators.quota import first_claims, quota_decisions
 from crawlspark.session import scratch_path
 from crawlspark.sources.tables import EVENTS
@@ -26,14 +27,14 @@ def decided(df):
 def test_quota_over_batches_equals_batch(spark, split_events, limit):
     path, table = split_events
     out = scratch_path(spark, "quota")
-    got = stream.run_quota_stream(stream.claims_of(stream.read_events(spark, path, files_per_batch=1)), out, limit)
-    assert decided(got) == decided(quota_decisions(stream.claims_of(table), limit))
+    got = stream.run_quota_stream(claims_of(stream.read_events(spark, path, files_per_batch=1)), out, limit)
+    assert decided(got) == decided(quota_decisions(claims_of(table), limit))
     assert spark.read.parquet(f"{out}/state/v3").groupBy("day").count().filter(F.col("count") > limit).count() == 0
 
 
 def test_a_batch_run_again_changes_nothing(spark, split_events):
     _, table = split_events
-    claims = stream.claims_of(table)
+    claims = claims_of(table)
     step = stream.QuotaBatches(scratch_path(spark, "replay"), 5)
     first, second = claims.filter("event_id < 500"), claims.filter("event_id >= 500")
     step(first, 0)
@@ -56,6 +57,6 @@ def test_old_days_leave_the_state(spark):
 def test_first_claims_once_per_day(spark, split_events):
     path, table = split_events
     got = stream.run_first_claims_stream(
-        stream.claims_of(stream.read_events(spark, path, files_per_batch=1)), scratch_path(spark, "first"))
-    want = first_claims(stream.claims_of(table)).select("day", "site_key")
+        claims_of(stream.read_events(spark, path, files_per_batch=1)), scratch_path(spark, "first"))
+    want = first_claims(claims_of(table)).select("day", "site_key")
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
