@@ -3,7 +3,8 @@
 The first discover or scrape event of a site claims it for its UTC day; a day accepts the
 first `limit` sites. The claims are aggregated per (day, site) map-side and cut to `limit` per
 day before the shuffle, so neither a busy day nor a busy site gathers its events in one task.
-Events then meet one row per day that lists the accepted sites (at most `limit` entries).
+Events then meet two small tables by equality: the accepted sites by (day, site), and running
+counts of them by (day, minute). What an event costs does not depend on the limit.
 """
 
 from __future__ import annotations
@@ -13,9 +14,11 @@ from pyspark.sql import functions as F
 
 from ..fixed_values import DAILY_SITES, STORE_RETRY_SECONDS
 from ..functions.urls import host_of, site_key
+from ..session import BROADCAST_BYTES, cut_lineage, measured
 
-# One row per calendar day with at most this many sites is small enough to broadcast.
-BROADCAST_LIMIT = 1000
+MINUTES = 24 * 60
+# bytes of an accepted site besides its name, and of a minute's row
+ROW_BYTES = 64
 CLAIMING = ("discover", "scrape")
 
 
@@ -66,41 +69,51 @@ def retry_after(ts: Column) -> Column:
         F.greatest(F.lit(1), F.lit(86400) - F.ceil(second))).cast("bigint")
 
 
+def minute_of(ts: Column) -> Column:
+    return F.hour(ts) * 60 + F.minute(ts)
+
+
+def used_by_minute(accepted: DataFrame) -> DataFrame:
+    """day, minute, _before, _within: sites accepted before that minute, and their claims in it.
+
+    One row per minute of each day with an accepted site. Sites carried over come before all.
+    """
+    claims = accepted.groupBy("day", F.coalesce(minute_of(F.col("first.ts")), F.lit(-1)).alias("minute")).agg(
+        F.array_sort(F.collect_list("first")).alias("_within"), F.count("*").alias("_n"))
+    minutes = accepted.select("day").distinct().select("day", F.explode(F.sequence(F.lit(-1), F.lit(MINUTES - 1))).alias("minute"))
+    before = Window.partitionBy("day").orderBy("minute").rowsBetween(Window.unboundedPreceding, -1)
+    return minutes.join(claims, ["day", "minute"], "left").select(
+        "day", "minute", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"), "_within")
+
+
 def quota_decisions(events: DataFrame, limit: int = DAILY_SITES,
                     carried: DataFrame | None = None) -> DataFrame:
     """events (event_id, ts, url, op) → day, site_key, decision, used, retry_after.
 
     claimed / already / continued / limit for claiming operations, already / limit / ok for
     `check`. `used` counts the accepted sites up to the event; `retry_after` is 0 unless refused.
+    The two small tables are broadcast if they measure small enough; else events are shuffled by
+    (day, site) and by (day, minute), never by day.
     """
     limit = max(1, limit)
-    # one row per day: its accepted sites by name, their claims, and when the last one came
-    accepted = accepted_sites(events, limit, carried).groupBy("day").agg(
-        F.map_from_entries(F.collect_list(F.struct("site_key", "first"))).alias("_by_site"),
-        F.collect_list(F.struct("first")).alias("_claims"),
-        F.count("*").alias("_n"),
-        F.max("first").alias("_last"),
-    )
-    if limit <= BROADCAST_LIMIT:
-        accepted = F.broadcast(accepted)
+    accepted = cut_lineage(accepted_sites(events, limit, carried))
+    n_sites, name_bytes = measured(accepted, "site_key")
+    n_days = accepted.select("day").distinct().count()
+    minutes = used_by_minute(accepted)
+    own = accepted.select("day", "site_key", F.col("first").alias("_own"), F.lit(True).alias("_known"))
+    if name_bytes + ROW_BYTES * n_sites <= BROADCAST_BYTES:
+        own = F.broadcast(own)
+    if ROW_BYTES * (n_sites + n_days * MINUTES) <= BROADCAST_BYTES:
+        minutes = F.broadcast(minutes)
     c = F.col
     now = F.struct("ts", "event_id")
-    before = F.size(F.filter("_claims", lambda a: a["first"].isNull() | (a["first"] <= now)))
-    used = (
-        F.when(c("_n").isNull(), F.lit(0))
-        # most events come after the day is full: nothing to look through
-        .when(c("_last").isNull() | (c("_last") <= now), c("_n"))
-        .otherwise(before)
-    )
     staged = (
-        with_day_and_site(events).join(accepted, "day", "left")
-        .withColumns({
-            "_now": now, "used": used.cast("bigint"),
-            "_known": F.coalesce(F.map_contains_key("_by_site", c("site_key")), F.lit(False)),
-            "_own": F.try_element_at("_by_site", c("site_key")),
-        })
+        with_day_and_site(events).withColumns({"_now": now, "minute": minute_of(c("ts"))})
+        .join(own, ["day", "site_key"], "left").join(minutes, ["day", "minute"], "left")
+        .withColumn("used", (F.coalesce("_before", F.lit(0)) + F.when(
+            c("_within").isNull(), 0).otherwise(F.size(F.filter("_within", lambda a: a <= c("_now"))))).cast("bigint"))
     )
-    here = c("_known") & (c("_own").isNull() | (c("_own") <= c("_now")))
+    here = F.coalesce("_known", F.lit(False)) & (c("_own").isNull() | (c("_own") <= c("_now")))
     decision = (
         F.when((c("op") == "check") & here, "already")
         .when(c("op") == "check", F.when(c("used") >= limit, "limit").otherwise("ok"))

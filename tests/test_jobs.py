@@ -159,7 +159,7 @@ def walk(start, host, depth, pages, answers, links):
 
 def test_crawl_matches_a_queue(spark):
     rng = random.Random(3)
-    names = [f"https://{'s.' if i % 5 == 0 else ''}h.be/{i}" for i in range(60)] + [f"https://o.be/{i}" for i in range(10)]
+    names = [f"https://{'s.' if i % 5 == 0 else ''}h.be/{i}" for i in range(12)] + [f"https://o.be/{i}" for i in range(10)]
     answers = {u: (rng.choice(names[:60]) if rng.random() < 0.1 else u) for u in names if rng.random() < 0.85}
     links = {u: [(p, rng.choice(names)) for p in range(rng.randint(0, 6))] for u in names}
     seeds = [(i, names[i], "h.be", i % 5, 1 + i % 23) for i in range(40)]
@@ -216,7 +216,7 @@ def read_all(start, docs, host, cap):
 def test_expansion_matches_a_queue(spark):
     rng = random.Random(5)
     names = [f"https://h.be/m{i}.xml" for i in range(25)]
-    pages = [f"https://h.be/p{i}" for i in range(60)] + ["https://o.be/x", "ftp://h.be/f"]
+    pages = [f"https://h.be/p{i}" for i in range(12)] + ["https://o.be/x", "ftp://h.be/f"]
     docs = {n: (i < 8, [rng.choice(names if i < 8 else pages) for _ in range(rng.randint(0, 12))]) for i, n in enumerate(names) if i != 3}
     table = [(u, f"<{'sitemapindex' if ix else 'urlset'}>" + "".join(f"<loc>{c}</loc>" for c in cs) + "</x>") for u, (ix, cs) in docs.items()]
     starts = [(i, names[i % 25], "h.be", 1 + (i * 7) % 40) for i in range(30)]
@@ -271,8 +271,8 @@ def test_never_more_than_the_limit(spark):
     got = quota.quota_decisions(events(spark, data), limit=5)
     per_day = got.filter("decision = 'claimed'").groupBy("day").agg(F.count("*").alias("n"), F.max("used").alias("u")).collect()
     assert [(r.n, r.u) for r in per_day] == [(5, 5)] * 3
-    # beyond the broadcast bound the same job runs as an ordinary join
-    wide = quota.quota_decisions(events(spark, data), limit=quota.BROADCAST_LIMIT + 1)
+    # with room for all, every claim is accepted
+    wide = quota.quota_decisions(events(spark, data), limit=1001)
     assert wide.filter("decision = 'limit'").count() == 0
 
 
@@ -352,7 +352,47 @@ def test_url_jobs_do_not_read_bodies(spark):
 def test_quota_shuffles_claims_not_events(spark):
     df = quota.quota_decisions(events(spark, [(1, "https://a.be", "discover")]))
     text = plan(df)
-    assert "BroadcastHashJoin" in text and "SortMergeJoin" not in text and "WindowGroupLimit" in text
+    assert text.count("BroadcastHashJoin") == 2
+    # what is shuffled are the days' minutes and the claims in them
+    assert not any("event_id" in line or "site_key" in line for line in text.splitlines() if "Exchange" in line)
+    assert "WindowGroupLimit" in plan(quota.accepted_sites(events(spark, [(1, "https://a.be", "discover")])))
+
+
+@pytest.mark.parametrize("bound", [0, 1 << 24])
+def test_quota_over_many_minutes(spark, bound, monkeypatch):
+    monkeypatch.setattr(quota, "BROADCAST_BYTES", bound)
+    rng = random.Random(11)
+    data = [(rng.randrange(2 * 86400), f"https://s{rng.randrange(300)}.be/", rng.choice(["discover", "scrape", "check"])) for _ in range(1500)]
+    got = rows(quota.quota_decisions(events(spark, data), limit=120).select("event_id", "ts", "site_key", "op", "decision", "used"), "event_id")
+    taken = {}
+    for _, ts, site, op, decision, used in sorted(got, key=lambda r: (r[1], r[0])):
+        day = taken.setdefault(ts.date(), [])
+        if op == "check":
+            want = "already" if site in day else "limit" if len(day) >= 120 else "ok"
+        elif site in day:
+            want = "already" if op == "discover" else "continued"
+        elif len(day) < 120:
+            day.append(site)
+            want = "claimed"
+        else:
+            want = "limit"
+        assert (decision, used) == (want, len(day))
+
+
+def test_quota_time_does_not_follow_the_limit(spark):
+    import time
+    table = spark.range(40_000).select(
+        F.col("id").alias("event_id"), (F.lit("2024-01-01").cast("timestamp_ntz") + F.make_dt_interval(secs=F.col("id") * 2)).alias("ts"),
+        F.concat(F.lit("https://s"), F.pmod(F.xxhash64("id"), F.lit(6000)), F.lit(".be/")).alias("url"), F.lit("discover").alias("op")).repartition(8)
+    table = session.cut_lineage(table)
+
+    def seconds(limit):
+        start = time.perf_counter()
+        quota.quota_decisions(table, limit).write.format("noop").mode("overwrite").save()
+        return time.perf_counter() - start
+
+    seconds(20)
+    assert min(seconds(4000) for _ in range(3)) < 1.5 * max(min(seconds(20) for _ in range(3)), 1.0)
 
 
 def test_text_job_is_one_stage(spark):
@@ -423,8 +463,8 @@ def test_no_limit_where_none_is_named(spark):
     links = spark.range(1, 300).select(F.lit("https://h.be/").alias("src"), F.col("id").alias("link_pos"), F.concat(F.lit("https://h.be/"), F.col("id")).alias("dst"))
     assert crawl.crawl_frontier(seeds, answers.withColumn("final_url", F.col("url")), links).count() == 300
     maps = spark.createDataFrame(
-        [(f"https://h.be/s{i}", f"<sitemapindex><loc>https://h.be/s{i + 1}</loc></sitemapindex>") for i in range(60)]
-        + [("https://h.be/s60", "<urlset>" + "".join(f"<loc>https://h.be/{i}</loc>" for i in range(50)) + "</urlset>")], "sitemap_url string, xml string")
+        [(f"https://h.be/s{i}", f"<sitemapindex><loc>https://h.be/s{i + 1}</loc></sitemapindex>") for i in range(12)]
+        + [("https://h.be/s12", "<urlset>" + "".join(f"<loc>https://h.be/{i}</loc>" for i in range(50)) + "</urlset>")], "sitemap_url string, xml string")
     starts = spark.createDataFrame([(1, "https://h.be/s0", "h.be", None)], "seed_id long, sitemap_url string, host string, max_urls int")
     assert sitemaps.sitemap_expand(starts, maps.repartition(2), ["seed_id"]).count() == 50
 
