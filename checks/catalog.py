@@ -14,6 +14,7 @@ from checks.derived import derived
 from crawlspark.functions.urls import (
     host_of,
     normalized_url,
+    origin_of,
     seed_url,
     segments,
     site_key,
@@ -249,7 +250,7 @@ def same_site_join(spark, d):
 @_query
 def robots_gate(spark, d):
     return robots.robots_gate(
-        derived(spark, d, "pg").select("page_id", "url", "site"), _policy(spark, d))
+        derived(spark, d, "pg").select("page_id", "url", origin_of(F.col("url")).alias("site")), _policy(spark, d))
 
 
 @_query
@@ -503,13 +504,22 @@ def first_claims_stream(spark, d):
         claims_of(events), scratch_path(spark, "first-claims")))
 
 
+def _wanted_stream(spark, d):
+    """Requests as files that arrive two per batch, and the tables they meet."""
+    path = scratch_path(spark, "wanted")
+    dedupe.language_dedupe(derived(spark, d, "requests"), ["seed_id"]).select(
+        "seed_id", "pos", "url").repartition(6, "pos").write.parquet(path)
+    answers = fetch.final_attempt(_stored(spark, d, "fetch_log").drop("page_id"))
+    return export_stream.read_requests(spark, path, files_per_batch=2), (derived(spark, d, "seeds"), _policy(spark, d), answers)
+
+
 @_query
 def export_texts_stream(spark, d):
-    return export_stream.run_export_stream(
-        export_stream.read_pages(spark, d, "pages.parquet"), scratch_path(spark, "export"))
+    wanted, tables_ = _wanted_stream(spark, d)
+    return export_stream.run_export_stream(wanted, *tables_, _pages(spark, d, True), scratch_path(spark, "export"))
 
 
 @_query
 def progress_stream(spark, d):
-    return export_stream.run_progress_stream(
-        export_stream.read_pages(spark, d, "pages.parquet"), scratch_path(spark, "progress"))
+    wanted, tables_ = _wanted_stream(spark, d)
+    return export_stream.run_progress_stream(wanted, *tables_, scratch_path(spark, "progress"))

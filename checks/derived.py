@@ -95,7 +95,8 @@ SELECT site,
                             chr(10), 'User-agent: examplebot', chr(10), 'Disallow: /fr', chr(10), 'Allow: /')
          WHEN 1 THEN concat('User-agent: *', chr(10), 'Disallow: /de # note')
          ELSE concat('User-agent: *', chr(10), 'Disallow:') END AS body
-FROM pg GROUP BY site""")
+FROM (SELECT lower(regexp_extract(url, '^([A-Za-z]+://[^/?#]*)', 1)) AS site, page_id FROM pg
+      UNION ALL SELECT concat('https://', site), page_id FROM pg) o GROUP BY site""")
 
 _block("fetch_log", (), """
 SELECT p.page_id, p.url, a.attempt,

@@ -274,6 +274,10 @@ robots_mine AS (
                  FROM robots_ruled WHERE agents = '*' OR contains('%s', lower(agents))) x WHERE choice = 1)""" % AGENT
 
 
+def origin(u):
+    return f"lower(regexp_extract({u}, '^([A-Za-z]+://[^/?#]*)', 1))"
+
+
 def robots_ok(url: str, site: str) -> str:
     target = f"coalesce(nullif(regexp_extract({url}, '^[a-z]+://[^/?#]*(.*)$', 1), ''), '/')"
     return f"""coalesce((SELECT CASE WHEN t.status IN (401, 403) THEN false WHEN t.status BETWEEN 400 AND 499 THEN true
@@ -284,15 +288,15 @@ def robots_ok(url: str, site: str) -> str:
 
 ORACLES["robots_rules"] = _with(("robots_txt",), "SELECT * FROM robots_ruled", _ROBOTS)
 ORACLES["robots_gate"] = _with(("pg", "robots_txt"), f"""
-SELECT p.page_id, p.url, p.site, CASE WHEN r.status IN (401, 403) THEN 'deny_all' WHEN r.status BETWEEN 400 AND 499 THEN 'allow_all'
+SELECT p.page_id, p.url, r.site, CASE WHEN r.status IN (401, 403) THEN 'deny_all' WHEN r.status BETWEEN 400 AND 499 THEN 'allow_all'
          WHEN r.status BETWEEN 200 AND 299 THEN 'parsed' ELSE 'unparsed' END AS robots_status,
-       {robots_ok('p.url', 'p.site')} AS robots_ok
-FROM pg p JOIN robots_txt r USING (site)""", _ROBOTS)
+       {robots_ok('p.url', origin('p.url'))} AS robots_ok
+FROM pg p JOIN robots_txt r ON r.site = {origin('p.url')}""", _ROBOTS)
 
 _SELECTABLE = f"""
 verdict AS (
   SELECT q.seed_id, q.pos, q.url, CASE WHEN NOT {same_site(host('q.url'), 's.host')} THEN 'other_host'
-         WHEN NOT {robots_ok('q.url', 's.host')} THEN 'robots' ELSE 'ok' END AS reason
+         WHEN NOT {robots_ok('q.url', origin('s.url'))} THEN 'robots' ELSE 'ok' END AS reason
   FROM requests q JOIN seeds s USING (seed_id))"""
 ORACLES["selectable_verdict"] = _with(
     ("requests", "seeds", "robots_txt"), "SELECT seed_id, pos, url, reason = 'ok' AS selectable, reason FROM verdict",
@@ -316,7 +320,7 @@ fetched AS (
   SELECT q.seed_id, q.pos, q.url, q.url AS final_url,
          CASE WHEN NOT {same_site(host('q.url'), 's.host')} THEN 'other_host'
               WHEN {first_seg('q.url')} IN ({_EXCLUDED}) THEN 'excluded_path'
-              WHEN NOT {robots_ok('q.url', 's.host')} THEN 'robots'
+              WHEN NOT {robots_ok('q.url', origin('s.url'))} THEN 'robots'
               WHEN f.status IS NULL THEN 'no_response'
               WHEN f.status IN (401, 403) THEN 'not_public'
               WHEN f.status NOT BETWEEN 200 AND 299 THEN 'http_' || f.status
@@ -453,7 +457,7 @@ redirected AS (
   SELECT q.seed_id, q.pos, q.url, e.final_url,
          CASE WHEN NOT {same_site(host('q.url'), 's.host')} THEN 'other_host'
               WHEN {first_seg('q.url')} IN ({_EXCLUDED}) THEN 'excluded_path'
-              WHEN NOT {robots_ok('q.url', 's.host')} THEN 'robots'
+              WHEN NOT {robots_ok('q.url', origin('s.url'))} THEN 'robots'
               WHEN e.url IS NULL THEN 'no_response' WHEN e.outcome <> 'ok' THEN e.outcome
               WHEN l.status IN (401, 403) THEN 'not_public'
               WHEN l.status NOT BETWEEN 200 AND 299 THEN 'http_' || l.status
@@ -496,7 +500,7 @@ ORACLES["discovery_mode"] = _with(_SITE_INPUTS, "SELECT seed_id, url, pos, sourc
 ORACLES["discover_urls"] = _with((*_SITE_INPUTS, "robots_txt"), f"""
 SELECT d.seed_id, d.pos, d.url, d.reason = 'ok' AS selectable, d.reason FROM (
   SELECT l.*, CASE WHEN NOT {same_site(host('l.url'), 's.host')} THEN 'other_host'
-                   WHEN NOT {robots_ok('l.url', 's.host')} THEN 'robots' ELSE 'ok' END AS reason
+                   WHEN NOT {robots_ok('l.url', origin('s.url'))} THEN 'robots' ELSE 'ok' END AS reason
   FROM deduped l JOIN seeds s USING (seed_id)) d""", _MODE, f"""
 scoped AS (SELECT seed_id, pos, url FROM found WHERE {first_seg('url')} NOT IN ({_EXCLUDED}))""",
                                  key_ctes("scoped"), """
@@ -601,12 +605,6 @@ ORACLES["page_text"] = _with(("page_variants",), "SELECT page_id, url, text FROM
 ORACLES["page_title"] = _with(("page_variants",), "SELECT page_id, url, title FROM texts", text_ctes("page_variants"))
 ORACLES["page_site_text"] = _with(
     (), f"SELECT page_id, {site_key('url')} AS site_key, title, text FROM texts", text_ctes("pages"))
-ORACLES["export_texts_stream"] = _with((), f"""
-SELECT {site_key('url')} AS seed_id, page_id, url, title, text, CASE WHEN text = '' THEN 'no_text' END AS error
-FROM texts""", text_ctes("pages"))
-ORACLES["progress_stream"] = _with((), f"""
-SELECT {site_key('url')} AS seed_id, count(*) FILTER (text <> '') AS ok, count(*) FILTER (text = '') AS failed
-FROM texts GROUP BY 1""", text_ctes("pages"))
 
 _EXPORTED = (
     key_ctes("requests"), """
@@ -620,6 +618,10 @@ exported AS (
   FROM fetched f LEFT JOIN address_texts t ON t.address = regexp_replace(f.url, '#.*', '') AND f.error IS NULL)""")
 ORACLES["export_pages"] = _with(
     _FETCH_INPUTS, "SELECT seed_id, pos, url, title, text, error, requested_url FROM exported", *_EXPORTED)
+ORACLES["export_texts_stream"] = ORACLES["export_pages"]
+ORACLES["progress_stream"] = _with(_FETCH_INPUTS, """
+SELECT seed_id, count(*) FILTER (error IS NULL) AS ok, count(*) FILTER (error IS NOT NULL) AS failed, count(*) AS total
+FROM fetched GROUP BY seed_id""", *_EXPORTED)
 ORACLES["export_pages_redirects"] = _with(_HOPS, """
 SELECT f.seed_id, f.pos, CASE WHEN f.error IS NULL THEN f.final_url ELSE f.url END AS url, t.title, t.text, f.error, f.url AS requested_url
 FROM redirected f LEFT JOIN (

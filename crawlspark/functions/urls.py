@@ -65,6 +65,12 @@ def host_of(url: Column) -> Column:
     return host_of_netloc(netloc_of(readable_url(url)))
 
 
+def origin_of(url: Column) -> Column:
+    """Scheme and authority: what one robots file holds for. `www.` and ports make a difference."""
+    text = readable_url(url)
+    return F.concat(scheme_of(text), F.lit("://"), F.lower(netloc_of(text)))
+
+
 def bare_host(host: Column) -> Column:
     """Host without one leading `www.`."""
     return F.when(host.startswith("www."), F.substr(host, F.lit(5))).otherwise(host)

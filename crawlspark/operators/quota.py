@@ -87,16 +87,18 @@ def used_by_minute(accepted: DataFrame) -> DataFrame:
 
 
 def quota_decisions(events: DataFrame, limit: int = DAILY_SITES,
-                    carried: DataFrame | None = None) -> DataFrame:
+                    carried: DataFrame | None = None, accepted: DataFrame | None = None) -> DataFrame:
     """events (event_id, ts, url, op) → day, site_key, decision, used, retry_after.
 
     claimed / already / continued / limit for claiming operations, already / limit / ok for
     `check`. `used` counts the accepted sites up to the event; `retry_after` is 0 unless refused.
     The two small tables are broadcast if they measure small enough; else events are shuffled by
-    (day, site) and by (day, minute), never by day.
+    (day, site) and by (day, minute), never by day. `accepted` may be given, as accepted_sites()
+    makes it.
     """
     limit = max(1, limit)
-    accepted = cut_lineage(accepted_sites(events, limit, carried))
+    if accepted is None:
+        accepted = cut_lineage(accepted_sites(events, limit, carried))
     n_sites, name_bytes = measured(accepted, "site_key")
     n_days = accepted.select("day").distinct().count()
     minutes = used_by_minute(accepted)

@@ -1,4 +1,6 @@
-"""Robots rules: files → groups → one policy row per site → verdict per URL.
+"""Robots rules: files → groups → one policy row per file → verdict per URL.
+
+A file holds for one origin (scheme and authority); `site` names it in all tables here.
 
 A robots file is one row, so its lines, groups and rules are bounded by that document. URLs
 meet the policy through one N:1 join on the site; the first matching rule is found inside the
@@ -11,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import strip, unquote
-from ..functions.urls import bare_host, host_of, same_site
+from ..functions.urls import host_of, origin_of, same_site
 from ..sources.tables import robots_lines
 
 
@@ -124,7 +126,7 @@ def robots_allowed(url: Column, status: Column, rules: Column) -> Column:
 
 
 def robots_gate(urls: DataFrame, policy: DataFrame) -> DataFrame:
-    """urls (…, url, site) → `robots_status`, `robots_ok`."""
+    """urls (…, url, site) → `robots_status`, `robots_ok`; `site` is the origin_of() the url."""
     return urls.join(policy, "site", "left").select(
         *urls.columns,
         F.coalesce("robots_status", F.lit("unreachable")).alias("robots_status"),
@@ -135,7 +137,7 @@ def robots_gate(urls: DataFrame, policy: DataFrame) -> DataFrame:
 def seed_policies(seeds: DataFrame, policy: DataFrame) -> DataFrame:
     """seed_id, seed_host, robots_status, rules: the seed's own file judges all its URLs."""
     return (
-        seeds.select("seed_id", F.col("host").alias("seed_host"), bare_host(F.col("host")).alias("site"))
+        seeds.select("seed_id", F.col("host").alias("seed_host"), origin_of(F.col("url")).alias("site"))
         .join(policy, "site", "left")
         .select("seed_id", "seed_host", "robots_status", "rules")
     )

@@ -1,61 +1,70 @@
-"""Export as pages arrive, and running counts per seed."""
+"""Export as requests arrive, and running counts per seed: the batch verdict on each micro-batch."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..functions.urls import host_of, site_key
-from ..operators.progress import succeeded
-from ..plans.export import with_text_and_title
-from ..sources.tables import PAGES, file_stream
+from ..plans.export import export_rows, fetch_verdict
+from ..operators.progress import export_summary
+from ..session import remove_folder
+from ..sources.tables import file_stream
 
+# requests with language variants already collapsed, as a site's list is made before it is fetched
+REQUESTS = T.StructType([
+    T.StructField("seed_id", T.LongType()), T.StructField("pos", T.LongType()), T.StructField("url", T.StringType())])
+SUMMARY = "seed_id bigint, ok bigint, failed bigint, total bigint"
 
-def read_pages(spark: SparkSession, folder: str, names: str = "*.parquet",
-               files_per_batch: int = 1000) -> DataFrame:
-    return file_stream(spark, PAGES, folder, names, files_per_batch)
 
+def read_requests(spark: SparkSession, folder: str, names: str = "*.parquet", files_per_batch: int = 1000) -> DataFrame:
+    return file_stream(spark, REQUESTS, folder, names, files_per_batch)
 
-def arriving_rows(pages: DataFrame) -> DataFrame:
-    """seed_id (the page's site), page_id, url, title, text, error. Stateless: the same text
-    job as in batch; a page without any text is reported as an error."""
-    texts = with_text_and_title(pages)
-    return texts.select(
-        site_key(host_of(F.col("url")), F.col("url")).alias("seed_id"), "page_id", "url", "title", "text",
-        F.when(F.col("text") == "", F.lit("no_text")).alias("error"))
 
+def run_export_stream(requests: DataFrame, seeds: DataFrame, policy: DataFrame, responses: DataFrame,
+                      bodies: DataFrame, path: str) -> DataFrame:
+    """Rows of export_rows() for all requests that have arrived.
+
+    Seeds, policy, responses and bodies are tables. Each micro-batch writes a folder of its own,
+    so one that is run again replaces its rows.
+    """
+    def export(batch: DataFrame, batch_id: int) -> None:
+        rows = export_rows(fetch_verdict(batch, seeds, policy, responses), bodies)
+        rows.write.mode("overwrite").parquet(f"{path}/rows/batch={batch_id}")
 
-def run_export_stream(pages: DataFrame, path: str) -> DataFrame:
-    spark = pages.sparkSession
-    rows = arriving_rows(pages)
     (
-        rows.writeStream.format("parquet").outputMode("append")
-        .option("path", f"{path}/rows").option("checkpointLocation", f"{path}/checkpoint")
+        requests.writeStream.foreachBatch(export).option("checkpointLocation", f"{path}/checkpoint")
         .trigger(availableNow=True).start().awaitTermination()
     )
-    return spark.read.schema(rows.schema).parquet(f"{path}/rows")
-
+    return requests.sparkSession.read.parquet(f"{path}/rows").drop("batch")
 
-def progress_counts(rows: DataFrame) -> DataFrame:
-    """Running ok / failed per seed; partial sums are made before the shuffle."""
-    return rows.groupBy("seed_id").agg(
-        F.count_if(succeeded()).alias("ok"), F.count_if(~succeeded()).alias("failed"))
 
+def run_progress_stream(requests: DataFrame, seeds: DataFrame, policy: DataFrame, responses: DataFrame,
+                        path: str) -> DataFrame:
+    """seed_id, ok, failed, total after all requests that have arrived.
 
-def run_progress_stream(pages: DataFrame, path: str) -> DataFrame:
-    """Updates per batch are kept by batch id; the newest one of a seed is its state."""
-    spark = pages.sparkSession
+    The verdict is a join of the stream with tables; the counts are a streaming aggregation whose
+    changed rows replace the seeds' rows in a table with one version per batch. The last two
+    versions are kept: one to read, one to run a batch again from.
+    """
+    spark = requests.sparkSession
+    version = f"{path}/counts/v{{}}".format
+    last = []
 
-    def keep(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/updates/batch={batch_id}")
+    def merge(changed: DataFrame, batch_id: int) -> None:
+        if batch_id:
+            before = spark.read.schema(SUMMARY).parquet(version(batch_id - 1))
+            changed = changed.unionByName(before.join(changed.select("seed_id"), "seed_id", "left_anti"))
+        changed.write.mode("overwrite").parquet(version(batch_id))
+        remove_folder(spark, version(batch_id - 2))
+        last[:] = [batch_id]
 
+    counts = export_summary(fetch_verdict(requests, seeds, policy, responses))
     (
-        progress_counts(arriving_rows(pages)).writeStream.outputMode("update").foreachBatch(keep)
+        counts.writeStream.outputMode("update").foreachBatch(merge)
         .option("checkpointLocation", f"{path}/checkpoint")
         .trigger(availableNow=True).start().awaitTermination()
     )
-    return (
-        spark.read.parquet(f"{path}/updates")
-        .groupBy("seed_id").agg(F.max_by(F.struct("ok", "failed"), "batch").alias("s"))
-        .select("seed_id", "s.ok", "s.failed")
-    )
+    if not last:
+        return spark.createDataFrame([], SUMMARY)
+    return spark.read.schema(SUMMARY).parquet(version(last[0]))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..fixed_values import DAILY_SITES
 from ..operators.quota import CLAIMING, accepted_sites, quota_decisions, with_day_and_site
+from ..session import cut_lineage, remove_folder
 from ..sources.tables import EVENTS, file_stream
 
 # first sightings are split over this many keys per (day, site) before the final one is kept
@@ -27,7 +28,13 @@ class QuotaBatches:
     write replaces its own folder, so a batch that is run again gives the same result.
     """
 
-    def __init__(self, path: str, limit: int = DAILY_SITES, keep_days: int = 2):
+    def __init__(self, path: str, limit: int = DAILY_SITES, keep_days: int | None = None):
+        """`keep_days`: days before the present UTC date whose sites are kept; None keeps all.
+
+        A day has at most `limit` rows, so keeping all is cheap and late events are decided like
+        any other. Event times never remove a day. Events of days no longer kept are not decided
+        but written to the folder `late`.
+        """
         self.path = path
         self.limit = max(1, limit)
         self.keep_days = keep_days
@@ -37,16 +44,24 @@ class QuotaBatches:
 
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
+        batch = batch.persist()  # read for the claims, the decisions and the late events
         carried = None
         if batch_id > 0:
             carried = spark.read.schema("day date, site_key string").parquet(self._state(batch_id - 1))
-            # a day is kept until the end of the next one, by event time
-            newest = carried.agg(F.max("day")).first()[0]
-            carried = carried.filter(F.col("day") > F.date_sub(F.lit(newest), self.keep_days))
-        quota_decisions(batch, self.limit, carried).write.mode("overwrite").parquet(
+        if self.keep_days is not None:
+            oldest = F.date_sub(F.current_date(), self.keep_days)
+            batch.filter(F.to_date("ts") < oldest).write.mode("overwrite").parquet(f"{self.path}/late/batch={batch_id}")
+            decided = batch.filter(F.to_date("ts") >= oldest)
+            carried = None if carried is None else carried.filter(F.col("day") >= oldest)
+        else:
+            decided = batch
+        accepted = cut_lineage(accepted_sites(decided, self.limit, carried))
+        quota_decisions(decided, self.limit, accepted=accepted).write.mode("overwrite").parquet(
             f"{self.path}/decisions/batch={batch_id}")
-        accepted = accepted_sites(batch, self.limit, carried).select("day", "site_key")
-        accepted.coalesce(1).write.mode("overwrite").parquet(self._state(batch_id))
+        accepted.select("day", "site_key").repartition(1).write.mode("overwrite").parquet(self._state(batch_id))
+        # the version before stays: this batch may be run again
+        remove_folder(spark, self._state(batch_id - 2))
+        batch.unpersist()
 
 
 def start_quota_stream(events: DataFrame, path: str, limit: int = DAILY_SITES, **trigger):

@@ -281,7 +281,7 @@ def test_never_more_than_the_limit(spark):
 
 def test_verdict_order(spark):
     seeds = spark.createDataFrame([(1, "https://h.be/", "h.be")], "seed_id long, url string, host string")
-    policy = spark.createDataFrame([("h.be", "parsed", [(1, False, "/no")])], "site string, robots_status string, rules array<struct<rule_pos:long,allow:boolean,prefix:string>>")
+    policy = spark.createDataFrame([("https://h.be", "parsed", [(1, False, "/no")])], "site string, robots_status string, rules array<struct<rule_pos:long,allow:boolean,prefix:string>>")
     cases = {
         "https://o.be/news": (200, "text/html", 1, "other_host"), "https://h.be/news/no": (200, "text/html", 1, "excluded_path"),
         "https://h.be/no": (200, "text/html", 1, "robots"), "https://h.be/401": (401, "text/html", 1, "not_public"),

@@ -62,9 +62,12 @@ def test_rule_rows(spark):
 
 
 def test_selectable_reasons(spark):
-    seeds = spark.createDataFrame([(1, "h.be")], "seed_id long, host string")
-    files = spark.createDataFrame([("h.be", 200, "User-agent: *\nDisallow: /no")], "site string, status int, body string")
+    seeds = spark.createDataFrame([(1, "https://h.be/", "h.be"), (2, "https://www.h.be:443/", "www.h.be")], "seed_id long, url string, host string")
+    files = spark.createDataFrame(
+        [("https://h.be", 200, "User-agent: *\nDisallow: /no"), ("https://www.h.be:443", 200, "User-agent: *\nDisallow: /ok")],
+        "site string, status int, body string")
     urls = spark.createDataFrame(
-        [(1, 1, "https://www.h.be/ok"), (1, 2, "https://h.be/no"), (1, 3, "https://else.be/")], "seed_id long, pos long, url string")
+        [(1, 1, "https://www.h.be/ok"), (1, 2, "https://h.be/no"), (1, 3, "https://else.be/"),
+         (2, 4, "https://www.h.be/ok"), (2, 5, "https://h.be/no")], "seed_id long, pos long, url string")
     got = robots.selectable_verdict(urls, seeds, robots.robots_policy(files, "bot")).orderBy("pos").collect()
-    assert [(r.selectable, r.reason) for r in got] == [(True, "ok"), (False, "robots"), (False, "other_host")]
+    assert [(r.selectable, r.reason) for r in got] == [(True, "ok"), (False, "robots"), (False, "other_host"), (False, "robots"), (True, "ok")]

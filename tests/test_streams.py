@@ -44,14 +44,34 @@ def test_a_batch_run_again_changes_nothing(spark, split_events):
     assert decided(spark.read.parquet(f"{step.path}/decisions")) == before == decided(quota_decisions(claims, 5))
 
 
-def test_old_days_leave_the_state(spark):
+def test_the_state_keeps_days_and_two_versions(spark):
     step = stream.QuotaBatches(scratch_path(spark, "days"), 5)
     base = spark.range(1)
     for batch, day in enumerate(["2024-01-01", "2024-01-02", "2024-01-05", "2024-01-06"]):
         step(base.select(F.lit(batch).cast("bigint").alias("event_id"), F.lit(f"{day} 10:00:00").cast("timestamp_ntz").alias("ts"),
                          F.lit("https://a.be/").alias("url"), F.lit("discover").alias("op")), batch)
     kept = [str(r.day) for r in spark.read.parquet(f"{step.path}/state/v3").orderBy("day").collect()]
-    assert kept == ["2024-01-05", "2024-01-06"]
+    assert kept == ["2024-01-01", "2024-01-02", "2024-01-05", "2024-01-06"]
+    with pytest.raises(Exception):  # only the last two versions are kept
+        spark.read.parquet(f"{step.path}/state/v1").count()
+
+
+def test_future_and_late_events_open_no_new_slots(spark):
+    step = stream.QuotaBatches(scratch_path(spark, "order"), 2)
+    days = ["2024-01-02", "2099-01-01", "2024-01-02", "2024-01-01", "2024-01-02"]
+    for batch, day in enumerate(days):
+        step(spark.range(3).select((F.col("id") + 10 * batch).alias("event_id"), F.lit(f"{day} 10:00:00").cast("timestamp_ntz").alias("ts"),
+                                   F.concat(F.lit(f"https://b{batch}x"), F.col("id"), F.lit(".be/")).alias("url"), F.lit("discover").alias("op")), batch)
+    got = spark.read.parquet(f"{step.path}/decisions").filter("decision = 'claimed'").groupBy("day").count().collect()
+    assert {str(r.day): r["count"] for r in got} == {"2024-01-02": 2, "2099-01-01": 2, "2024-01-01": 2}
+
+
+def test_events_of_closed_days_are_set_aside(spark):
+    step = stream.QuotaBatches(scratch_path(spark, "closed"), 2, keep_days=3)
+    old = spark.range(4).select("id", F.when(F.col("id") < 1, F.lit("2024-01-01 10:00:00").cast("timestamp_ntz")).otherwise(
+        F.current_timestamp().cast("timestamp_ntz")).alias("ts"))
+    step(old.select(F.col("id").alias("event_id"), "ts", F.concat(F.lit("https://c"), F.col("id"), F.lit(".be/")).alias("url"), F.lit("discover").alias("op")), 0)
+    assert spark.read.parquet(f"{step.path}/late").count() == 1 and spark.read.parquet(f"{step.path}/decisions").count() == 3
 
 
 def test_first_claims_once_per_day(spark, split_events):
