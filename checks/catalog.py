@@ -23,7 +23,7 @@ from crawlspark.functions.urls import (
 )
 from crawlspark.operators import dedupe, fetch, links, progress, quota, robots, scope, sitemaps, sites
 from crawlspark.operators.crawl import crawl_frontier
-from crawlspark.plans import discover, export
+from crawlspark.plans import discover, export, gates
 from crawlspark.session import configure, scratch_path
 from crawlspark.sources import tables
 from crawlspark.streaming import export as export_stream
@@ -331,6 +331,12 @@ def discover_urls(spark, d):
     return discover.discover_urls(derived(spark, d, "seeds"), *_site_tables(spark, d), _policy(spark, d))
 
 
+@_query
+def discover_gated(spark, d):
+    return gates.discover_gated(
+        derived(spark, d, "asked_seeds"), derived(spark, d, "host_ips"), *_site_tables(spark, d), _policy(spark, d))
+
+
 # ---------------------------------------------------------------------------- aggregations
 
 
@@ -487,6 +493,13 @@ def export_pages_redirects(spark, d):
     return export.export_rows(_redirected_verdicts(spark, d), _pages(spark, d, True))
 
 
+@_query
+def export_gated(spark, d):
+    return gates.export_gated(
+        derived(spark, d, "asked_seeds"), derived(spark, d, "host_ips"), derived(spark, d, "requests"), _policy(spark, d),
+        fetch.final_attempt(derived(spark, d, "fetch_log").drop("page_id")), _pages(spark, d, True))
+
+
 # --------------------------------------------------------------------------------- streams
 
 

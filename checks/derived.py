@@ -158,6 +158,18 @@ SELECT min(page_id) AS seed_id, concat('https://', site, '/') AS url, site AS ho
        CAST(min(page_id) % 5 AS INT) AS crawl_depth, CAST(10 + min(page_id) % 40 AS INT) AS crawl_max_pages
 FROM pg GROUP BY site""")
 
+# seeds as typed, some unsafe or empty; a third of the sites are asked for a second time
+_block("asked_seeds", ("seeds",), """
+SELECT seed_id, CASE seed_id % 7 WHEN 0 THEN host WHEN 1 THEN concat(' HTTPS://', upper(host), ':443/ ') WHEN 2 THEN 'http://localhost/x'
+                     WHEN 3 THEN '  ' ELSE url END AS raw,
+       CAST(concat('2024-03-0', CAST(1 + seed_id % 2 AS VARCHAR(20)), ' 10:00:00') AS {timestamp}) AS ts,
+       mode, crawl_depth, crawl_max_pages
+FROM seeds
+UNION ALL
+SELECT seed_id + 10000000, url, CAST(concat('2024-03-0', CAST(1 + seed_id % 2 AS VARCHAR(20)), ' 11:00:00') AS {timestamp}),
+       mode, crawl_depth, crawl_max_pages
+FROM seeds WHERE seed_id % 3 = 0""")
+
 _block("site_pages", ("pg",), """
 SELECT site, min(page_id) AS page_id, regexp_replace(url, '#.*', '') AS address
 FROM pg GROUP BY site, regexp_replace(url, '#.*', '')""")
@@ -232,10 +244,12 @@ LEFT JOIN site_pages t ON t.page_id = s.page_id + 1 AND s.page_id % 4 <> 3""")
 
 # ordered text aggregation is the one construct the two engines spell differently
 _SPARK = {
+    "{timestamp}": "TIMESTAMP_NTZ",
     "{page_fragments}": "listagg(fragment, '') WITHIN GROUP (ORDER BY page_id, fragment)",
     "{child_fragments}": "listagg(child, '') WITHIN GROUP (ORDER BY first_id, child)",
 }
 _DUCK = {
+    "{timestamp}": "TIMESTAMP",
     "{page_fragments}": "string_agg(fragment, '' ORDER BY page_id, fragment)",
     "{child_fragments}": "string_agg(child, '' ORDER BY first_id, child)",
 }

@@ -635,3 +635,45 @@ SELECT regexp_extract(s.host, '^([^.]*)', 1) AS name, s.url AS base_url, CAST(fl
        row_number() OVER (PARTITION BY x.seed_id, floor(x.pos / 5000.0) ORDER BY x.pos) - 1 AS i,
        x.url, x.title, x.text, x.error
 FROM exported x JOIN seeds s USING (seed_id)""", *_EXPORTED)
+
+# ------------------------------------------------------------------------------------ gated flows
+
+
+def gate_ctes(op: str) -> str:
+    """gated: seed_id, url, reason of every seed asked for."""
+    refused = "CASE WHEN n > 1 AND rank <= 20 THEN 'already' WHEN rank > 20 THEN 'limit' END" if op == "discover" else (
+        "CASE WHEN rank > 20 THEN 'limit' END")
+    return f"""
+typed AS (
+  SELECT a.seed_id, a.ts, CASE WHEN trim(a.raw) = '' THEN NULL WHEN a.raw LIKE '%localhost%' THEN a.raw
+                               ELSE 'https://' || s.host || '/' END AS url, s.host
+  FROM asked_seeds a JOIN seeds s ON s.seed_id = a.seed_id % 10000000),
+tested AS (
+  SELECT t.seed_id, t.ts, t.url, t.host, CASE WHEN t.url IS NULL THEN 'no_address' WHEN t.url LIKE '%localhost%' THEN 'blocked_host'
+         WHEN v.closed IS NULL THEN 'unresolved' WHEN v.closed THEN 'closed_network' END AS reason
+  FROM typed t LEFT JOIN verdicts v ON v.host = t.host),
+turns AS (
+  SELECT *, CAST(ts AS DATE) AS day, row_number() OVER (PARTITION BY CAST(ts AS DATE), host ORDER BY ts, seed_id) AS n
+  FROM tested WHERE reason IS NULL),
+ranks AS (SELECT day, host, row_number() OVER (PARTITION BY day ORDER BY ts, seed_id) AS rank FROM turns WHERE n = 1),
+gated AS (
+  SELECT seed_id, url, {refused} AS reason FROM turns JOIN ranks USING (day, host)
+  UNION ALL SELECT seed_id, url, reason FROM tested WHERE reason IS NOT NULL),
+refused AS (SELECT * FROM gated WHERE reason IS NOT NULL)"""
+
+
+_GATE = ("asked_seeds", "host_ips")
+ORACLES["discover_gated"] = _with((*_SITE_INPUTS, "robots_txt", *_GATE), f"""
+SELECT g.seed_id, d.pos, d.url, d.reason = 'ok' AS selectable, d.reason FROM (
+  SELECT l.*, CASE WHEN NOT {same_site(host('l.url'), 's.host')} THEN 'other_host'
+                   WHEN NOT {robots_ok('l.url', origin('s.url'))} THEN 'robots' ELSE 'ok' END AS reason
+  FROM deduped l JOIN seeds s USING (seed_id)) d JOIN gated g ON g.seed_id % 10000000 = d.seed_id AND g.reason IS NULL
+UNION ALL SELECT seed_id, 0, url, false, reason FROM refused""", _MODE, f"""
+scoped AS (SELECT seed_id, pos, url FROM found WHERE {first_seg('url')} NOT IN ({_EXCLUDED}))""", key_ctes("scoped"), """
+deduped AS (
+  SELECT seed_id, min(pos) AS pos, arg_min(url, {'r': lang_rank, 'u': url}) AS url FROM keyed GROUP BY seed_id, page_key)""",
+                                  _ROBOTS, _HOSTS_CLOSED, gate_ctes("discover"), recursive=True)
+ORACLES["export_gated"] = _with((*_FETCH_INPUTS, *_GATE), """
+SELECT x.seed_id, x.pos, x.url, x.title, x.text, x.error, x.requested_url FROM exported x
+JOIN gated g ON g.seed_id = x.seed_id AND g.reason IS NULL
+UNION ALL SELECT seed_id, 0, url, NULL, NULL, reason, NULL FROM refused""", *_EXPORTED, _HOSTS_CLOSED, gate_ctes("scrape"))
