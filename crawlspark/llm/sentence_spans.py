@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from crawlspark.llm.common import prepare, stored
+from crawlspark.llm.common import cut_lineage, prepare, stored
 
 SENTENCES = 3
 MIN_WORDS = 15
@@ -120,10 +120,12 @@ def repeated_spans(docs: DataFrame, n: int = SENTENCES, min_words: int = MIN_WOR
     places, and of these the earliest is found, again with partial minima.
     """
     rows = stored(all_spans(docs, n, min_words), "spans")
-    repeated = rows.groupBy("h1", "h2").agg(F.count("*").alias("times")).filter("times > 1").select("h1", "h2")
+    # both sides of a join are dealt out for it alone, so that a frequent run's partition can be split
+    repeated = cut_lineage(
+        rows.groupBy("h1", "h2").agg(F.count("*").alias("times")).filter("times > 1").select("h1", "h2"))
     again = stored(rows.join(repeated, ["h1", "h2"], "left_semi"), "repeated_spans")
     place = F.struct("doc_id", "text_hash", "first")
-    earliest = again.groupBy("h1", "h2").agg(F.min(place).alias("earliest"))
+    earliest = cut_lineage(again.groupBy("h1", "h2").agg(F.min(place).alias("earliest")))
     return again.join(earliest, ["h1", "h2"]).filter(~place.eqNullSafe(F.col("earliest"))).select(
         "doc_id", "text_hash", "first", "stop")
 
