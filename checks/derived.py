@@ -216,14 +216,17 @@ FROM (SELECT site, lang, chunk, min(page_id) AS first_id,
       FROM sitemap_fragments GROUP BY site, lang, chunk) c
 GROUP BY site HAVING min(first_id) % 7 <> 3""")
 
-_block("requests", ("pg",), """
-SELECT min(page_id) OVER (PARTITION BY site) AS seed_id, page_id * 2 AS pos,
+_block("numbered_pages", ("pg",), """
+SELECT p.page_id, p.url, s.seed_id FROM pg p JOIN (SELECT site, min(page_id) AS seed_id FROM pg GROUP BY site) s ON s.site = p.site""")
+
+_block("requests", ("numbered_pages",), """
+SELECT seed_id, page_id * 2 AS pos,
        CASE page_id % 12 WHEN 0 THEN replace(url, '/en/', '/news/') WHEN 1 THEN replace(url, '/en/', '/stages/') ELSE url END AS url
-FROM pg
+FROM numbered_pages
 UNION ALL
-SELECT min(page_id) OVER (PARTITION BY site) AS seed_id, page_id * 2 + 1 AS pos,
+SELECT seed_id, page_id * 2 + 1 AS pos,
        CASE WHEN page_id % 2 = 0 THEN 'https://elsewhere.test/x' ELSE regexp_replace(url, '/(en|fr|de|es)/', '/nl/') END AS url
-FROM pg""")
+FROM numbered_pages""")
 
 _block("claim_events", (), """
 SELECT event_id, ts, concat('https://www.site', CAST(user_id AS VARCHAR(20)), '.example.com/') AS url,

@@ -43,6 +43,7 @@ def crawl_frontier(seeds: DataFrame, responses: DataFrame, edges: DataFrame) ->
         n_asked, asked_bytes = measured(candidates, "url")
         if n_asked == 0:
             break
+        most = candidates.agg(F.max("left")).first()[0]
         known = rows_for_keys(answers, candidates, "url", asked_bytes)
         level = cut_lineage(candidates.join(known, "url", "left"))
         asked = level.select("seed_id", "url")
@@ -50,7 +51,8 @@ def crawl_frontier(seeds: DataFrame, responses: DataFrame, edges: DataFrame) ->
         answered = (
             level.filter("final_url IS NOT NULL")
             .withColumn("_rank", F.row_number().over(by_queue))
-            .filter(F.col("_rank") <= F.col("left"))
+            # the literal bound cuts each task's rows of a seed before they are shuffled
+            .filter(F.col("_rank") <= F.lit(most)).filter(F.col("_rank") <= F.col("left"))
         )
         levels.append(answered.select(
             "seed_id", F.lit(depth).alias("depth"), "path", "url", "final_url"))

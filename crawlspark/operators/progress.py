@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
 from .ordering import first_per_group, running_sums
 
 
@@ -26,6 +27,8 @@ def export_summary(rows: DataFrame) -> DataFrame:
 def export_progress(rows: DataFrame) -> DataFrame:
     """rows (seed_id, pos, error) → index, ok, failed and percent after each row."""
     ok = succeeded().cast("bigint")
+    # read for the block bounds, the block totals and the rows
+    rows = cut_lineage(rows.select("seed_id", "pos", "error"))
     summed = running_sums(
         rows, ["seed_id"], "pos", {"ok": ok, "failed": F.lit(1) - ok}, totals=True)
     index = F.col("ok") + F.col("failed")

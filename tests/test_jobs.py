@@ -97,6 +97,15 @@ def test_running_sums_and_caps_match_plain_windows(spark, block):
         (g, p, i + 1) for g in (1, 2) for i, p in enumerate(sorted(p for k, p, _ in data if k == g)[:17])]
 
 
+@pytest.mark.parametrize("spread", [1, 1_000_000])
+def test_blocks_follow_the_rows_not_the_positions(spark, spread):
+    df = spark.range(20_000).select(F.lit(1).alias("g"), F.when(F.col("id") < 19_000, F.col("id") * spread).otherwise(F.col("id") * 1000 * spread).alias("p"))
+    blocks = df.groupBy(ordering.block_of(df, "p", 1000).alias("b")).count().collect()
+    assert 10 <= len(blocks) <= 20 and max(r["count"] for r in blocks) < 3000
+    got = ordering.running_sums(df, ["g"], "p", {"n": F.lit(1)}, block_rows=1000).orderBy("p").collect()
+    assert [r.n for r in got] == list(range(1, 20_001))
+
+
 def test_progress_percent_rounds_half_up(spark):
     data = [(1, i, None if i % 3 else "x") for i in range(8)]
     got = rows(progress.export_progress(spark.createDataFrame(data, "seed_id long, pos long, error string")), "pos")
@@ -159,7 +168,7 @@ def walk(start, host, depth, pages, answers, links):
 
 def test_crawl_matches_a_queue(spark):
     rng = random.Random(3)
-    names = [f"https://{'s.' if i % 5 == 0 else ''}h.be/{i}" for i in range(12)] + [f"https://o.be/{i}" for i in range(10)]
+    names = [f"https://{'s.' if i % 5 == 0 else ''}h.be/{i}" for i in range(60)] + [f"https://o.be/{i}" for i in range(10)]
     answers = {u: (rng.choice(names[:60]) if rng.random() < 0.1 else u) for u in names if rng.random() < 0.85}
     links = {u: [(p, rng.choice(names)) for p in range(rng.randint(0, 6))] for u in names}
     seeds = [(i, names[i], "h.be", i % 5, 1 + i % 23) for i in range(40)]
@@ -216,7 +225,7 @@ def read_all(start, docs, host, cap):
 def test_expansion_matches_a_queue(spark):
     rng = random.Random(5)
     names = [f"https://h.be/m{i}.xml" for i in range(25)]
-    pages = [f"https://h.be/p{i}" for i in range(12)] + ["https://o.be/x", "ftp://h.be/f"]
+    pages = [f"https://h.be/p{i}" for i in range(60)] + ["https://o.be/x", "ftp://h.be/f"]
     docs = {n: (i < 8, [rng.choice(names if i < 8 else pages) for _ in range(rng.randint(0, 12))]) for i, n in enumerate(names) if i != 3}
     table = [(u, f"<{'sitemapindex' if ix else 'urlset'}>" + "".join(f"<loc>{c}</loc>" for c in cs) + "</x>") for u, (ix, cs) in docs.items()]
     starts = [(i, names[i % 25], "h.be", 1 + (i * 7) % 40) for i in range(30)]
