@@ -3,9 +3,10 @@
 Every run of several consecutive sentences is hashed; hashes are joined over the whole corpus, and
 sentences covered by any but the first occurrence of a repeated run are removed.
 
-A sentence ends at `.`, `!`, `?` before white space, or at a line end. One of more than LONG_WORDS
-words is cut further, after words picked by their own hash: the cuts of a passage are then the
-same wherever it stands, and long sentences or texts without marks do not hide repeats.
+A sentence ends at `.`, `!`, `?` before white space, or at a line end, and is cut further after
+words picked by their own hash. Whether a place is cut depends on the word before it alone, so the
+pieces of a passage are the same wherever it stands, and long sentences, texts without marks or a
+passage that begins inside a sentence do not hide repeats.
 """
 
 from __future__ import annotations
@@ -25,46 +26,36 @@ from crawlspark.llm.common import cut_lineage, prepare, stored
 
 SENTENCES = 3
 MIN_WORDS = 15
-LONG_WORDS = 24
-CUT_MASK = 7  # on average every eighth word
+CUT_EVERY = 11  # a word in so many, on average
 
-_END = re.compile(r"[.!?…。！？]+(?=\s)|\n")
+_MARKS = ".!?…。！？"
 _WORD = re.compile(r"\S+")
+_LINE = re.compile(r"\n")
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
 
 
 def sentences(text: str) -> tuple[list[int], list[int], list[bytes]]:
     """(end of each piece in characters, its words, its words lower-cased); pieces cover the text."""
-    ends, sizes, keys = [], [], []
-    at = 0
-    for stop in [*(m.end() for m in _END.finditer(text)), len(text)]:
-        if stop <= at:
-            continue
-        piece = text[at:stop]
-        words = piece.split()
-        if not words:
-            if ends:  # white space belongs to what stands before it
-                ends[-1] = stop
-                at = stop
-            continue
-        if len(words) <= LONG_WORDS:
-            ends.append(stop)
-            sizes.append(len(words))
-            keys.append(" ".join(words).lower().encode("utf-8", "surrogatepass"))
-        else:
-            low = [w.lower().encode("utf-8", "surrogatepass") for w in words]
-            first = 0
-            for k, m in enumerate(_WORD.finditer(piece)):
-                last = k == len(words) - 1
-                if last or not zlib.crc32(low[k]) & CUT_MASK:
-                    ends.append(stop if last else at + m.end())
-                    sizes.append(k + 1 - first)
-                    keys.append(b" ".join(low[first:k + 1]))
-                    first = k + 1
-        at = stop
-    if ends:
-        ends[-1] = len(text)
-    return ends, sizes, keys
+    low = [w.encode("utf-8", "surrogatepass") for w in text.lower().split()]
+    if not low:
+        return [], [], []
+    stops = [m.end() for m in _WORD.finditer(text)]
+    if len(stops) != len(low):  # a letter whose lower case is white space
+        low = [m[0].lower().encode("utf-8", "surrogatepass") for m in _WORD.finditer(text)]
+    crc = zlib.crc32
+    cut = [not crc(w) % CUT_EVERY for w in low]
+    cut = np.array(cut) | np.array([text[e - 1] in _MARKS for e in stops])
+    ends = np.array(stops)
+    # the word before each line end, if there is one
+    before = np.searchsorted(ends, [m.start() for m in _LINE.finditer(text)], "right") - 1
+    cut[before[before >= 0]] = True
+    cut[-1] = True
+    last = np.flatnonzero(cut)
+    first = np.r_[0, last[:-1] + 1]
+    keys = [b" ".join(low[a:b]) for a, b in zip(first.tolist(), (last + 1).tolist())]
+    found = ends[last].tolist()
+    found[-1] = len(text)
+    return found, (last + 1 - first).tolist(), keys
 
 
 def spans(text: str | None, n: int = SENTENCES, min_words: int = MIN_WORDS) -> tuple[np.ndarray, np.ndarray]:
@@ -116,14 +107,15 @@ def all_spans(docs: DataFrame, n: int, min_words: int) -> DataFrame:
 def repeated_spans(docs: DataFrame, n: int = SENTENCES, min_words: int = MIN_WORDS) -> DataFrame:
     """doc_id, text_hash, first, stop of every run that occurred before, in order of doc_id and place.
 
-    Runs are counted by hash alone, with partial sums; only those that repeat go on with their
-    places, and of these the earliest is found, again with partial minima.
+    Runs are counted by their first hash alone, with partial sums; only those that repeat go on with
+    their places and second hash, and of these the earliest of each pair of hashes is found, again
+    with partial minima.
     """
     rows = stored(all_spans(docs, n, min_words), "spans")
     # both sides of a join are dealt out for it alone, so that a frequent run's partition can be split
     repeated = cut_lineage(
-        rows.groupBy("h1", "h2").agg(F.count("*").alias("times")).filter("times > 1").select("h1", "h2"))
-    again = stored(rows.join(repeated, ["h1", "h2"], "left_semi"), "repeated_spans")
+        rows.groupBy("h1").agg(F.count("*").alias("times")).filter("times > 1").select("h1"))
+    again = stored(rows.join(repeated, "h1", "left_semi"), "repeated_spans")
     place = F.struct("doc_id", "text_hash", "first")
     earliest = cut_lineage(again.groupBy("h1", "h2").agg(F.min(place).alias("earliest")))
     return again.join(earliest, ["h1", "h2"]).filter(~place.eqNullSafe(F.col("earliest"))).select(
