@@ -33,8 +33,8 @@ ID_LIMIT = 1 << 16
 SHARD_TOKENS = 2_000_000
 QUERY_TERMS = 24
 K1, B = 1.2, 0.75
-# words remembered per generation while a task runs: two are about 100 MB
-MEMO_WORDS = 250_000
+# words remembered per generation by a Python worker: two are about 60 MB
+MEMO_WORDS = 150_000
 
 # marks that end a word; an apostrophe may belong to letters after it
 MARKS = string.punctuation.replace("'", "")
@@ -73,11 +73,6 @@ class Encoder:
         self.words: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
-    def forget(self) -> None:
-        """Give the memory back: a worker goes on to tasks of other kinds."""
-        self.words, self.older = {}, {}
-        pa.default_memory_pool().release_unused()
-
     def _word(self, word: str) -> bytes:
         ids = self.words.get(word)
         if ids is None:
@@ -183,7 +178,7 @@ def _tokenised(path: str, window: int, end_id: int):
                     docs += 1
                 seen[np.unique(ids)] += 1
             yield _batch(rows)
-        enc.forget()
+        pa.default_memory_pool().release_unused()  # the worker goes on to tasks of other kinds
         yield _batch([(TERMS, None, docs, tokens, 0, 0, seen.astype("<i8").tobytes())])
 
     return run
