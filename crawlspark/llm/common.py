@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from crawlspark.session import cut_lineage, scratch_path
 
 # rows handed to Python at once: texts may be long, so a batch stays at some tens of MB
-BATCH_ROWS = 512
+BATCH_ROWS = 256
 
 _shipped: set[str] = set()
 _made: list[str] = []  # folders of stored(), oldest first

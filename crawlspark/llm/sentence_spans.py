@@ -122,13 +122,16 @@ def repeated_spans(docs: DataFrame, n: int = SENTENCES, min_words: int = MIN_WOR
         "doc_id", "text_hash", "first", "stop")
 
 
-def cut(text: str, covered: list) -> tuple[str, int, int]:
-    """(text without the covered sentences, sentences, sentences removed)."""
+def cut(text: str, covered: np.ndarray) -> tuple[str, int, int]:
+    """(text without the covered sentences, sentences, sentences removed).
+
+    covered: a number per run, first sentence * 2^32 + the one after its last.
+    """
     ends, _, _ = sentences(text)
     gone = np.zeros(len(ends) + 1, np.int64)
-    for r in covered:
-        gone[r["first"]] += 1
-        gone[r["stop"]] -= 1
+    covered = np.asarray(covered, np.int64)
+    np.add.at(gone, covered >> 32, 1)
+    np.add.at(gone, covered & 0xFFFFFFFF, -1)
     gone = np.cumsum(gone)[:-1] > 0
     left = [text[a:b] for a, b, g in zip([0, *ends], ends, gone) if not g]
     return "".join(left), len(ends), int(gone.sum())
@@ -149,7 +152,7 @@ def remove_repeats(docs: DataFrame, n: int = SENTENCES, min_words: int = MIN_WOR
     ids = docs.select("doc_id", "text")
     # a document's runs are at most as many as its sentences
     covered = repeated_spans(ids, n, min_words).groupBy("doc_id", "text_hash").agg(
-        F.collect_list(F.struct("first", "stop")).alias("covered"))
+        F.collect_list(F.col("first").cast("bigint") * (1 << 32) + F.col("stop")).alias("covered"))
 
     @F.pandas_udf("text string, n_sentences int, n_removed int")
     def cleaned(texts: pd.Series, runs: pd.Series) -> pd.DataFrame:

@@ -29,7 +29,9 @@ def test_fit_on_planted_classes(spark):
     model = pu.fit(rows_of(spark, x, positive))
     assert abs(model.prior - y[:1200].mean()) < 0.1
     score = model.score(x)
-    assert ((score >= 0.5) == y).mean() > 0.97
+    # 1200 unlabelled rows leave some noise in the prior and so in the threshold, little in the order
+    assert ((score >= 0.5) == y).mean() > 0.9
+    assert np.mean(score[y][:500, None] > score[~y][None, :500]) > 0.98
 
 
 def test_risk_is_never_negative_in_its_second_part():
