@@ -202,7 +202,8 @@ def _classes(fps: DataFrame, limit: int) -> DataFrame:
     linked = components(links(distinct, limit))
     rooted = distinct.join(linked.withColumnRenamed("node", "fp"), "fp", "left").select(
         "fp", "least", F.coalesce("root", "fp").alias("root"))
-    first = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+    # dealt out by itself, so that the partition of a large component can be split in the join
+    first = cut_lineage(rooted.groupBy("root").agg(F.min("least").alias("component_id")))
     return rooted.join(first, "root").select("fp", "root", "component_id")
 
 
