@@ -81,3 +81,32 @@ def test_equal_rows_and_empty_table(spark):
     df = spark.createDataFrame([(1, text), (1, text), (2, text)], "doc_id bigint, text string")
     assert sorted((r.doc_id, r.text) for r in s.remove_repeats(df).collect()) == [(1, text), (1, text), (2, "")]
     assert s.remove_repeats(df.limit(0)).collect() == []
+
+
+def test_any_51_words_hold_a_shared_run():
+    rng = random.Random(4)
+    words = ["".join(rng.choice("abcdefghijkl") for _ in range(6)) for _ in range(3000)]
+    take = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    for k in range(3000):
+        n = 51 + k % 10
+        passage = take(n) if k % 5 else " ".join(rng.choice(words[:1 + k % 4]) for _ in range(n))
+        marks = rng.choice(["", "", ".", "\n"])
+        a, b = (f"{take(rng.randrange(40))}{rng.choice([' ', '. '])}{passage}{marks} {take(rng.randrange(40))}" for _ in range(2))
+        first, second = ({tuple(h) for h in s.spans(t)[0]} for t in (a, b))
+        assert first & second
+        assert max(s.sentences(a)[1]) <= s.WINDOW
+
+
+def test_a_passage_loses_all_but_its_ends(spark):
+    rng = random.Random(5)
+    words = ["".join(rng.choice("abcdefghijkl") for _ in range(6)) for _ in range(3000)]
+    take = lambda n: [rng.choice(words) for _ in range(n)]
+    rows, inside = [], {}
+    for i in range(100):
+        passage = take(51 + i % 30)
+        for d in (i, 1000 + i):
+            rows.append((d, " ".join(take(30) + passage + take(30))))
+        inside[1000 + i] = " ".join(passage[15:len(passage) - 22])
+    got = {r.doc_id: r.text for r in s.remove_repeats(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert not any(p in got[d] for d, p in inside.items())
+    assert all(got[i] == dict(rows)[i] for i in range(100))
