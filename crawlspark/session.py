@@ -68,6 +68,12 @@ def remove_folder(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def make_folder(spark: SparkSession, path: str) -> None:
+    """Make a folder in the file system it lies in, unless it is there."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(at)
+
+
 def measured(df: DataFrame, key: str) -> tuple[int, int]:
     """(rows, bytes of the key column): one small job."""
     row = df.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length(key)), F.lit(0)).alias("b")).first()

@@ -7,11 +7,10 @@ from pyspark.sql import functions as F
 
 from ..fixed_values import DAILY_SITES
 from ..operators.quota import CLAIMING, accepted_sites, quota_decisions, with_day_and_site
-from ..session import cut_lineage, remove_folder
+from ..session import cut_lineage, make_folder, remove_folder
 from ..sources.tables import EVENTS, file_stream
 
-# first sightings are split over this many keys per (day, site) before the final one is kept
-SIGHTING_SALTS = 16
+SIGHTINGS = "day date, site_key string"
 
 
 def read_events(spark: SparkSession, folder: str, names: str = "*.parquet",
@@ -81,30 +80,35 @@ def run_quota_stream(events: DataFrame, path: str, limit: int = DAILY_SITES) ->
     return spark.read.parquet(f"{path}/decisions").drop("batch")
 
 
-def first_claims(events: DataFrame) -> DataFrame:
-    """day, site_key once per day, as soon as it is first seen.
+class FirstClaimBatches:
+    """`foreachBatch` step: writes each (day, site_key) once, in the batch that first has it.
 
-    Two events of one UTC day are less than 24 hours apart, so a repeat never outlives the
-    watermark. A busy site is thinned under salted keys first; the second step sees at most
-    one row per salt.
+    What is carried over are the rows of the batches before, so event time removes nothing: a late
+    event, or any event after one dated in the future, is a first sighting like any other. A batch
+    looks at batches before it only and replaces its own folder, so one that is run again gives the
+    same rows.
     """
-    claims = with_day_and_site(events.filter(F.col("op").isin(*CLAIMING)))
-    return (
-        claims.select(
-            "day", "site_key", F.to_timestamp_ltz(F.col("ts").cast("string")).alias("ts"),
-            F.pmod(F.xxhash64("event_id"), F.lit(SIGHTING_SALTS)).alias("salt"))
-        .withWatermark("ts", "24 hours")
-        .dropDuplicatesWithinWatermark(["day", "site_key", "salt"])
-        .dropDuplicatesWithinWatermark(["day", "site_key"])
-        .select("day", "site_key")
-    )
+
+    def __init__(self, path: str):
+        self.path = path
+
+    def __call__(self, batch: DataFrame, batch_id: int) -> None:
+        seen = with_day_and_site(batch.filter(F.col("op").isin(*CLAIMING))).select("day", "site_key").distinct()
+        if batch_id > 0:
+            before = batch.sparkSession.read.schema(f"{SIGHTINGS}, batch bigint").parquet(self.path)
+            before = before.filter(F.col("batch") < batch_id).select(F.col("day").alias("d"), F.col("site_key").alias("s"))
+            known = F.col("day").eqNullSafe(F.col("d")) & F.col("site_key").eqNullSafe(F.col("s"))
+            seen = seen.join(before, known, "left_anti")
+        seen.write.mode("overwrite").parquet(f"{self.path}/batch={batch_id}")
 
 
 def run_first_claims_stream(events: DataFrame, path: str) -> DataFrame:
+    """day, site_key once per day, as soon as it is first seen; all that have arrived."""
     spark = events.sparkSession
+    make_folder(spark, f"{path}/rows")
     (
-        first_claims(events).writeStream.format("parquet").outputMode("append")
-        .option("path", f"{path}/rows").option("checkpointLocation", f"{path}/checkpoint")
+        events.writeStream.foreachBatch(FirstClaimBatches(f"{path}/rows"))
+        .option("checkpointLocation", f"{path}/checkpoint")
         .trigger(availableNow=True).start().awaitTermination()
     )
-    return spark.read.schema("day date, site_key string").parquet(f"{path}/rows")
+    return spark.read.schema(f"{SIGHTINGS}, batch bigint").parquet(f"{path}/rows").drop("batch")

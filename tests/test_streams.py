@@ -80,3 +80,37 @@ def test_first_claims_once_per_day(spark, split_events):
         claims_of(stream.read_events(spark, path, files_per_batch=1)), scratch_path(spark, "first"))
     want = first_claims(claims_of(table)).select("day", "site_key")
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_first_claims_keep_late_and_future_events(spark):
+    path, out = scratch_path(spark, "times"), scratch_path(spark, "times-first")
+    times = ["2024-03-05 10:00:00", "2099-01-01 00:00:00", "2024-03-05 11:00:00", "2024-01-01 09:00:00", "2024-03-06 10:00:00"]
+
+    def arrive(files):
+        for i in files:  # one file a batch: a site seen in every file and one of its own
+            spark.createDataFrame([(2 * i, "https://same.be/"), (2 * i + 1, f"https://own{i}.be/")], "event_id bigint, url string").select(
+                "event_id", F.lit(times[i]).cast("timestamp_ntz").alias("ts"), "url", F.lit("discover").alias("op")).coalesce(1).write.mode("append").parquet(path)
+
+    def events():
+        table = spark.read.parquet(path)
+        return spark.readStream.schema(table.schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+    arrive(range(3))
+    stream.run_first_claims_stream(events(), out)
+    arrive(range(3, 5))
+    got = stream.run_first_claims_stream(events(), out)  # goes on where the first run ended
+    want = first_claims(spark.read.parquet(path)).select("day", "site_key")
+    assert len(got.collect()) == 9 and sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    again = stream.run_first_claims_stream(events(), out)  # nothing new
+    assert again.count() == 9
+
+
+def test_a_batch_of_first_claims_run_again_changes_nothing(spark, split_events):
+    _, table = split_events
+    claims = claims_of(table)
+    step = stream.FirstClaimBatches(scratch_path(spark, "first-again"))
+    first, second = claims.filter("event_id < 500"), claims.filter("event_id >= 500")
+    for batch, batch_id in ((first, 0), (second, 1), (second, 1)):
+        step(batch, batch_id)
+    got = spark.read.parquet(step.path).select("day", "site_key").collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, first_claims(claims).select("day", "site_key").collect()))
