@@ -131,6 +131,13 @@ def repeated_spans(docs: DataFrame, n: int = SENTENCES, min_words: int = MIN_WOR
         "doc_id", "text_hash", "first", "stop")
 
 
+def covered_runs(ids: DataFrame, n: int = SENTENCES, min_words: int = MIN_WORDS) -> DataFrame:
+    """doc_id, text_hash, covered: the repeated runs of each document, each once however many rows are equal."""
+    run = F.col("first").cast("bigint") * (1 << 32) + F.col("stop")
+    # a set, so that a document has at most as many as its sentences
+    return repeated_spans(ids, n, min_words).groupBy("doc_id", "text_hash").agg(F.collect_set(run).alias("covered"))
+
+
 def cut(text: str, covered: np.ndarray) -> tuple[str, int, int]:
     """(text without the covered sentences, sentences, sentences removed).
 
@@ -158,10 +165,7 @@ def remove_repeats(docs: DataFrame, n: int = SENTENCES, min_words: int = MIN_WOR
     plain = [f"c{i}" for i in range(len(docs.columns))]
     names = docs.columns
     id_, text = (plain[names.index(c)] for c in ("doc_id", "text"))
-    ids = docs.select("doc_id", "text")
-    # a document's runs are at most as many as its sentences
-    covered = repeated_spans(ids, n, min_words).groupBy("doc_id", "text_hash").agg(
-        F.collect_list(F.col("first").cast("bigint") * (1 << 32) + F.col("stop")).alias("covered"))
+    covered = covered_runs(docs.select("doc_id", "text"), n, min_words)
 
     @F.pandas_udf("text string, n_sentences int, n_removed int")
     def cleaned(texts: pd.Series, runs: pd.Series) -> pd.DataFrame:

@@ -110,3 +110,10 @@ def test_a_passage_loses_all_but_its_ends(spark):
     got = {r.doc_id: r.text for r in s.remove_repeats(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
     assert not any(p in got[d] for d, p in inside.items())
     assert all(got[i] == dict(rows)[i] for i in range(100))
+
+
+def test_equal_rows_gather_each_run_once(spark):
+    text = " ".join(f"w{i % 97}x{i}" for i in range(200))
+    df = spark.createDataFrame([(1, text)] * 50 + [(0, text)], "doc_id bigint, text string")
+    (row,) = s.covered_runs(df).collect()
+    assert row.doc_id == 1 and len(row.covered) == len(set(row.covered)) <= len(s.sentences(text)[0])
