@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from crawlspark.llm import decontaminate, near_copies, packing, quality_rules, sentence_spans
+from crawlspark.llm import decontaminate, packing, quality_rules, sentence_spans, simhash
 from crawlspark.llm.common import folders_made, folders_since, prepare, read_table, remove_folders, scratch_path
 
 TOKENIZER = "word_bpe_49k.json"
@@ -40,8 +40,8 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 @_stage
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies (five-word shingles, similarity 0.8 or more) stays."""
-    return near_copies.drop_near_copies(docs)
+    """One document of each group of near copies (four-word shingles, four or fewer differing bits) stays."""
+    return simhash.drop_near_duplicates(docs, words=simhash.WORDS, limit=simhash.MAX_BITS)
 
 
 @_stage
