@@ -73,4 +73,35 @@ def _merkle() -> str:
         f"({levels})::INT AS n_levels FROM {below}")
 
 
-ORACLES = {"op11_incremental_witnesses": _merkle()}
+def _spelling() -> str:
+    low = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    run = "[a-z\u00C0-\u00FF]+"
+    return f"""
+WITH RECURSIVE runs AS (
+  SELECT id, run, count(*) AS n FROM (
+    SELECT coalesce(doc_id::VARCHAR, '') AS id, unnest(regexp_extract_all({low}, '{run}')) AS run FROM documents)
+  WHERE length(run) >= 7 GROUP BY id, run),
+hashed AS (SELECT run, n, {crc32("id || ':' || run")} AS h FROM runs),
+words AS (
+  SELECT word, sum(n)::BIGINT AS n FROM (
+    SELECT CASE WHEN h % 31 = 0 THEN left(run, (h % length(run))::BIGINT) || substr(run, (h % length(run))::BIGINT + 2) ELSE run END AS word, n
+    FROM hashed)
+  WHERE length(word) >= 7 GROUP BY word HAVING sum(n) >= 2),
+cuts AS (SELECT word, n, i, left(word, i - 1) || substr(word, i + 1) AS rest FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM words)),
+pairs AS (
+  SELECT a.word, a.n, b.word AS other, b.n AS other_n FROM cuts a JOIN cuts b ON a.rest = b.rest AND a.i = b.i AND a.word <> b.word
+  UNION SELECT w.word, w.n, c.word, c.n FROM words w JOIN cuts c ON c.rest = w.word
+  UNION SELECT c.word, c.n, w.word, w.n FROM words w JOIN cuts c ON c.rest = w.word),
+best AS (
+  SELECT word, count(*) AS n_near, any_value(n) AS n, first(other ORDER BY other_n DESC, encode(other)) AS form, max(other_n) AS form_n
+  FROM pairs GROUP BY word),
+formed AS (SELECT word, form, form_n FROM best WHERE form_n >= 10 * n),
+chain AS (
+  SELECT word, form AS root, 1 AS step FROM formed
+  UNION ALL SELECT chain.word, formed.form, step + 1 FROM chain JOIN formed ON formed.word = chain.root),
+ends AS (SELECT word, arg_max(root, step) AS root FROM chain GROUP BY word)
+SELECT words.word, formed.form, coalesce(ends.root, words.word) AS root, words.n, coalesce(n_near, 0)::BIGINT AS n_near, formed.form_n
+FROM words LEFT JOIN best USING (word) LEFT JOIN formed USING (word) LEFT JOIN ends USING (word)"""
+
+
+ORACLES = {"op11_incremental_witnesses": _merkle(), "op12_variable_grams": _spelling()}
