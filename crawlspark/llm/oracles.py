@@ -104,4 +104,23 @@ SELECT words.word, formed.form, coalesce(ends.root, words.word) AS root, words.n
 FROM words LEFT JOIN best USING (word) LEFT JOIN formed USING (word) LEFT JOIN ends USING (word)"""
 
 
-ORACLES = {"op11_incremental_witnesses": _merkle(), "op12_variable_grams": _spelling()}
+_REPEATS = """
+WITH texts AS (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
+strings AS (SELECT r, i, md5(substr(x, 2 * i + 1, 400)) AS h FROM (
+  SELECT r, x, unnest(range(0, length(x) // 2 - 199)) AS i FROM texts WHERE length(x) >= 400)),
+twice AS (SELECT h FROM strings GROUP BY h HAVING count(*) > 1),
+again AS (SELECT r, i, CASE WHEN i <= lag(i) OVER (PARTITION BY r ORDER BY i) + 200 THEN 0 ELSE 1 END AS opens
+  FROM strings SEMI JOIN twice USING (h)),
+spans AS (SELECT r, min(i) AS b, max(i) + 200 AS e FROM (
+  SELECT *, sum(opens) OVER (PARTITION BY r ORDER BY i) AS span FROM again) GROUP BY r, span),
+gaps AS (SELECT r, b, e, coalesce(lag(e) OVER (PARTITION BY r ORDER BY b), 0) AS a FROM spans),
+cut AS (
+  SELECT r, any_value(x) AS x, sum(e - b)::BIGINT AS n_removed, count(*) AS n_spans,
+    string_agg(substr(x, 2 * a + 1, 2 * (b - a)), '' ORDER BY b) || substr(any_value(x), 2 * max(e) + 1) AS kept
+  FROM gaps JOIN texts USING (r) GROUP BY r)
+SELECT doc_id, (length(texts.x) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed,
+  coalesce(n_spans, 0)::BIGINT AS n_spans, sha256(unhex(coalesce(kept, texts.x))) AS kept_sha256
+FROM texts LEFT JOIN cut USING (r)"""
+
+
+ORACLES = {"op11_incremental_witnesses": _merkle(), "op12_variable_grams": _spelling(), "op13_bucket_pointers": _REPEATS}

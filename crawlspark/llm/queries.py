@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 import public_tokenizers
 
 from crawlspark.llm import (
-    chat, decontaminate, language_id, merkle, packing, pu_quality, quality_rules, sentence_spans, simhash, spelling, url_filter, warc_derive,
+    chat, decontaminate, language_id, merkle, packing, pu_quality, quality_rules, sentence_spans, simhash, spelling, suffix_buckets,
+    url_filter, warc_derive,
 )
 from crawlspark.llm.common import read_table
 from crawlspark.llm.oracles import ORACLES  # noqa: F401  registered with the queries
@@ -89,8 +90,12 @@ def op12_variable_grams(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.variants(read_table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+def op13_bucket_pointers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_buckets.digests(read_table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_bm25_packing, op2_weak_supervision, op3_positive_unlabelled, op4_warc_derivatives, op5_sentence_spans,
     op6_pigeonhole_edits, op7_simhash_pivots, op8_compression, op9_chat_assembly, op10_url_ngrams,
-    op11_incremental_witnesses, op12_variable_grams,
+    op11_incremental_witnesses, op12_variable_grams, op13_bucket_pointers,
 )}
