@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from crawlspark.llm.common import prepare, stored
+from crawlspark.llm.common import cut_lineage, prepare, stored
 from crawlspark.session import BROADCAST_BYTES
 
 WINDOW = 200
@@ -264,15 +264,17 @@ def covers(texts: DataFrame, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     rows = stored(texts.filter(F.octet_length("text") >= WINDOW).mapInArrow(
         _seeds, "key bigint, whole bigint, doc_id bigint, text_hash int, first int, strings int, place int"), "seeds")
     # both sides of the join are dealt out for it alone, so that a frequent key's partition can be split
-    met = rows.groupBy("key").agg(F.count("*").alias("times")).filter("times > 1").select("key")
+    met = cut_lineage(rows.groupBy("key").agg(F.count("*").alias("times")).filter("times > 1").select("key"))
     again = stored(rows.join(met, "key", "left_semi"), "met_seeds")
     run = F.struct("doc_id", "text_hash", "first", "strings", "place")
     classes = stored(again.groupBy("key", "whole").agg(F.count("*").alias("times"), F.min(run).alias("run")), "classes")
     copies = again.join(classes.filter("times > 1").select("key", "whole"), ["key", "whole"], "left_semi").select(
         "doc_id", "text_hash", "first", "strings")
 
-    mixed = classes.groupBy("key").agg(F.count("*").alias("classes"), F.min("times").alias("least")).filter("classes > 1 AND least = 1")
-    compared = classes.join(mixed.select("key"), "key", "left_semi")
+    mixed = cut_lineage(
+        classes.groupBy("key").agg(F.count("*").alias("classes"), F.min("times").alias("least")).filter("classes > 1 AND least = 1")
+        .select("key"))
+    compared = classes.join(mixed, "key", "left_semi")
     wanted = F.struct("run.first", "run.strings", "run.place", (F.col("times") == 1).alias("single"))
     per_doc = stored(compared.groupBy("run.doc_id", "run.text_hash").agg(F.collect_list(wanted).alias("wanted")), "wanted")
     parts = stored(_with_texts(texts, per_doc, "wanted").mapInArrow(
