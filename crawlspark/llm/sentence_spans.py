@@ -20,10 +20,11 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from crawlspark.llm.common import cut_lineage, prepare, stored
+from crawlspark.llm.common import prepare, stored
 
 SENTENCES = 3
 MIN_WORDS = 15
@@ -113,22 +114,64 @@ def all_spans(docs: DataFrame, n: int, min_words: int) -> DataFrame:
         run, "h1 bigint, h2 int, doc_id bigint, text_hash int, first int, stop int")
 
 
+_RUN = "h1 bigint, h2 int, doc_id bigint, text_hash int, first int, stop int"
+
+
+def _repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sorted runs of one partition → kind 0: those that occurred before in it; 1: its first row; 2: where its last run began.
+
+    Rows at the very place of a run's first occurrence are equal rows and no repeats.
+    """
+    part, head, start = TaskContext.get().partitionId(), None, None
+
+    def out(kind: int, rows: pa.RecordBatch) -> pa.RecordBatch:
+        n = rows.num_rows
+        return pa.RecordBatch.from_arrays(
+            [pa.array([kind] * n, pa.int32()), pa.array([part] * n, pa.int32()), *rows.columns], names=["kind", "part", *rows.schema.names])
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        if head is None:
+            head = start = batch.slice(0, 1)
+            yield out(1, head)
+        # the row at which the last run began stands before the batch
+        rows = pa.Table.from_batches([start, batch]).combine_chunks().to_batches()[0]
+        h1, h2 = (rows.column(c).to_numpy() for c in (0, 1))
+        begins = np.r_[True, (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])]
+        began = np.maximum.accumulate(np.where(begins, np.arange(len(begins)), 0))
+        ids = rows.column(2)
+        doc = np.column_stack([np.array(ids.is_null()), ids.fill_null(0).to_numpy(), rows.column(3).to_numpy(), rows.column(4).to_numpy()])
+        again = (doc != doc[began]).any(axis=1)
+        if again.any():
+            yield out(0, rows.filter(pa.array(again)))
+        start = rows.slice(int(began[-1]), 1)
+    if head is not None:
+        yield out(2, start)
+
+
 def repeated_spans(docs: DataFrame, n: int = SENTENCES, min_words: int = MIN_WORDS) -> DataFrame:
     """doc_id, text_hash, first, stop of every run that occurred before, in order of doc_id and place.
 
-    Runs are counted by their first hash alone, with partial sums; only those that repeat go on with
-    their places and second hash, and of these the earliest of each pair of hashes is found, again
-    with partial minima.
+    Runs are sorted by ranges over hashes, document and place, so a frequent run is spread over tasks
+    like any other, and every row but the first of its hashes is a repeat. Two rows per partition
+    reach the driver and settle the borders.
     """
+    order = ["h1", "h2", "doc_id", "text_hash", "first"]
     rows = stored(all_spans(docs, n, min_words), "spans")
-    # both sides of a join are dealt out for it alone, so that a frequent run's partition can be split
-    repeated = cut_lineage(
-        rows.groupBy("h1").agg(F.count("*").alias("times")).filter("times > 1").select("h1"))
-    again = stored(rows.join(repeated, "h1", "left_semi"), "repeated_spans")
-    place = F.struct("doc_id", "text_hash", "first")
-    earliest = cut_lineage(again.groupBy("h1", "h2").agg(F.min(place).alias("earliest")))
-    return again.join(earliest, ["h1", "h2"]).filter(~place.eqNullSafe(F.col("earliest"))).select(
-        "doc_id", "text_hash", "first", "stop")
+    found = stored(
+        rows.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_repeats, f"kind int, part int, {_RUN}"), "repeats")
+    edges = found.filter("kind > 0").orderBy("part", "kind").collect()
+    late, last = [], None
+    for head, end in zip(edges[::2], edges[1::2]):
+        place = lambda r: (r.doc_id, r.text_hash, r["first"])
+        goes_on = last is not None and (head.h1, head.h2) == (last.h1, last.h2)
+        if goes_on and place(head) != place(last):
+            late.append((*place(head), head.stop))
+        if not goes_on or (end.h1, end.h2) != (head.h1, head.h2):
+            last = end
+    repeats = found.filter("kind = 0").select("doc_id", "text_hash", "first", "stop")
+    return repeats.union(docs.sparkSession.createDataFrame(late, repeats.schema)) if late else repeats
 
 
 def covered_runs(ids: DataFrame, n: int = SENTENCES, min_words: int = MIN_WORDS) -> DataFrame:

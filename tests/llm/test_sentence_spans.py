@@ -117,3 +117,19 @@ def test_equal_rows_gather_each_run_once(spark):
     df = spark.createDataFrame([(1, text)] * 50 + [(0, text)], "doc_id bigint, text string")
     (row,) = s.covered_runs(df).collect()
     assert row.doc_id == 1 and len(row.covered) == len(set(row.covered)) <= len(s.sentences(text)[0])
+
+
+def test_a_frequent_run_over_many_partitions(spark):
+    """Borders between partitions fall inside runs, also inside equal rows."""
+    text = "One sentence of five words. Two sentences of five words. Three sentences of five words."
+    rows = [(i, text) for i in range(200)] + [(3, text)] * 60 + [(None, text)] * 60
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(5)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    parts = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "37")
+    try:
+        got = sorted(((r.doc_id, r.text) for r in s.remove_repeats(df).collect()), key=str)
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+    assert got == sorted([(i, "") for i in range(200)] + [(3, "")] * 60 + [(None, text)] * 60, key=str)
