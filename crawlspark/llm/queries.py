@@ -50,7 +50,7 @@ def op4_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents", "doc_id", "text")
-    return sentence_spans.remove_repeats(docs).select("doc_id", "text", "dedup.n_sentences", "dedup.n_removed")
+    return sentence_spans.remove_repeats(docs).select("doc_id", "text", "dedup.n_removed", "dedup.n_spans")
 
 
 def op6_pigeonhole_edits(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from crawlspark.llm.common import prepare, stored
+from crawlspark.llm.common import folders_made, folders_since, prepare, remove_folders, stored
 
 SENTENCES = 3
 MIN_WORDS = 15
@@ -69,14 +69,14 @@ def sentences(text: str) -> tuple[list[int], list[int], list[bytes]]:
 
 
 def spans(text: str | None, n: int = SENTENCES, min_words: int = MIN_WORDS) -> tuple[np.ndarray, np.ndarray]:
-    """(64-bit and 32-bit hash per run, [first, last + 1] per run).
+    """(64-bit and 32-bit hash per run, [begin, end] in characters per run).
 
     From every sentence one run: `n` sentences, or more where these have under `min_words` words.
     """
     none = np.empty((0, 2), np.int64), np.empty((0, 2), np.int32)
     if not text:
         return none
-    _, sizes, keys = sentences(text)
+    ends, sizes, keys = sentences(text)
     if len(keys) < n:
         return none
     words = np.r_[0, np.cumsum(sizes)]
@@ -91,7 +91,8 @@ def spans(text: str | None, n: int = SENTENCES, min_words: int = MIN_WORDS) -> t
     inverse = np.cumprod(np.r_[np.uint64(1), np.full(len(keys), np.uint64(pow(int(_FACTOR), -1, 1 << 64)))], dtype=np.uint64)
     found = (total[stops] - total[starts]) * inverse[starts, None] + (stops - starts).astype(np.uint64)[:, None]
     found[:, 1] >>= np.uint64(32)
-    return found.view(np.int64), np.stack([starts, stops], axis=1).astype(np.int32)
+    at = np.array([0, *ends])
+    return found.view(np.int64), np.stack([at[starts], at[stops]], axis=1).astype(np.int32)
 
 
 def all_spans(docs: DataFrame, n: int, min_words: int) -> DataFrame:
@@ -158,9 +159,12 @@ def repeated_spans(docs: DataFrame, n: int = SENTENCES, min_words: int = MIN_WOR
     reach the driver and settle the borders.
     """
     order = ["h1", "h2", "doc_id", "text_hash", "first"]
+    mark = folders_made()
     rows = stored(all_spans(docs, n, min_words), "spans")
+    used = folders_since(mark)
     found = stored(
         rows.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_repeats, f"kind int, part int, {_RUN}"), "repeats")
+    remove_folders(docs.sparkSession, used)
     edges = found.filter("kind > 0").orderBy("part", "kind").collect()
     late, last = [], None
     for head, end in zip(edges[::2], edges[1::2]):
@@ -182,22 +186,21 @@ def covered_runs(ids: DataFrame, n: int = SENTENCES, min_words: int = MIN_WORDS)
 
 
 def cut(text: str, covered: np.ndarray) -> tuple[str, int, int]:
-    """(text without the covered sentences, sentences, sentences removed).
+    """(text without the covered sentences, characters removed, places they were removed from).
 
-    covered: a number per run, first sentence * 2^32 + the one after its last.
+    covered: a number per run, its begin * 2^32 + its end.
     """
-    ends, _, _ = sentences(text)
-    gone = np.zeros(len(ends) + 1, np.int64)
-    covered = np.asarray(covered, np.int64)
-    np.add.at(gone, covered >> 32, 1)
-    np.add.at(gone, covered & 0xFFFFFFFF, -1)
-    gone = np.cumsum(gone)[:-1] > 0
-    left = [text[a:b] for a, b, g in zip([0, *ends], ends, gone) if not g]
-    return "".join(left), len(ends), int(gone.sum())
+    covered = np.sort(np.asarray(covered, np.int64))
+    begins, ends = covered >> 32, np.maximum.accumulate(covered & 0xFFFFFFFF)
+    opens = np.r_[True, begins[1:] > ends[:-1]]
+    begins, ends = begins[opens], ends[np.r_[opens[1:], True]]
+    left = [text[a:b] for a, b in zip([0, *ends.tolist()], [*begins.tolist(), len(text)])]
+    return "".join(left), int((ends - begins).sum()), len(begins)
 
 
 def remove_repeats(docs: DataFrame, n: int = SENTENCES, min_words: int = MIN_WORDS) -> DataFrame:
-    """The documents with repeated sentences cut from `text`, and a struct `dedup` (n_sentences, n_removed).
+    """The documents with repeated sentences cut from `text`, and a struct `dedup` (n_removed: characters,
+    n_spans: places they were removed from).
 
     All other columns are kept, whatever their names. The first occurrence, by doc_id (null first),
     then place, stays; so do texts with fewer sentences or words than a run. Rows equal in doc_id and
@@ -210,14 +213,13 @@ def remove_repeats(docs: DataFrame, n: int = SENTENCES, min_words: int = MIN_WOR
     id_, text = (plain[names.index(c)] for c in ("doc_id", "text"))
     covered = covered_runs(docs.select("doc_id", "text"), n, min_words)
 
-    @F.pandas_udf("text string, n_sentences int, n_removed int")
+    @F.pandas_udf("text string, n_removed int, n_spans int")
     def cleaned(texts: pd.Series, runs: pd.Series) -> pd.DataFrame:
-        rows = [(None, 0, 0) if t is None else (cut(t, r) if r is not None else (t, len(sentences(t)[0]), 0))
-                for t, r in zip(texts, runs)]
-        return pd.DataFrame(rows, columns=["text", "n_sentences", "n_removed"])
+        rows = [(t, 0, 0) if r is None else cut(t, r) for t, r in zip(texts, runs)]
+        return pd.DataFrame(rows, columns=["text", "n_removed", "n_spans"])
 
     both = docs.toDF(*plain).withColumn("_hash", F.hash(F.col(text).cast("string"))).join(
         covered, F.col(id_).cast("bigint").eqNullSafe(F.col("doc_id")) & (F.col("_hash") == F.col("text_hash")), "left")
     out = both.withColumn("_clean", cleaned(F.col(text).cast("string"), F.col("covered")))
     kept = [F.col("_clean.text") if c == text else F.col(c) for c in plain]
-    return out.select(*kept, F.struct("_clean.n_sentences", "_clean.n_removed")).toDF(*names, "dedup")
+    return out.select(*kept, F.struct("_clean.n_removed", "_clean.n_spans")).toDF(*names, "dedup")
