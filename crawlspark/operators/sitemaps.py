@@ -10,8 +10,8 @@ from ..functions.text import decode_references, strip
 from ..functions.urls import host_of, same_site, scheme_of
 from ..session import cut_lineage, measured, rows_for_keys
 
-# Stands for a NULL `max_urls`: more than any array holds.
-NO_LIMIT = 2_000_000_000
+# One document has at most as many locations as an array.
+ARRAY_ITEMS = (1 << 31) - 16
 
 
 def _without_comments(xml: Column) -> Column:
@@ -42,7 +42,8 @@ def _all_locations() -> Column:
 @built_once
 def _listed_pages() -> Column:
     return F.slice(
-        F.filter("locs", lambda u: page_loc(u, F.col("host"))), F.lit(1), F.least("max_urls", F.lit(NO_LIMIT)))
+        F.filter("locs", lambda u: page_loc(u, F.col("host"))), F.lit(1),
+        F.least("max_urls", F.lit(ARRAY_ITEMS)).cast("int"))  # the least of a NULL and a number is the number
 
 
 def sitemap_locs(sitemaps: DataFrame) -> DataFrame:
@@ -91,7 +92,7 @@ def sitemap_expand(starts: DataFrame, sitemaps: DataFrame, group: list[str]) ->
     documents = sitemap_locs(sitemaps)
     pages = _listed_pages()
     dims = ["host", "max_urls"]
-    starts = starts.withColumn("max_urls", F.coalesce(F.col("max_urls").cast("int"), F.lit(NO_LIMIT)))
+    starts = starts.withColumn("max_urls", F.col("max_urls").cast("bigint"))
     candidates = starts.select(*group, *dims, "sitemap_url", F.array(F.lit(0).cast("bigint")).alias("path"))
     seen: DataFrame | None = None
     urlsets: list[DataFrame] = []
@@ -139,13 +140,13 @@ def sitemap_expand(starts: DataFrame, sitemaps: DataFrame, group: list[str]) ->
     offsets = (
         found.select(*group, *order, "max_urls", F.size("locs").alias("_n"))
         .withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
-        .filter(F.col("_before") < F.col("max_urls"))
+        .filter(F.col("max_urls").isNull() | (F.col("_before") < F.col("max_urls")))
         .select(*group, *order, "_before")
     )
     return (
         found.join(offsets, [*group, *order])
         .select(*group, "_before", F.posexplode(F.slice(
-            "locs", F.lit(1), (F.col("max_urls") - F.col("_before")).cast("int"))).alias("_i", "url"))
+            "locs", F.lit(1), F.least(F.col("max_urls") - F.col("_before"), F.size("locs")).cast("int"))).alias("_i", "url"))
         .groupBy(*group, "url").agg(F.min(F.col("_before") + F.col("_i") + 1).cast("bigint").alias("pos"))
     )
 

@@ -74,6 +74,18 @@ def make_folder(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(at)
 
 
+def newest_version(spark: SparkSession, path: str) -> int | None:
+    """Largest n of the folders v<n> below `path` that were written to their end, if there is one."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not files.exists(at):
+        return None
+    names = [s.getPath().getName() for s in files.listStatus(at)]
+    done = spark._jvm.org.apache.hadoop.fs.Path
+    found = [int(n[1:]) for n in names if n[:1] == "v" and n[1:].isdigit() and files.exists(done(f"{path}/{n}/_SUCCESS"))]
+    return max(found, default=None)
+
+
 def measured(df: DataFrame, key: str) -> tuple[int, int]:
     """(rows, bytes of the key column): one small job."""
     row = df.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length(key)), F.lit(0)).alias("b")).first()

@@ -8,12 +8,13 @@ from pyspark.sql import types as T
 
 from ..plans.export import export_rows, fetch_verdict
 from ..operators.progress import export_summary
-from ..session import remove_folder
+from ..session import make_folder, newest_version, remove_folder
 from ..sources.tables import file_stream
 
 # requests with language variants already collapsed, as a site's list is made before it is fetched
 REQUESTS = T.StructType([
     T.StructField("seed_id", T.LongType()), T.StructField("pos", T.LongType()), T.StructField("url", T.StringType())])
+ROWS = "seed_id bigint, pos bigint, url string, title string, text string, error string, requested_url string"
 SUMMARY = "seed_id bigint, ok bigint, failed bigint, total bigint"
 
 
@@ -26,8 +27,12 @@ def run_export_stream(requests: DataFrame, seeds: DataFrame, policy: DataFrame,
     """Rows of export_rows() for all requests that have arrived.
 
     Seeds, policy, responses and bodies are tables. Each micro-batch writes a folder of its own,
-    so one that is run again replaces its rows.
+    so one that is run again replaces its rows. A run that finds nothing new, or nothing at all,
+    returns the rows of the runs before it.
     """
+    spark = requests.sparkSession
+    make_folder(spark, f"{path}/rows")
+
     def export(batch: DataFrame, batch_id: int) -> None:
         rows = export_rows(fetch_verdict(batch, seeds, policy, responses), bodies)
         rows.write.mode("overwrite").parquet(f"{path}/rows/batch={batch_id}")
@@ -36,7 +41,7 @@ def run_export_stream(requests: DataFrame, seeds: DataFrame, policy: DataFrame,
         requests.writeStream.foreachBatch(export).option("checkpointLocation", f"{path}/checkpoint")
         .trigger(availableNow=True).start().awaitTermination()
     )
-    return requests.sparkSession.read.parquet(f"{path}/rows").drop("batch")
+    return spark.read.schema(f"{ROWS}, batch bigint").parquet(f"{path}/rows").drop("batch")
 
 
 def run_progress_stream(requests: DataFrame, seeds: DataFrame, policy: DataFrame, responses: DataFrame,
@@ -45,11 +50,11 @@ def run_progress_stream(requests: DataFrame, seeds: DataFrame, policy: DataFrame
 
     The verdict is a join of the stream with tables; the counts are a streaming aggregation whose
     changed rows replace the seeds' rows in a table with one version per batch. The last two
-    versions are kept: one to read, one to run a batch again from.
+    versions are kept: one to read, one to run a batch again from. The newest complete version on
+    disk is returned, so a run that finds nothing new gives the counts of the runs before it.
     """
     spark = requests.sparkSession
     version = f"{path}/counts/v{{}}".format
-    last = []
 
     def merge(changed: DataFrame, batch_id: int) -> None:
         if batch_id:
@@ -57,7 +62,6 @@ def run_progress_stream(requests: DataFrame, seeds: DataFrame, policy: DataFrame
             changed = changed.unionByName(before.join(changed.select("seed_id"), "seed_id", "left_anti"))
         changed.write.mode("overwrite").parquet(version(batch_id))
         remove_folder(spark, version(batch_id - 2))
-        last[:] = [batch_id]
 
     counts = export_summary(fetch_verdict(requests, seeds, policy, responses))
     (
@@ -65,6 +69,7 @@ def run_progress_stream(requests: DataFrame, seeds: DataFrame, policy: DataFrame
         .option("checkpointLocation", f"{path}/checkpoint")
         .trigger(availableNow=True).start().awaitTermination()
     )
-    if not last:
+    last = newest_version(spark, f"{path}/counts")
+    if last is None:
         return spark.createDataFrame([], SUMMARY)
-    return spark.read.schema(SUMMARY).parquet(version(last[0]))
+    return spark.read.schema(SUMMARY).parquet(version(last))

@@ -476,6 +476,9 @@ def test_no_limit_where_none_is_named(spark):
         + [("https://h.be/s12", "<urlset>" + "".join(f"<loc>https://h.be/{i}</loc>" for i in range(50)) + "</urlset>")], "sitemap_url string, xml string")
     starts = spark.createDataFrame([(1, "https://h.be/s0", "h.be", None)], "seed_id long, sitemap_url string, host string, max_urls int")
     assert sitemaps.sitemap_expand(starts, maps.repartition(2), ["seed_id"]).count() == 50
+    for limit, rows in ((3_000_000_000, 50), (7, 7), (0, 0)):  # a limit above any array is one like any other
+        wide = starts.withColumn("max_urls", F.lit(limit).cast("bigint"))
+        assert sitemaps.sitemap_expand(wide, maps.repartition(2), ["seed_id"]).count() == rows
 
 
 def test_ndjson_files_keep_the_order_of_a_batch(spark):

@@ -1,10 +1,11 @@
 import pytest
 from pyspark.sql import functions as F
 
-from checks.catalog import claims_of
+from checks.catalog import _pages, _wanted_stream, claims_of
 from crawlspark.operators.quota import first_claims, quota_decisions
-from crawlspark.session import scratch_path
+from crawlspark.session import make_folder, scratch_path
 from crawlspark.sources.tables import EVENTS
+from crawlspark.streaming import export as export_stream
 from crawlspark.streaming import quota as stream
 
 
@@ -112,5 +113,47 @@ def test_a_batch_of_first_claims_run_again_changes_nothing(spark, split_events):
     first, second = claims.filter("event_id < 500"), claims.filter("event_id >= 500")
     for batch, batch_id in ((first, 0), (second, 1), (second, 1)):
         step(batch, batch_id)
-    got = spark.read.parquet(step.path).select("day", "site_key").collect()
+    got = step.rows(spark).collect()
     assert sorted(map(tuple, got)) == sorted(map(tuple, first_claims(claims).select("day", "site_key").collect()))
+
+
+def test_a_batch_reads_the_sightings_of_its_days_only(spark):
+    step = stream.FirstClaimBatches(scratch_path(spark, "first-days"), compact_every=3)
+    days = ["2024-03-01", "2024-03-02", "2024-03-01", "2024-03-03", "2024-03-01", "2024-03-01"]
+    for batch, day in enumerate(days):
+        step(spark.range(4).select("id", F.lit(f"{day} 10:00:00").cast("timestamp_ntz").alias("ts"), F.lit("discover").alias("op"), F.concat(
+            F.lit("https://s"), F.col("id") * (batch + 1), F.lit(".be/")).alias("url")), batch)
+    plan = step.before(spark, ["2024-03-01"], 6)._jdf.queryExecution().executedPlan().toString()
+    pruned = plan.split("PartitionFilters: [")[1].split("PushedFilters")[0]
+    assert "seen_day" in pruned and "2024-03-01" in pruned and "batch" in pruned
+    want = {(d, f"s{i * (b + 1)}.be") for b, d in enumerate(days) for i in range(4)}
+    got = [(str(r.day), r.site_key) for r in step.rows(spark).collect()]
+    assert sorted(got) == sorted(want)
+    # three batches of the first day were written together
+    left = {r.batch for r in step.before(spark, ["2024-03-01"], 6).select("batch").distinct().collect()}
+    assert left == {4, 5}
+
+
+def test_empty_folders_and_runs_without_news(spark, split_events):
+    """No file yet: an empty result. Nothing new: the result of the runs before."""
+    empty = scratch_path(spark, "nothing")
+    make_folder(spark, empty)
+    path, table = split_events
+    out = {k: scratch_path(spark, k) for k in ("quota", "first", "export", "progress")}
+    claims = lambda folder: claims_of(stream.read_events(spark, folder))
+    assert stream.run_quota_stream(claims(empty), scratch_path(spark, "q0")).collect() == []
+    assert stream.run_first_claims_stream(claims(empty), scratch_path(spark, "f0")).collect() == []
+    first = decided(stream.run_quota_stream(claims(path), out["quota"]))
+    assert first == decided(stream.run_quota_stream(claims(path), out["quota"])) and first
+
+    wanted, tables = _wanted_stream(spark, "/root/testdata/sf0.001")
+    none = export_stream.read_requests(spark, empty)
+    pages = _pages(spark, "/root/testdata/sf0.001", True)
+    assert export_stream.run_progress_stream(none, *tables, scratch_path(spark, "p0")).collect() == []
+    rows = export_stream.run_export_stream(none, *tables, pages, scratch_path(spark, "e0"))
+    assert rows.collect() == []
+    counts = sorted(map(tuple, export_stream.run_progress_stream(wanted, *tables, out["progress"]).collect()))
+    assert counts and counts == sorted(map(tuple, export_stream.run_progress_stream(wanted, *tables, out["progress"]).collect()))
+    done = export_stream.run_export_stream(wanted, *tables, pages, out["export"])
+    assert done.schema == rows.schema and done.count() == sum(c[3] for c in counts)
+    assert export_stream.run_export_stream(wanted, *tables, pages, out["export"]).count() == done.count()
