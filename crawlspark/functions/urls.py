@@ -20,6 +20,7 @@ from ..fixed_values import (
     PAGINATION_KEYS,
     QUERY_DIGEST_LENGTH,
 )
+from .hosts import FRAGMENT_SET, PATH_SET, QUERY_SET, ascii_host, percent_encoded
 from .staging import built_once
 from .text import quote_form, strip, unquote_form
 
@@ -278,7 +279,11 @@ def with_language_key(df: DataFrame, url: str = "url") -> DataFrame:
 
 
 def seed_url(raw: Column) -> Column:
-    """Typed-in website address → absolute URL, NULL when it cannot be one."""
+    """Typed-in website address → absolute URL, NULL when it cannot be one.
+
+    Host names beyond ASCII become punycode; path, query and fragment are percent-encoded where a
+    browser does it.
+    """
     text = strip(raw)
     absolute = F.when(text.rlike("(?i)^https?://"), text).otherwise(F.concat(F.lit("https://"), text))
     scheme = F.lower(F.substring_index(absolute, ":", 1))
@@ -288,12 +293,13 @@ def seed_url(raw: Column) -> Column:
     default_port = F.when(scheme == "https", ":443").otherwise(":80")
     port = F.regexp_extract(authority, "(:[^\\]]*)$", 1)
     kept_port = F.when(port.isin(":", "") | (port == default_port), F.lit("")).otherwise(port)
-    shown = F.when(authority.startswith("["), F.concat(F.lit("["), host, F.lit("]"))).otherwise(host)
+    shown = F.when(authority.startswith("["), F.concat(F.lit("["), host, F.lit("]"))).otherwise(ascii_host(host))
     valid = (
         (text != "") & (host != "") & ~host.rlike("[\\s<>^|%\\\\]") & port.rlike("^(:[0-9]{0,5})?$")
     )
-    path = raw_path_of(absolute)
-    tail = F.regexp_extract(absolute, "(?s)^[^?#]*(.*)$", 1)
+    path = percent_encoded(raw_path_of(absolute), PATH_SET)
+    query = percent_encoded(F.regexp_extract(absolute, "(?s)^[^?#]*([?][^#]*)", 1), QUERY_SET)
+    fragment = percent_encoded(F.regexp_extract(absolute, "(?s)^[^#]*(#.*)$", 1), FRAGMENT_SET)
     return F.when(valid, F.concat(
         scheme, F.lit("://"), shown, kept_port,
-        F.when(path == "", F.lit("/")).otherwise(path), tail))
+        F.when(path == "", F.lit("/")).otherwise(path), query, fragment))

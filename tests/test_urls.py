@@ -1,4 +1,5 @@
 import ipaddress
+import random
 from urllib.parse import urldefrag, urljoin, urlparse
 
 import pytest
@@ -104,6 +105,19 @@ def test_typed_addresses(values):
            "https://h/a?b=1#c"]
 
 
+def test_typed_addresses_beyond_ascii(values):
+    rng = random.Random(1)
+    labels = ["bücher", "例え", "пример", "ü", "faß", "ab--cd", "😀emoji", "éééé", "Žluťoučký"]
+    labels += ["".join(rng.choice("abcé日пü😀-xz9") for _ in range(rng.randrange(1, 20))) for _ in range(150)]
+    want = [p if p.isascii() else "xn--" + p.lower().encode("punycode").decode() for p in labels]
+    assert values(urls.seed_url(X), [f"www.{p}.be/x" for p in labels]) == [f"https://www.{p}.be/x" for p in want]
+    assert values(urls.seed_url(X), [
+        "München.de", "例え。テスト/a", "h.be/é è/%20/\"<>`{}|^", "h.be/a?q=ü 'x'&b=`#é `\"", "h.be/plain/path?q=1#f", "http://Bücher.example:80/日本",
+    ]) == ["https://xn--mnchen-3ya.de/", "https://xn--r8jz45g.xn--zckzah/a", "https://h.be/%C3%A9%20%C3%A8/%20/%22%3C%3E%60%7B%7D|%5E",
+           "https://h.be/a?q=%C3%BC%20%27x%27&b=`#%C3%A9%20%60%22", "https://h.be/plain/path?q=1#f",
+           "http://xn--bcher-kva.example/%E6%97%A5%E6%9C%AC"]
+
+
 BASES = ["https://h.be/a/b/c?q=1", "https://h.be", "http://h.be/a//b/", "https://h.be/x;p"]
 HREFS = [
     "d", "./d", "../d", "../../../d", "/r", "/r/../s/./t", "//o.be/x", "?n=1", "d?e=f", "http://o.be/p", "https://o.be/../p",
