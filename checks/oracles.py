@@ -144,11 +144,11 @@ keyed AS (
   SELECT * EXCLUDE (lang_raw), CASE lang_raw {rank} ELSE {V.OTHER_LANGUAGE_RANK} END AS lang_rank, lang_raw AS lang
   FROM (
     SELECT *,
-      CASE WHEN in_path AND listing IS NOT NULL THEN base || '/__listing__/' || listing
+      CASE WHEN in_path AND listing IS NOT NULL THEN 'listing:' || listing || ' ' || base
              || CASE WHEN len(content) = 0 THEN '' ELSE '?' || {_encoded('list_sort(content)')} END
-           WHEN listing IS NULL AND resource THEN base || '/__qstable__/' || substr(sha256({_encoded(
+           WHEN listing IS NULL AND resource THEN 'resource:' || substr(sha256({_encoded(
                "list_transform(list_sort(list_transform(content, lambda q: {'f': lower(q.k), 'k': q.k, 'v': q.v})),"
-               " lambda q: {'k': q.k, 'v': q.v})")}), 1, {V.QUERY_DIGEST_LENGTH})
+               " lambda q: {'k': q.k, 'v': q.v})")}), 1, {V.QUERY_DIGEST_LENGTH}) || ' ' || base
            ELSE base || rest || CASE WHEN len(content) = 0 THEN '' ELSE '?' || {_encoded('list_sort(content)')} END
       END AS page_key,
       CASE WHEN in_path THEN {first_seg('url')}

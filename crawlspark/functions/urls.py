@@ -253,8 +253,8 @@ def _key_stages() -> list[dict[str, Column]]:
         {
             "page_key":
                 F.when(c("_in_path") & c("_listing").isNotNull(), with_query(
-                    F.concat(c("_base"), F.lit("/__listing__/"), c("_listing")), sorted_query))
-                .when(resource, F.concat(c("_base"), F.lit("/__qstable__/"), digest))
+                    F.concat(F.lit("listing:"), c("_listing"), F.lit(" "), c("_base")), sorted_query))
+                .when(resource, F.concat(F.lit("resource:"), digest, F.lit(" "), c("_base")))
                 .otherwise(with_query(
                     F.concat(c("_base"), joined_path(slashed, c("_u_params"))), sorted_query)),
             "lang": F.when(c("_in_path"), F.lower(first_segment(c("_u_path")))).otherwise(

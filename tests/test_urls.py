@@ -67,7 +67,7 @@ def test_listing_id_groups_translated_slugs(spark):
     a, b, c, d = keys(
         spark, "https://x.be/nl/huur/villa-formentor-1083.htm", "https://x.be/de/miete/haus-1083.html?lang=de",
         "https://x.be/huur/villa-formentor-1083.htm", "https://x.be/nl/villa-1083.htm")
-    assert a[0] == b[0] == "https://x.be/__listing__/1083"
+    assert a[0] == b[0] == "listing:1083 https://x.be"
     # without a language segment, or with one segment left, the path decides
     assert c[0] == "https://x.be/huur/villa-formentor-1083.htm" and d[0] == "https://x.be/villa-1083.htm"
 
@@ -76,18 +76,18 @@ def test_resource_query_groups_shallow_pages(spark):
     a, b, c, d, e = keys(
         spark, "https://x.be/de/ferien?office_id=12&page=2", "https://x.be/en/holiday?page=2&office_id=12&lang=en",
         "https://x.be/en/holiday?page=3&office_id=12", "https://x.be/en/a/b/c?office_id=12", "https://x.be/en/a?page=123")
-    assert a[0] == b[0] and "/__qstable__/" in a[0]
+    assert a[0] == b[0] and "resource:" in a[0]
     assert c[0] != a[0]                       # pagination is part of the key
-    assert "/__qstable__/" not in d[0]        # three segments are too deep
-    assert "/__qstable__/" not in e[0]        # a pagination key is no identity
+    assert "resource:" not in d[0]        # three segments are too deep
+    assert "resource:" not in e[0]        # a pagination key is no identity
 
 
 def test_uuid_and_number_values_are_identities(spark):
     got = keys(
         spark, "https://x.be/a?k=123", "https://x.be/b?k=123", "https://x.be/a?k=12",
         "https://x.be/c?z=0b5c6e2a-1111-2222-3333-444455556666", "https://x.be/d?z=0B5C6E2A-1111-2222-3333-444455556666")
-    assert got[0][0] == got[1][0] and "/__qstable__/" not in got[2][0]
-    assert "/__qstable__/" in got[3][0] and got[3][0] != got[4][0]
+    assert got[0][0] == got[1][0] and "resource:" not in got[2][0]
+    assert "resource:" in got[3][0] and got[3][0] != got[4][0]
 
 
 def test_language_from_query(spark):
