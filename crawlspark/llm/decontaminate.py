@@ -20,8 +20,8 @@ from crawlspark.llm.common import prepare
 
 # edits allowed per character of an item
 ERROR_RATE = 0.05
-# shorter items (normalised) name nothing in particular and are not searched
-MIN_ITEM_CHARS = 20
+# shorter items (normalised) are found as whole words only, without edits
+SHORT_ITEM_CHARS = 20
 # characters of items searched at once; more items take more passes over the texts
 BLOCK_CHARS = 500_000
 
@@ -72,7 +72,7 @@ class Matcher:
         self.items, pieces = [], {}
         for item_id, text in items:
             n = len(text)
-            k = int(rate * n)
+            k = int(rate * n) if n >= SHORT_ITEM_CHARS else 0
             at = len(self.items)
             self.items.append((item_id, text, k))
             for j in range(k + 1):
@@ -90,9 +90,14 @@ class Matcher:
             return []
         text = normalise(text)
         near: dict[int, list[tuple[int, int]]] = {}
+        short: set[int] = set()
         for end, (size, where) in self.automaton.iter(text):
             for at, offset in where:
                 _, item, k = self.items[at]
+                if len(item) < SHORT_ITEM_CHARS:
+                    if text[max(0, end - size):end + 1 - size] in ("", " ") and text[end + 1:end + 2] in ("", " "):
+                        short.add(at)
+                    continue
                 lo = max(0, end + 1 - size - offset - k)
                 hi = min(len(text), end + 1 - size - offset + len(item) + k)
                 windows = near.setdefault(at, [])
@@ -100,7 +105,7 @@ class Matcher:
                     windows[-1] = (windows[-1][0], max(hi, windows[-1][1]))
                 else:
                     windows.append((lo, hi))
-        found = []
+        found = [(self.items[at][0], 0) for at in sorted(short)]
         for at, windows in near.items():
             item_id, item, k = self.items[at]
             best = None
@@ -121,7 +126,7 @@ def _blocks(items: DataFrame, block_chars: int) -> Iterator[list[tuple[int, str]
     block, size = [], 0
     for r in items.select("item_id", F.col("text").cast("string")).toLocalIterator():
         text = normalise(r.text or "")
-        if len(text) < MIN_ITEM_CHARS:
+        if not text:
             continue
         if block and size + len(text) > block_chars:
             yield block
@@ -150,8 +155,9 @@ def contaminations(docs: DataFrame, benchmark: DataFrame, rate: float = ERROR_RA
     """doc_id, item_id, edits for every document and test item in it.
 
     docs: doc_id, text; benchmark: item_id, text; other columns are not looked at. Texts are compared
-    as lower-case letters and digits. Null and empty texts hold nothing, null, empty or very short
-    items are not searched. A repeated document row or item row gives repeated result rows. Empty
+    as lower-case letters and digits. Null and empty texts hold nothing, null items and those without
+    letter or digit are not searched; items under SHORT_ITEM_CHARS characters are held only as whole
+    words without edits. Texts of any length are searched whole. A repeated document row or item row gives repeated result rows. Empty
     tables give an empty result. The benchmark is read in blocks of `block_chars` characters, each
     searched in one pass over the documents.
     """

@@ -51,13 +51,18 @@ def test_against_all_pairs(spark, block):
             item = items[rng.randrange(14)][1]
             text += rng.choice([" ", "\n", ". "]) + edited(rng, item.title() if k % 2 else item.replace(" ", ",\n "), rng.randrange(0, 9)) + " " + prose(10)
         docs.append((k, text))
+    docs += [(200, "So: is the ANSWER, 42?"), (201, "is the answer 421"), (202, "tinyish, untiny"), (203, "so tiny"), (204, "tiny"), (205, "zz " * 500 + "tiny")]
+    items += [(94, "Is the answer 42"), (95, "?!")]
     df = spark.createDataFrame([(a, t, 1, "u") for a, t in docs], "doc_id bigint, text string, item_id int, edits string")
     bench = spark.createDataFrame([(i, t, 5) for i, t in items], "item_id bigint, text string, doc_id int")
     want = set()
     for a, t in docs:
         for i, x in items:
             x = d.normalise(x or "")
-            if len(x) >= d.MIN_ITEM_CHARS:
+            if 0 < len(x) < d.SHORT_ITEM_CHARS:
+                if f" {x} " in f" {d.normalise(t or '')} ":
+                    want.add((a, i, 0))
+            elif x:
                 best = plain_distance(x, d.normalise(t or ""))
                 if best <= int(d.ERROR_RATE * len(x)):
                     want.add((a, i, best))
