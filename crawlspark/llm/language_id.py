@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from crawlspark.llm.common import prepare
 
-# whole documents per language drawn for the dictionaries, and bytes kept of their texts together
+# documents per language drawn for the dictionaries, and bytes kept of their texts together: an even share of each
 SAMPLE_DOCS = 96
 DICTIONARY_BYTES = 112_000
 LEVEL = 6
@@ -30,12 +30,14 @@ def learning_sample(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> dict[str
     """
     known = docs.filter("doc_id is not null and text is not null and lang is not null")
     order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ids = known.select("doc_id", "lang").withColumn("k", F.row_number().over(order)).filter(F.col("k") <= sample_docs)
+    ids = known.select("doc_id", "lang").distinct().withColumn("k", F.row_number().over(order)).filter(F.col("k") <= sample_docs)
     chosen = known.join(F.broadcast(ids.select("doc_id", "lang").distinct()), ["doc_id", "lang"], "left_semi")
     # languages by how many documents they have, so that ties go to the more common one
     counts = known.groupBy("lang").count().collect()
     out: dict[str, list[str]] = {r.lang: [] for r in sorted(counts, key=lambda r: (-r["count"], r.lang))}
-    for r in sorted(chosen.select("doc_id", "lang", "text").collect()):
+    # rows that share an id are one: the smallest text
+    once = chosen.groupBy("doc_id", "lang").agg(F.min("text").alias("text"))
+    for r in sorted(once.select("doc_id", "lang", "text").collect()):
         out[r.lang].append(r.text)
     return out
 
