@@ -16,7 +16,7 @@ from ..functions.html import resolved_link
 from ..functions.staging import built_once
 from ..functions.text import strip
 from ..functions.urls import host_of
-from ..session import cut_lineage, measured, rows_for_keys
+from ..session import cut_lineage
 from .links import page_address
 from .sites import unsafe_url
 
@@ -73,49 +73,61 @@ def redirect_resolve(urls: DataFrame, responses: DataFrame, hosts: DataFrame | N
                      max_redirects: int = MAX_REDIRECTS) -> DataFrame:
     """urls (url, distinct) → final_url, hops, status, outcome.
 
-    One N:1 join of all URLs with their responses; each further hop reads only the responses
-    of the rows still being redirected. `hosts` (host, closed) holds the hosts that have an address:
-    a hop to any other is refused as `unresolved`, one into a closed network as `closed_network`.
-    Outcomes: ok, too_many_redirects, no_response, or the safety reason of the refused hop. Of
-    several responses to one address (they may differ by fragment) the one with the smallest url holds.
+    Pointer doubling: every response that sends on points to its next address, and joining these
+    pointers with themselves gives pointers of twice the length, so that `max_redirects` hops take
+    log2(max_redirects) joins of redirecting responses and each URL is joined once per binary digit of
+    the limit. An address that is refused has no pointer, so a chain ends at the first of them; a
+    loop ends at the limit. Doubling stops early when no pointer got longer.
+
+    `hosts` (host, closed) holds the hosts that have an address: a hop to any other is refused as
+    `unresolved`, one into a closed network as `closed_network`. Outcomes: ok, too_many_redirects,
+    no_response, or the safety reason of the refused hop. Of several responses to one address (they
+    may differ by fragment) the one with the smallest url holds.
     """
     # a location is relative to the page that sent it, so it is resolved once per response
     sends_on = F.col("status").isin(*REDIRECT_STATUSES) & (F.coalesce("location", F.lit("")) != "")
-    answers = (
+    answers = cut_lineage(
         responses.select(
             page_address(F.col("url")).alias("current"), "url", F.struct(
                 "status", F.when(sends_on, _next_address()).alias("next")).alias("r"))
         .groupBy("current").agg(F.min_by("r", "url").alias("r")).select("current", "r.status", "r.next"))
     known_hosts = None if hosts is None else hosts.select(F.col("host").alias("_host"), F.col("closed").alias("_closed"))
-    tests = {"_host": host_of(F.col("current")), "_bad": unsafe_url(F.col("current"))}
-    go_on = F.col("_bad").isNull() & F.col("next").isNotNull()
-    outcome = F.coalesce("_bad", F.when(F.col("status").isNull(), "no_response"), F.lit("ok"))
-
-    done: list[DataFrame] = []
-    moved = urls.select("url", page_address(strip(F.col("url"))).alias("next"), F.lit(-1).alias("hops"))
-    moving_bytes = None
-    for _ in range(max_redirects + 1):
-        state = moved.select("url", F.col("next").alias("current"), (F.col("hops") + 1).alias("hops"))
-        checked = state.withColumns(tests)
-        if known_hosts is not None:
-            checked = checked.join(known_hosts, "_host", "left").withColumn("_bad", F.coalesce(
-                "_bad", F.when(F.col("_closed").isNull(), "unresolved").when(F.col("_closed"), "closed_network")))
-        known = answers if moving_bytes is None else rows_for_keys(answers, state, "current", moving_bytes)
-        joined = cut_lineage(checked.join(known, "current", "left").select(
-            "url", "current", "hops", "_bad", "status", "next"))
-        done.append(joined.filter(~go_on).select(
-            "url", F.col("current").alias("final_url"), "hops", "status", outcome.alias("outcome")))
-        moved = joined.filter(go_on)
-        n_moving, moving_bytes = measured(moved, "next")
-        if n_moving == 0:
-            break
-    done.append(moved.select(
-        "url", F.col("current").alias("final_url"), "hops", "status",
-        F.lit("too_many_redirects").alias("outcome")))
-    out = done[0]
-    for part in done[1:]:
-        out = out.unionByName(part)
-    return out
+
+    def tested(rows: DataFrame) -> DataFrame:
+        """`_bad`: why the address `current` is not asked, or NULL."""
+        rows = rows.withColumns({"_host": host_of(F.col("current")), "_bad": unsafe_url(F.col("current"))})
+        if known_hosts is None:
+            return rows
+        return rows.join(known_hosts, "_host", "left").withColumn("_bad", F.coalesce(
+            "_bad", F.when(F.col("_closed").isNull(), "unresolved").when(F.col("_closed"), "closed_network")))
+
+    pointers = cut_lineage(tested(answers.filter("next IS NOT NULL")).filter("_bad IS NULL").select(
+        F.col("current").alias("_from"), F.col("next").alias("_to"), F.lit(1).alias("_n")))
+    at = urls.select("url", page_address(strip(F.col("url"))).alias("current"), F.lit(0).alias("hops"))
+    left = max_redirects
+    while left:
+        if left & 1:
+            at = _along(at, "current", "hops", pointers)
+        left >>= 1
+        if left:
+            longer = cut_lineage(_along(pointers, "_to", "_n", pointers))
+            if longer.agg(F.sum("_n")).first()[0] == pointers.agg(F.sum("_n")).first()[0]:
+                # all chains are at their ends, and no longer than what is left
+                at = _along(at, "current", "hops", pointers)
+                break
+            pointers = longer
+    outcome = F.coalesce(
+        "_bad", F.when(F.col("status").isNull(), "no_response").when(F.col("next").isNotNull(), "too_many_redirects"), F.lit("ok"))
+    return tested(at).join(answers, "current", "left").select(
+        "url", F.col("current").alias("final_url"), "hops", "status", outcome.alias("outcome"))
+
+
+def _along(rows: DataFrame, place: str, count: str, pointers: DataFrame) -> DataFrame:
+    """Move `place` along its pointer, if it has one, and add the pointer's hops to `count`."""
+    step = pointers.select(F.col("_from").alias("_at"), F.col("_to").alias("_next"), F.col("_n").alias("_more"))
+    kept = [c for c in rows.columns if c not in (place, count)]
+    return rows.join(step, F.col(place) == F.col("_at"), "left").select(
+        *kept, F.coalesce("_next", place).alias(place), (F.col(count) + F.coalesce("_more", F.lit(0))).alias(count))
 
 
 def after_redirects(urls: DataFrame, responses: DataFrame, hosts: DataFrame | None = None,

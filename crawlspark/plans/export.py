@@ -26,6 +26,9 @@ from ..operators.robots import robots_allowed, seed_policies
 from ..operators.scope import in_scope
 from ..session import BROADCAST_BYTES, cut_lineage, measured, rows_for_keys
 
+# column a body store is bucketed by
+BODY_KEY = "address"
+
 
 @built_once
 def _text_stages(html: str) -> list[tuple[str, Column]]:
@@ -104,22 +107,49 @@ def fetch_verdict(requests: DataFrame, seeds: DataFrame, policy: DataFrame,
     )
 
 
+def write_body_store(bodies: DataFrame, table: str, buckets: int, path: str | None = None) -> DataFrame:
+    """Bodies (url, html) as a table bucketed by the address they are asked for, and that table.
+
+    texts_of() meets it bucket by bucket: requests are shuffled to the buckets, bodies stay where they
+    are, whatever the number of requests. `buckets` should give files of some hundred megabytes; `path`
+    is a folder outside the warehouse.
+    """
+    stored = bodies.select(page_address(F.col("url")).alias(BODY_KEY), "url", "html")
+    # one task a bucket: else every task writes a file into every bucket
+    writer = stored.repartition(buckets, BODY_KEY).write.bucketBy(buckets, BODY_KEY).sortBy(BODY_KEY)
+    if path is not None:
+        writer = writer.option("path", path)
+    writer.saveAsTable(table)
+    return bodies.sparkSession.table(table)
+
+
 def texts_of(bodies: DataFrame, wanted: DataFrame) -> DataFrame:
     """_key, title, text of the bodies (url, html) whose address occurs in `wanted` (_key).
 
     Bodies never move: wanted addresses are broadcast to the scan if they measure small enough, and
-    the text is extracted in the scan stage. If they do not, all bodies are read for text there.
-    Only titles and texts are shuffled. Of several bodies with one address the one with the smallest
-    url holds.
+    the text is extracted in the scan stage. If they do not, a body store (write_body_store) is joined
+    by its buckets and only wanted bodies are read for text; bodies without such a store are all
+    read for text. Only titles and texts are shuffled. Of several bodies with one address the one with
+    the smallest url holds.
     """
-    keyed = bodies.select("url", "html", page_address(F.col("url")).alias("_key"))
+    stored = BODY_KEY in bodies.columns
+    address = F.col(BODY_KEY) if stored else page_address(F.col("url"))
+    keyed = bodies.select("url", "html", address.alias("_key"))
     _, key_bytes = measured(wanted, "_key")
     if key_bytes <= BROADCAST_BYTES:
         keyed = rows_for_keys(keyed, wanted, "_key", key_bytes)
+    elif stored:
+        # dealt out evenly, else Spark might shuffle the bodies to the partitions of the distinct step
+        keyed = keyed.join(wanted.select("_key").distinct().hint("rebalance"), "_key", "left_semi")
     return with_text_and_title(keyed).groupBy("_key").agg(F.min_by(F.struct("title", "text"), "url").alias("t")).select(
         "_key", "t.title", "t.text")
 
 
+def spread_key(key: Column) -> Column:
+    """Refused rows, without an address, have keys of their own, so that they spread evenly over a join."""
+    return F.coalesce(key, F.concat_ws(" ", F.lit("refused"), F.col("seed_id"), F.col("pos")))
+
+
 def export_rows(verdicts: DataFrame, bodies: DataFrame) -> DataFrame:
     """seed_id, pos, url (final), title, text, error, requested_url.
 
@@ -130,10 +160,8 @@ def export_rows(verdicts: DataFrame, bodies: DataFrame) -> DataFrame:
     texts = texts_of(bodies, keyed.filter("_key IS NOT NULL").select("_key"))
     found = texts.withColumn("_found", F.lit(True))
     ok = F.col("error").isNull()
-    # refused rows have keys of their own, so that they spread evenly over the join
-    spread_key = F.coalesce("_key", F.concat_ws(" ", F.lit("refused"), F.col("seed_id"), F.col("pos")))
     return (
-        keyed.withColumn("_key", spread_key).join(found, "_key", "left")
+        keyed.withColumn("_key", spread_key(F.col("_key"))).join(found, "_key", "left")
         .withColumn("error", F.coalesce("error", F.when(F.col("_found").isNull(), "no_response")))
         .select("seed_id", "pos", F.col("final_url").alias("url"), F.when(ok, F.col("title")).alias("title"),
                 F.when(ok, F.col("text")).alias("text"), "error", F.col("url").alias("requested_url"))

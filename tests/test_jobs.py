@@ -1,5 +1,6 @@
 import datetime as dt
 import random
+import uuid
 from collections import deque
 
 import pytest
@@ -8,6 +9,7 @@ from pyspark.sql import functions as F
 from crawlspark import session
 from crawlspark.operators import crawl, dedupe, fetch, ordering, progress, quota, scope, sitemaps, sites
 from crawlspark.plans import discover, export
+from crawlspark.session import scratch_path
 
 
 def rows(df, *order):
@@ -148,6 +150,46 @@ def test_redirects(spark):
     }
 
 
+@pytest.mark.parametrize("limit", [0, 1, 3, 5, 8])
+def test_redirects_equal_a_walk(spark, limit):
+    """Chains of every length, loops with and without a way in, and refused hops, against a plain walk."""
+    to = {f"https://h.be/c{i}": f"https://h.be/c{i + 1}" for i in range(12)}
+    to |= {f"https://h.be/l{i}": f"https://h.be/l{(i + 1) % 3}" for i in range(3)} | {"https://h.be/in": "https://h.be/l0", "https://h.be/self": "https://h.be/self"}
+    to |= {"https://h.be/x": "https://h.be/y", "https://h.be/y": "http://localhost/z", "http://localhost/z": "https://h.be/c0"}
+    ends = ["https://h.be/c12"]
+    answers = spark.createDataFrame([(u, 301, v) for u, v in to.items()] + [(u, 200, None) for u in ends], "url string, status int, location string")
+
+    def walked(u):
+        for n in range(limit + 1):
+            if "localhost" in u:
+                return u, n, "blocked_host"
+            if u not in to:
+                return u, n, "ok"
+            if n < limit:
+                u = to[u]
+        return u, limit, "too_many_redirects"
+
+    asked = [*to, *ends]
+    got = fetch.redirect_resolve(spark.createDataFrame([(u,) for u in asked], "url string"), answers, max_redirects=limit)
+    assert {r.url: (r.final_url, r.hops, r.outcome) for r in got.collect()} == {u: walked(u) for u in asked}
+
+
+def test_redirect_rounds_follow_the_logarithm(spark, monkeypatch):
+    rounds, along = [], fetch._along
+    monkeypatch.setattr(fetch, "_along", lambda *a: rounds.append(a[1]) or along(*a))
+
+    def run(length):
+        rounds.clear()
+        answers = spark.createDataFrame(
+            [(f"https://h.be/{i}", 301, f"/{i + 1}") for i in range(length)] + [(f"https://h.be/{length}", 200, None)], "url string, status int, location string")
+        got = fetch.redirect_resolve(answers.select("url"), answers).filter("url = 'https://h.be/0'").first()
+        return got.hops, got.outcome, rounds.count("_to"), rounds.count("current")
+
+    # joins of pointers, joins of URLs
+    assert run(8) == (8, "ok", 3, 1) and run(9) == (8, "too_many_redirects", 3, 1)
+    assert run(1) == (1, "ok", 1, 1)  # nothing got longer
+
+
 # ------------------------------------------------------------------------------- crawl
 
 
@@ -500,3 +542,41 @@ def test_ndjson_files_keep_the_order_of_a_batch(spark):
                 last[batch] = int(pos)
                 seen.append(int(pos))
     assert sorted(seen) == list(range(6000))
+
+
+# ------------------------------------------------------------------------------- body store
+
+
+@pytest.fixture
+def body_store(spark, monkeypatch):
+    """Bodies in buckets, and requests whose keys count as too many to broadcast."""
+    monkeypatch.setattr(export, "BROADCAST_BYTES", 0)
+    monkeypatch.setattr(session, "BROADCAST_BYTES", 0)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    bodies = spark.createDataFrame(
+        [(f"https://h.be/{i}", f"<title>t{i}</title><p>text {i}</p>") for i in range(40)]
+        + [("https://h.be/3#a", "<title>later</title><p>x</p>")], "url string, html string")
+    name = f"bodies_{uuid.uuid4().hex}"
+    yield bodies, export.write_body_store(bodies, name, 4, scratch_path(spark, "bodies"))
+    spark.sql(f"DROP TABLE {name}")
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_a_body_store_gives_the_same_texts(spark, body_store):
+    bodies, store = body_store
+    wanted = spark.createDataFrame([(f"https://h.be/{i}",) for i in (1, 3, 3, 7, 99)], "_key string")
+    want = [("https://h.be/1", "t1", "text 1"), ("https://h.be/3", "t3", "text 3"), ("https://h.be/7", "t7", "text 7")]
+    assert rows(export.texts_of(store, wanted), "_key") == want
+    found = {r._key: (r.title, r.text) for r in export.texts_of(bodies, wanted).collect()}
+    assert [(k, *found[k]) for k, _, _ in want] == want
+
+
+def test_bodies_of_a_store_do_not_move(spark, body_store):
+    _, store = body_store
+    wanted = spark.range(1000).select(F.concat(F.lit("https://h.be/"), "id").alias("_key"))
+    got = export.texts_of(store, wanted)
+    text = got._jdf.queryExecution().executedPlan().toString()
+    # requests are shuffled to the buckets; bodies meet them there and are parsed after that
+    moved = [line for line in text.splitlines() if "Exchange" in line]
+    assert moved and not any("html" in line or "url" in line or "text" in line for line in moved)
+    assert "Bucketed: true" in text and text.index("_nodes") < text.index("LeftSemi") < text.index("FileScan")
