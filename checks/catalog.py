@@ -5,6 +5,7 @@ Each entry runs a library job over the whole given tables, or over inputs derive
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -476,11 +477,11 @@ def robots_rules(spark, d):
     return robots.robots_rules(derived(spark, d, "robots_txt"))
 
 
-def _exported(spark, d):
+def _exported(spark, d, bodies=None):
     return export.export_pages(
         derived(spark, d, "requests"), derived(spark, d, "seeds"), _policy(spark, d),
         fetch.final_attempt(derived(spark, d, "fetch_log").drop("page_id")),
-        _pages(spark, d, True))
+        _pages(spark, d, True) if bodies is None else bodies)
 
 
 @_query
@@ -488,6 +489,14 @@ def export_pages(spark, d):
     return _exported(spark, d)
 
 
+@_query
+def export_pages_stored(spark, d):
+    """The export from a body store: bodies lie bucketed by address."""
+    name = f"body_store_{uuid.uuid4().hex}"
+    store = export.write_body_store(_pages(spark, d, True), name, 8, scratch_path(spark, name))
+    return _exported(spark, d, store)
+
+
 @_query
 def export_pages_redirects(spark, d):
     return export.export_rows(_redirected_verdicts(spark, d), _pages(spark, d, True))
@@ -532,6 +541,35 @@ def export_texts_stream(spark, d):
     return export_stream.run_export_stream(wanted, *tables_, _pages(spark, d, True), scratch_path(spark, "export"))
 
 
+def _timed(rows, column, minute):
+    return rows.withColumn(column, F.timestamp_seconds(F.lit(1_700_000_000) + 60 * (F.col(minute) % 60)))
+
+
+def _joined_streams(spark, d):
+    """Requests and pages as files of two streams, out of order within an hour; a last row in each a day later."""
+    asked, arrived = scratch_path(spark, "asked"), scratch_path(spark, "arrived")
+    requests = _timed(dedupe.language_dedupe(derived(spark, d, "requests"), ["seed_id"]).select("seed_id", "pos", "url"), "asked_at", "pos")
+    pages = _timed(_pages(spark, d, True), "arrived_at", "page_id").drop("page_id")
+    requests.repartition(6, "pos").write.parquet(asked)
+    pages.repartition(4, "url").write.parquet(arrived)
+    later = F.timestamp_seconds(F.lit(1_700_000_000 + 86_400))
+    end = spark.range(1)
+    end.select(F.lit(-1).cast("bigint").alias("seed_id"), F.lit(0).cast("bigint").alias("pos"), F.lit("").alias("url"),
+               later.alias("asked_at")).write.mode("append").parquet(asked)
+    end.select(F.lit("").alias("url"), F.lit("").alias("html"), later.alias("arrived_at")).write.mode("append").parquet(arrived)
+    return (export_stream.read_timed_requests(spark, asked, files_per_batch=3),
+            export_stream.read_arriving_pages(spark, arrived, files_per_batch=2))
+
+
+@_query
+def export_joined_stream(spark, d):
+    requests, pages = _joined_streams(spark, d)
+    answers = fetch.final_attempt(_stored(spark, d, "fetch_log").drop("page_id"))
+    return export_stream.run_joined_export(
+        requests, derived(spark, d, "seeds"), _policy(spark, d), answers, pages, scratch_path(spark, "joined"),
+        before="2 hours", wait="2 hours", late="2 hours")
+
+
 @_query
 def progress_stream(spark, d):
     wanted, tables_ = _wanted_stream(spark, d)

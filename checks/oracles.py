@@ -618,7 +618,9 @@ exported AS (
   FROM fetched f LEFT JOIN address_texts t ON t.address = regexp_replace(f.url, '#.*', '') AND f.error IS NULL)""")
 ORACLES["export_pages"] = _with(
     _FETCH_INPUTS, "SELECT seed_id, pos, url, title, text, error, requested_url FROM exported", *_EXPORTED)
+ORACLES["export_pages_stored"] = ORACLES["export_pages"]
 ORACLES["export_texts_stream"] = ORACLES["export_pages"]
+ORACLES["export_joined_stream"] = ORACLES["export_pages"]
 ORACLES["progress_stream"] = _with(_FETCH_INPUTS, """
 SELECT seed_id, count(*) FILTER (error IS NULL) AS ok, count(*) FILTER (error IS NOT NULL) AS failed, count(*) AS total
 FROM fetched GROUP BY seed_id""", *_EXPORTED)

@@ -23,6 +23,8 @@ RUNTIME_SETTINGS = {
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     # the URL caps go up to 5000 per seed: keep the map-side top-k filter for them
     "spark.sql.optimizer.windowGroupLimitThreshold": "5000",
+    # state of streams lies on disk, not in the memory of the executors
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
 }
 
 

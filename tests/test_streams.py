@@ -157,3 +157,81 @@ def test_empty_folders_and_runs_without_news(spark, split_events):
     done = export_stream.run_export_stream(wanted, *tables, pages, out["export"])
     assert done.schema == rows.schema and done.count() == sum(c[3] for c in counts)
     assert export_stream.run_export_stream(wanted, *tables, pages, out["export"]).count() == done.count()
+
+
+# ------------------------------------------------------------------- requests joined with arriving pages
+
+
+@pytest.fixture
+def arriving(spark):
+    """add(minute, requests, pages) lets rows arrive; run() takes in what is new and gives (rows, progress)."""
+    asked, pages, out = (scratch_path(spark, k) for k in ("asked", "pages", "joined"))
+    make_folder(spark, asked)
+    make_folder(spark, pages)
+    seeds = spark.createDataFrame([(1, "https://h.be/", "h.be")], "seed_id long, url string, host string")
+    policy = spark.createDataFrame([], "site string, robots_status string, rules array<struct<rule_pos:bigint,allow:boolean,prefix:string>>")
+    policy = spark.createDataFrame([("https://h.be", "parsed", [(1, False, "/no")])], policy.schema)
+    answers = spark.createDataFrame([(f"https://h.be/{i}", 200, "text/html", 10) for i in range(9)], "url string, status int, content_type string, n_bytes long")
+    at = lambda minute: F.timestamp_seconds(F.lit(1_700_000_000 + 60 * minute))
+
+    def add(minute, requests=(), bodies=()):
+        if requests:
+            spark.createDataFrame([(1, p, f"https://h.be/{u}") for p, u in requests], "seed_id long, pos long, url string").withColumn(
+                "asked_at", at(minute)).coalesce(1).write.mode("append").parquet(asked)
+        if bodies:
+            spark.createDataFrame([(f"https://h.be/{u}", f"<p>{t}</p>") for u, t in bodies], "url string, html string").withColumn(
+                "arrived_at", at(minute)).coalesce(1).write.mode("append").parquet(pages)
+
+    def run():
+        rows = export_stream.joined_export(
+            export_stream.read_timed_requests(spark, asked, 1), seeds, policy, answers,
+            export_stream.read_arriving_pages(spark, pages, 1), before="30 minutes", wait="30 minutes", late="5 minutes")
+        q = export_stream.start_joined_export(rows, out)
+        q.awaitTermination()
+        got = {r.pos: (r.text, r.error) for r in export_stream.joined_rows(spark, out).collect()}
+        return got, q.recentProgress
+
+    return add, run
+
+
+def test_bodies_before_and_after_their_request(arriving):
+    add, run = arriving
+    assert run()[0] == {}
+    add(0, bodies=[("0", "zero"), ("1#a", "one a")])
+    add(10, requests=[(1, "0"), (2, "1"), (3, "2"), (4, "no"), (5, "3"), (6, "2")])
+    got, _ = run()
+    # the bodies were there; a refused request does not wait
+    assert got == {1: ("zero", None), 2: ("one a", None), 4: (None, "robots")}
+    add(20, bodies=[("2", "two"), ("1", "one")])
+    got, progress = run()  # started again: state is carried over, files are not read again
+    assert got == {1: ("zero", None), 2: ("one", None), 3: ("two", None), 6: ("two", None), 4: (None, "robots")}
+    assert sum(p["numInputRows"] for p in progress) == 2
+    assert max(s["numRowsTotal"] for p in progress for s in p["stateOperators"]) > 0
+    add(300, requests=[(9, "no")], bodies=[("8", "eight")])
+    got, progress = run()
+    # the page that never came; and what the watermark passed is gone from both states
+    assert got[5] == (None, "no_response") and set(got) == {1, 2, 3, 4, 5, 6, 9}
+    assert progress[-1]["stateOperators"][0]["numRowsTotal"] <= export_stream.SPREAD
+    again, progress = run()
+    assert again == got and sum(p["numInputRows"] for p in progress) == 0
+
+
+def test_bodies_out_of_reach_are_not_joined(arriving):
+    add, run = arriving
+    add(0, bodies=[("0", "old")])
+    add(40, requests=[(1, "0")])
+    add(60, bodies=[("0", "in time")])
+    add(80, bodies=[("0", "too late")])
+    add(300, requests=[(9, "no")], bodies=[("8", "eight")])
+    assert run()[0] == {1: ("in time", None), 9: (None, "robots")}
+
+
+def test_the_join_reads_no_table_of_bodies(spark, arriving):
+    add, run = arriving
+    add(0, requests=[(p, "0") for p in range(50)], bodies=[("0", "zero")])
+    got, _ = run()  # one address asked for by all
+    assert got == {p: ("zero", None) for p in range(50)}
+    for i in range(1, 4):
+        add(i, bodies=[(str(i), "x")])
+        _, progress = run()
+        assert [s["numInputRows"] for p in progress for s in p["sources"] if s["numInputRows"]] == [1]
