@@ -19,6 +19,8 @@ from ..session import BROADCAST_BYTES, cut_lineage, measured
 MINUTES = 24 * 60
 # bytes of an accepted site besides its name, and of a minute's row
 ROW_BYTES = 64
+# up to this limit Spark cuts the rows of a window in each task before it shuffles them
+TOP_ROWS = "spark.sql.optimizer.windowGroupLimitThreshold"
 CLAIMING = ("discover", "scrape")
 
 
@@ -37,6 +39,27 @@ def first_claims(events: DataFrame) -> DataFrame:
     )
 
 
+def earliest_claims(claims: DataFrame) -> DataFrame:
+    """The first `_room` claims of each day (day, site_key, first, _room), by selection.
+
+    Counts per second of a day tell in which second the room ends. Claims of later seconds are left
+    out, and ranks run inside a second, so no task has the claims of a day. Counts are at most 86,400
+    rows a day.
+    """
+    ts = F.col("first.ts")
+    second = F.coalesce(F.hour(ts) * 3600 + F.minute(ts) * 60 + F.second(ts), F.lit(-1))
+    timed = claims.withColumn("_second", second)
+    before = Window.partitionBy("day").orderBy("_second").rowsBetween(Window.unboundedPreceding, -1)
+    left = (
+        timed.groupBy("day", "_second").agg(F.count("*").alias("_n"), F.max("_room").alias("_room"))
+        .select(F.col("day").alias("_day"), F.col("_second").alias("_at"),
+                (F.col("_room") - F.coalesce(F.sum("_n").over(before), F.lit(0))).alias("_left"))
+        .filter("_left > 0"))
+    same = F.col("day").eqNullSafe(F.col("_day")) & (F.col("_second") == F.col("_at"))
+    rank = F.row_number().over(Window.partitionBy("day", "_second").orderBy("first"))
+    return timed.join(left, same).withColumn("_rank", rank).filter("_rank <= _left").select("day", "site_key", "first")
+
+
 def accepted_sites(events: DataFrame, limit: int = DAILY_SITES,
                    carried: DataFrame | None = None) -> DataFrame:
     """day, site_key, first: the sites a day accepts, in claim order.
@@ -51,11 +74,14 @@ def accepted_sites(events: DataFrame, limit: int = DAILY_SITES,
         taken = carried.groupBy("day").agg(F.count("*").alias("_taken"))
         claims = claims.join(carried, ["day", "site_key"], "left_anti").join(taken, "day", "left")
         room = F.lit(limit) - F.coalesce("_taken", F.lit(0))
-    # the literal bound comes first: it is the one applied before the shuffle
-    ranked = claims.withColumn(
-        "_rank", F.row_number().over(Window.partitionBy("day").orderBy("first"))
-    ).filter(F.col("_rank") <= limit)
-    fresh = ranked.filter(F.col("_rank") <= room).select("day", "site_key", "first")
+    if limit <= int(claims.sparkSession.conf.get(TOP_ROWS)):
+        # the literal bound comes first: it is the one applied before the shuffle
+        ranked = claims.withColumn(
+            "_rank", F.row_number().over(Window.partitionBy("day").orderBy("first"))
+        ).filter(F.col("_rank") <= limit)
+        fresh = ranked.filter(F.col("_rank") <= room).select("day", "site_key", "first")
+    else:
+        fresh = earliest_claims(claims.withColumn("_room", room))
     if carried is None:
         return fresh
     return fresh.unionByName(

@@ -544,6 +544,42 @@ def test_ndjson_files_keep_the_order_of_a_batch(spark):
     assert sorted(seen) == list(range(6000))
 
 
+# ------------------------------------------------------------------------------- selection of claims
+
+
+def busy_days(spark, n=6000):
+    """Claims of two days, many in one second, some sites twice, one event without a time."""
+    i = F.col("id")
+    at = F.timestamp_seconds(F.lit(1_700_000_000) + F.when(i % 3 == 0, F.lit(7)).otherwise(i % 5000) + F.when(i % 7 == 0, 86_400).otherwise(0))
+    return spark.range(n).select(
+        i.alias("event_id"), F.when(i != 11, at).cast("timestamp_ntz").alias("ts"),
+        F.concat(F.lit("https://s"), i % (n * 4 // 5), F.lit(".be/")).alias("url"), F.lit("discover").alias("op"))
+
+
+@pytest.mark.parametrize("limit", [1, 50, 900, 1500, 100_000])
+@pytest.mark.parametrize("carry", [False, True])
+def test_selected_claims_equal_ranked_ones(spark, monkeypatch, limit, carry):
+    table = busy_days(spark)
+    carried = spark.createDataFrame([(dt.date(2023, 11, 14), f"s{i}.be") for i in range(30)], "day date, site_key string") if carry else None
+    want = rows(quota.accepted_sites(table, limit, carried), "day", "site_key") if limit <= 5000 else None
+    before = spark.conf.get(quota.TOP_ROWS)
+    spark.conf.set(quota.TOP_ROWS, 0)
+    try:
+        got = rows(quota.accepted_sites(table, limit, carried), "day", "site_key")
+    finally:
+        spark.conf.set(quota.TOP_ROWS, before)
+    if want is None:  # no site is refused
+        assert {(d, s) for d, s, _ in got} >= {(d, s) for d, s, _ in rows(quota.first_claims(table), "day")}
+    else:
+        assert got == want and len(got) >= limit
+
+
+def test_no_task_has_the_claims_of_a_day(spark):
+    text = plan(quota.accepted_sites(busy_days(spark), 50_000))
+    window = [line for line in text.splitlines() if "row_number()" in line and "Window" in line]
+    assert window and all("_second" in line for line in window)
+
+
 # ------------------------------------------------------------------------------- body store
 
 
