@@ -2,9 +2,9 @@
 
 Documents are cut into token ids; whole windows of long documents stand alone. What is left of
 each document is indexed in shards: every shard has an inverted index of its documents over token
-ids, weighted with the statistics of the whole corpus. A seed document's rarest terms are looked
-up, the best unused neighbours are appended until the window is full, and the part of the last one
-that did not fit is the next seed. Only the end of a shard is left over; it is laid out in windows
+ids, weighted with the statistics of the whole corpus. All terms of a seed document are looked up, the
+best unused neighbours are appended until the window is full, and the part of the last one that
+did not fit is the next seed. Only the end of a shard is left over; it is laid out in windows
 of powers of two, which need no padding.
 """
 
@@ -31,7 +31,10 @@ END_ID = 2
 # ids are stored in two bytes
 ID_LIMIT = 1 << 16
 SHARD_TOKENS = 2_000_000
-QUERY_TERMS = 24
+# ids of more than one in so many documents of a shard have a row of weights
+DENSE = 8
+# neighbours that are sorted at once
+FIRST_NEIGHBOURS = 64
 K1, B = 1.2, 0.75
 # words remembered per generation while a task runs: two are about 100 MB
 MEMO_WORDS = 250_000
@@ -41,6 +44,9 @@ MARKS = string.punctuation.replace("'", "")
 # bytes of text encoded at once: a word is looked up once for all of them
 ENCODED_BYTES = 8_000_000
 
+# words by which a tokenizer file is tested when it is loaded
+PROBES = ("a", "b", "Word", "WORDS,", "naïve", "Ünïted", "don't", "x.y", "12,5", "ΣΑΣ", "日本語")
+
 FULL, REST, TERMS = 0, 1, 2
 _ROWS = "kind int, doc_id bigint, start bigint, length bigint, crc bigint, doc_tokens bigint, ids binary"
 PIECES = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint"
@@ -72,6 +78,24 @@ class Encoder:
         self.model, self.letters = self.tokenizer.model, _byte_letters()
         self.words: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
+        self._check()
+
+    def _check(self) -> None:
+        """Refuse a tokenizer for which words looked up alone would give other ids."""
+        def whole(text: str) -> bytes:
+            ids = self.tokenizer.encode(text, add_special_tokens=False).ids
+            if max(ids, default=0) >= ID_LIMIT:
+                raise ValueError("an id does not fit into two bytes")
+            return array("H", ids).tobytes()
+
+        if max(self.tokenizer.get_vocab().values(), default=0) >= ID_LIMIT:
+            raise ValueError("an id does not fit into two bytes")
+        if any(self._ids(w) != whole(w) for w in PROBES):
+            raise ValueError("the tokenizer does not lower letters or spell bytes as expected")
+        for gap in (" ", "  ", "\n", "\t "):
+            if whole(gap + gap.join(PROBES) + gap) != b"".join(map(whole, PROBES)):
+                raise ValueError("the tokenizer does not part words at white space")
+        self.words, self.older = {}, {}
 
     def forget(self) -> None:
         """Give the memory back: a worker goes on to tasks of other kinds."""
@@ -166,7 +190,7 @@ def _tokenised(path: str, window: int, end_id: int):
     """Rows of three kinds: whole windows, rests with their ids, and a task's document frequencies."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path)
-        seen = np.zeros(ID_LIMIT, np.int64)
+        seen, last = np.zeros(ID_LIMIT, np.int64), np.zeros(ID_LIMIT, np.int64)
         docs = tokens = 0
         for part in slices(batches):
             rows = []
@@ -181,7 +205,9 @@ def _tokenised(path: str, window: int, end_id: int):
                     rows.append((REST, doc_id, whole, n - whole, 0, n, ids[whole:].tobytes()))
                     tokens += n - whole
                     docs += 1
-                seen[np.unique(ids)] += 1
+                place = np.arange(n)
+                last[ids] = place  # an id counts once a document: at its last place
+                seen[ids[last[ids] == place]] += 1
             yield _batch(rows)
         enc.forget()
         yield _batch([(TERMS, None, docs, tokens, 0, 0, seen.astype("<i8").tobytes())])
@@ -214,31 +240,55 @@ def _frequencies(rows: DataFrame) -> tuple[np.ndarray, int, int]:
 
 
 class Shard:
-    """Inverted index over the rests of one shard, packed greedily."""
+    """Inverted index over the rests of one shard, packed greedily.
+
+    A seed is looked up by all its distinct ids. Ids that more than one in `DENSE` documents hold have
+    a row of weights over all documents, others a list of postings: adding a row costs less than
+    scattering a long list. The rows have at most `DENSE` numbers for each posting they replace.
+    """
 
     def __init__(self, rests: list[np.ndarray], idf: np.ndarray, mean_length: float):
-        self.rests, self.idf = rests, idf
-        self.used = np.zeros(len(rests), bool)
-        terms, docs, weights, self.query = [], [], [], []
-        for d, ids in enumerate(rests):
-            own, n = np.unique(ids, return_counts=True)
-            terms.append(own)
-            docs.append(np.full(len(own), d, np.int32))
-            weights.append(idf[own] * n * (K1 + 1) / (n + K1 * (1 - B + B * len(ids) / mean_length)))
-            self.query.append(own[np.argpartition(-idf[own], QUERY_TERMS)[:QUERY_TERMS]] if len(own) > QUERY_TERMS else own)
-        term = np.concatenate(terms)
-        order = np.argsort(term, kind="stable")
-        self.docs, self.weights = np.concatenate(docs)[order], np.concatenate(weights)[order]
-        self.at = np.searchsorted(term[order], np.arange(ID_LIMIT + 1))
-
-    def neighbours(self, seed: int) -> np.ndarray:
-        """Unused documents that share a query term with the seed, best BM25 score first."""
-        spans = [slice(self.at[t], self.at[t + 1]) for t in self.query[seed]]
-        scores = np.bincount(
-            np.concatenate([self.docs[s] for s in spans]), np.concatenate([self.weights[s] for s in spans]), len(self.rests))
+        self.rests, self.used = rests, np.zeros(len(rests), bool)
+        n, lengths = len(rests), np.fromiter(map(len, rests), np.int64, len(rests))
+        key = np.concatenate(rests) * np.int64(n) + np.repeat(np.arange(n), lengths)
+        key.sort()
+        first = np.flatnonzero(np.diff(key, prepend=-1))
+        count = np.diff(first, append=len(key))
+        term, self.docs = np.divmod(key[first], n)
+        self.weights = idf[term] * count * (K1 + 1) / (count + K1 * (1 - B + B * lengths[self.docs] / mean_length))
+        self.at = np.searchsorted(term, np.arange(ID_LIMIT + 1))
+        held = np.diff(self.at)
+        often = np.flatnonzero(held * DENSE > n)
+        self.row = np.full(ID_LIMIT, -1)
+        self.row[often] = np.arange(len(often))
+        row = self.row[term]
+        self.dense = np.zeros((len(often), n))
+        self.dense[row[row >= 0], self.docs[row >= 0]] = self.weights[row >= 0]
+
+    def scores(self, seed: int) -> np.ndarray:
+        """BM25 score of every document for the distinct ids of the seed, 0 for used ones."""
+        own = np.unique(self.rests[seed])
+        row = self.row[own]
+        spans = [slice(self.at[t], self.at[t + 1]) for t in own[row < 0].tolist()]
+        scores = np.zeros(len(self.rests))
+        if spans:
+            scores += np.bincount(
+                np.concatenate([self.docs[s] for s in spans]), np.concatenate([self.weights[s] for s in spans]), len(scores))
+        for r in row[row >= 0].tolist():
+            scores += self.dense[r]
         scores[self.used] = 0
+        return scores
+
+    def neighbours(self, seed: int) -> Iterator[int]:
+        """Unused documents that share an id with the seed, best BM25 score first."""
+        scores = self.scores(seed)
+        if len(scores) > FIRST_NEIGHBOURS:  # seldom are more needed: the others are sorted only then
+            bound = np.partition(scores, -FIRST_NEIGHBOURS)[-FIRST_NEIGHBOURS]
+            best = np.flatnonzero((scores >= bound) & (scores > 0))
+            yield from best[np.argsort(-scores[best], kind="stable")].tolist()
+            scores[best] = 0
         found = np.flatnonzero(scores)
-        return found[np.argsort(-scores[found], kind="stable")]
+        yield from found[np.argsort(-scores[found], kind="stable")].tolist()
 
     def windows(self, size: int) -> Iterator[list[tuple[int, int, int]]]:
         """Lists of (document, from, to) that fill a window each; the last may be shorter."""
@@ -266,7 +316,7 @@ class Shard:
             take(seed, at)
             if room:
                 for d in self.neighbours(seed):
-                    take(int(d), 0)
+                    take(d, 0)
                     if not room:
                         break
             while room and next_ < len(self.rests):  # no neighbour is left: go on in order
@@ -334,7 +384,8 @@ def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, end_id: int = EN
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
     docs: doc_id, text; other columns are not looked at. tokenizer: a tokenizers file that every
-    worker can read. A document is its token ids and `end_id`; a null or empty text is `end_id`
+    worker can read; it has to lower letters, part words at white space and have ids below 65,536, which
+    is tested when it is loaded (ValueError). A document is its token ids and `end_id`; a null or empty text is `end_id`
     alone. Every id lies in exactly one piece. Rows with equal or null doc_id are documents of their
     own. Sequences have `window` ids, or a power of two at the end of a shard. sequence_id is even
     for packed rests and odd for whole windows. An empty table gives an empty result.
