@@ -1,8 +1,12 @@
+import random
+import time
 from urllib.robotparser import RobotFileParser
 
 import pytest
+from pyspark.sql import functions as F
 
 from crawlspark.operators import robots
+from crawlspark.session import cut_lineage
 
 FILES = [
     "User-agent: *\nDisallow: /private\nAllow: /",
@@ -43,6 +47,43 @@ def test_rules_match_the_standard_parser(spark):
     assert [(i, FILES[i], u, w) for i, u, w in want if got[f"s{i}", u] != w] == []
 
 
+def test_first_rule_of_many(spark):
+    """Chains of prefixes, repeated and empty prefixes against a plain scan of the rules."""
+    rng = random.Random(5)
+    files, asked, want = [], [], []
+    for i in range(40):
+        word = lambda n: "".join(rng.choice("ab/é") for _ in range(rng.randrange(n)))
+        rules = [(k, rng.random() < 0.5, "/" + word(9) if rng.random() < 0.95 else "") for k in range(rng.choice([0, 1, 2, 7, 60, 300]))]
+        rng.shuffle(rules)
+        files.append((f"s{i}", rules))
+        for target in ["/", "/" + "a" * 50, *["/" + word(14) for _ in range(40)]]:
+            asked.append((f"s{i}", target))
+            want.append(min([(p, a) for p, a, x in rules if target.startswith(x)], default=(0, None))[1])
+    policy = spark.createDataFrame(files, "site string, rules array<struct<rule_pos: bigint, allow: boolean, prefix: string>>")
+    rows = spark.createDataFrame([(k, s, t) for k, (s, t) in enumerate(asked)], "k int, site string, target string")
+    got = rows.join(robots.indexed(policy), "site").select("k", robots.first_rule(F.col("target"), F.col("rules")).alias("a"))
+    assert [r.a for r in got.orderBy("k").collect()] == want
+
+
+def test_ten_thousand_rules(spark):
+    """A file of many rules costs a URL about what a small one does."""
+    def seconds(n):
+        rules = [(k, k % 2 == 0, f"/p{k:05}/") for k in range(n)]
+        policy = spark.createDataFrame([("s", rules)], "site string, rules array<struct<rule_pos: bigint, allow: boolean, prefix: string>>")
+        index = cut_lineage(robots.indexed(policy))
+        target = F.concat(F.lit("/p"), F.lpad((F.col("id") % n).cast("string"), 5, "0"), F.lit("/x"))
+        urls = spark.range(40_000).select(F.lit("s").alias("site"), target.alias("t"))
+        asked = urls.join(F.broadcast(index), "site").select(robots.first_rule(F.col("t"), F.col("rules")).alias("a"))
+        started = time.time()
+        counts = asked.agg(F.count_if("a"), F.count_if(~F.col("a"))).first()
+        return time.time() - started, tuple(counts)
+
+    seconds(10)
+    (few, a), (many, b) = seconds(10), seconds(10_000)
+    assert a == b == (20_000, 20_000)
+    assert many < 10 * few + 3
+
+
 @pytest.mark.parametrize("status,label,allowed", [
     (401, "deny_all", False), (403, "deny_all", False), (404, "allow_all", True), (410, "allow_all", True),
     (500, "unparsed", False), (None, "unreachable", True),
