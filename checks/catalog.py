@@ -260,6 +260,12 @@ def public_ip_join(spark, d):
     return sites.public_ip_join(hosts, derived(spark, d, "host_ips"))
 
 
+@_query
+def public_ip_join_networks(spark, d):
+    hosts = derived(spark, d, "page_ips").select("host").distinct()
+    return sites.public_ip_join(hosts, derived(spark, d, "page_ips"), derived(spark, d, "networks"))
+
+
 @_query
 def link_graph(spark, d):
     pages = _pages(spark, d, True)

@@ -87,6 +87,19 @@ SELECT h.host, CASE WHEN h.k = 0 THEN concat('10.0.0.', CAST(h.k + 1 AS VARCHAR(
 FROM (SELECT host, min(page_id) % 6 AS k FROM pg GROUP BY host) h
 JOIN (VALUES (0),(1)) AS v(n) ON h.k <> 1 AND (v.n = 0 OR h.k = 2)""")
 
+# every page brings a network and an address; networks hold each other, and some are there twice
+_block("networks", (), """
+SELECT concat(CAST(60 + page_id % 8 AS VARCHAR(20)), '.', CAST(page_id % 251 AS VARCHAR(20)), '.',
+              CAST(page_id * 7 % 256 AS VARCHAR(20)), '.', CAST(page_id * 13 % 256 AS VARCHAR(20)), '/',
+              CAST(8 + page_id * 11 % 25 AS VARCHAR(20))) AS network, page_id % 3 <> 1 AS closed
+FROM pages""")
+
+_block("page_ips", ("pg",), """
+SELECT host, concat(CAST(60 + page_id % 9 AS VARCHAR(20)), '.', CAST(page_id % 251 AS VARCHAR(20)), '.',
+                    CAST(page_id * 7 % 256 AS VARCHAR(20)), '.', CAST(page_id * 17 % 256 AS VARCHAR(20))) AS ip
+FROM (SELECT concat(host, CAST(page_id AS VARCHAR(20))) AS host, page_id FROM pg) p
+UNION ALL SELECT concat(host, CAST(page_id AS VARCHAR(20))), CAST(NULL AS VARCHAR(20)) FROM pg WHERE page_id % 17 = 0""")
+
 _block("robots_txt", ("pg",), """
 SELECT site,
        CASE min(page_id) % 10 WHEN 7 THEN 403 WHEN 8 THEN 404 WHEN 9 THEN 500 ELSE 200 END AS status,

@@ -350,6 +350,21 @@ ORACLES["public_ip_join"] = _with(("pg", "host_ips"), """
 SELECT h.host, v.closed IS NOT NULL AS resolved, NOT coalesce(v.closed, true) AS public
 FROM (SELECT DISTINCT host FROM pg) h LEFT JOIN verdicts v USING (host)""", _HOSTS_CLOSED)
 
+_QUADS = "CAST(split_part({0}, '.', 1) AS BIGINT) * 16777216 + CAST(split_part({0}, '.', 2) AS BIGINT) * 65536" \
+    " + CAST(split_part({0}, '.', 3) AS BIGINT) * 256 + CAST(split_part({0}, '.', 4) AS BIGINT)"
+ORACLES["public_ip_join_networks"] = _with(("page_ips", "networks"), f"""
+SELECT a.host, true AS resolved, NOT bool_or(a.ip IS NULL OR coalesce(v.closed, false)) AS public
+FROM page_ips a LEFT JOIN (
+  SELECT ip, arg_max(closed, len) AS closed FROM (
+    SELECT i.ip, n.len, bool_or(n.closed) AS closed
+    FROM (SELECT DISTINCT ip, {_QUADS.format('ip')} AS at FROM page_ips WHERE ip IS NOT NULL) i
+    JOIN (SELECT DISTINCT closed, len, block, CAST({_QUADS.format('base')} AS BIGINT) // block AS first FROM (
+            SELECT closed, split_part(network, '/', 1) AS base, CAST(split_part(network, '/', 2) AS INT) AS len,
+                   CAST(pow(2, 32 - CAST(split_part(network, '/', 2) AS INT)) AS BIGINT) AS block FROM networks) b) n
+      ON i.at // n.block = n.first
+    GROUP BY i.ip, n.len) m GROUP BY ip) v ON v.ip = a.ip
+GROUP BY a.host""")
+
 _HREFS = """
 all_hrefs AS (
   SELECT page_id, url, CAST(i - 1 AS BIGINT) AS link_pos, replace(hrefs[i], '&amp;', '&') AS href

@@ -20,6 +20,7 @@ from ..functions.urls import (
     site_key,
     split_params,
 )
+from .networks import closed_by_networks
 
 
 def host_suffixes(host: Column) -> Column:
@@ -47,18 +48,21 @@ def same_site_join(urls: DataFrame, seeds: DataFrame) -> DataFrame:
     return keyed.join(matches, "_host").select(*urls.columns, "seed_id")
 
 
-def host_verdicts(host_ips: DataFrame) -> DataFrame:
+def host_verdicts(host_ips: DataFrame, networks: DataFrame | None = None) -> DataFrame:
     """host → `closed`: true when any of its addresses is not public. Aggregated per host
-    before any join."""
-    return (
-        host_ips.select("host", closed_address(F.col("ip")).alias("_closed"))
-        .groupBy("host").agg(F.bool_or("_closed").alias("closed"))
-    )
+    before any join. With `networks` (network, closed) that table decides about an address, not
+    the fixed ranges; add fixed_networks() to it to keep those."""
+    if networks is None:
+        judged = host_ips.select("host", closed_address(F.col("ip")).alias("_closed"))
+    else:
+        verdicts = closed_by_networks(host_ips, networks).withColumnsRenamed({"ip": "_ip", "closed": "_closed"})
+        judged = host_ips.select("host", "ip").join(verdicts, F.col("ip").eqNullSafe(F.col("_ip")))
+    return judged.groupBy("host").agg(F.bool_or("_closed").alias("closed"))
 
 
-def public_ip_join(hosts: DataFrame, host_ips: DataFrame) -> DataFrame:
+def public_ip_join(hosts: DataFrame, host_ips: DataFrame, networks: DataFrame | None = None) -> DataFrame:
     """hosts (host) → `resolved`, `public`. Hosts without an address are not public."""
-    return hosts.join(host_verdicts(host_ips), "host", "left").select(
+    return hosts.join(host_verdicts(host_ips, networks), "host", "left").select(
         *hosts.columns,
         F.col("closed").isNotNull().alias("resolved"),
         (~F.coalesce("closed", F.lit(True))).alias("public"),
@@ -87,7 +91,7 @@ def unsafe_url(url: Column) -> Column:
     )
 
 
-def seed_safety(seeds: DataFrame, host_ips: DataFrame) -> DataFrame:
+def seed_safety(seeds: DataFrame, host_ips: DataFrame, networks: DataFrame | None = None) -> DataFrame:
     """seeds (…, url) → normalised url, host, site_key and the first failing safety test.
 
     `reason` is NULL for a safe seed; only safe seeds have `base_url`.
@@ -105,7 +109,7 @@ def seed_safety(seeds: DataFrame, host_ips: DataFrame) -> DataFrame:
         F.when(F.col("closed"), "closed_network"),
     )
     return (
-        checked.join(host_verdicts(host_ips), "host", "left")
+        checked.join(host_verdicts(host_ips, networks), "host", "left")
         .withColumn("reason", reason)
         .select(
             *seeds.columns, "host",
