@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions.urls import host_of, same_site
 from ..session import cut_lineage, measured, rows_for_keys
-
+from .ordering import sums_before
+from .quota import TOP_ROWS
 
 # stands for "no limit" where a number is compared
 NO_LIMIT = (1 << 62)
@@ -23,7 +24,8 @@ def crawl_frontier(seeds: DataFrame, responses: DataFrame, edges: DataFrame) ->
     targets already requested drop out by an anti join. The queue order is the array of link
     positions from the seed (`path`): its natural order within a level is queue order, so the
     first visit is a `min` and no rank is carried. A seed never holds more than `max_pages`
-    answered rows per level, and stops once it has that many. Store `edges` bucketed by `src`
+    answered rows per level, and stops once it has that many. Limits above the rows Spark cuts in
+    each task, and no limit, are counted along a range sort, never in a window over a seed. Store `edges` bucketed by `src`
     when the crawl has many levels: the per-level join then reads them without a shuffle.
     """
     dims = ["seed_id", "host", "max_depth", "left"]
@@ -31,6 +33,7 @@ def crawl_frontier(seeds: DataFrame, responses: DataFrame, edges: DataFrame) ->
         "seed_id", "host", "max_depth", F.coalesce(F.col("max_pages").cast("bigint"), F.lit(NO_LIMIT)).alias("left"), "url",
         F.array(F.lit(0).cast("bigint")).alias("path"))
     by_queue = Window.partitionBy("seed_id").orderBy("path")
+    bound, largest = int(seeds.sparkSession.conf.get(TOP_ROWS)), 0
     answers = responses.select("url", "final_url")
     on_site = same_site(host_of(F.col("dst")), F.col("host"))
     links = edges.select(F.col("src").alias("final_url"), "link_pos", "dst")
@@ -40,28 +43,33 @@ def crawl_frontier(seeds: DataFrame, responses: DataFrame, edges: DataFrame) ->
     depth = 0
     while True:
         candidates = cut_lineage(candidates)
-        n_asked, asked_bytes = measured(candidates, "url")
-        if n_asked == 0:
+        size = candidates.agg(
+            F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length("url")), F.lit(0)).alias("url_bytes"),
+            F.max("left").alias("most"), F.min("left").alias("least")).first()
+        if size.n == 0:
             break
-        most = candidates.agg(F.max("left")).first()[0]
-        known = rows_for_keys(answers, candidates, "url", asked_bytes)
+        largest = max(largest, size.most)
+        known = rows_for_keys(answers, candidates, "url", size.url_bytes)
         level = cut_lineage(candidates.join(known, "url", "left"))
         asked = level.select("seed_id", "url")
         seen = asked if seen is None else seen.unionByName(asked)
-        answered = (
-            level.filter("final_url IS NOT NULL")
-            .withColumn("_rank", F.row_number().over(by_queue))
+        answered = level.filter("final_url IS NOT NULL")
+        left = F.col("left")
+        if size.most <= bound:
             # the literal bound cuts each task's rows of a seed before they are shuffled
-            .filter(F.col("_rank") <= F.lit(most)).filter(F.col("_rank") <= F.col("left"))
-        )
+            answered = answered.withColumn("_rank", F.row_number().over(by_queue)).filter(
+                F.col("_rank") <= F.lit(size.most)).filter(F.col("_rank") <= left)
+            growing = answered.withColumn("left", left - F.count("*").over(Window.partitionBy("seed_id")))
+        elif size.least < NO_LIMIT:
+            answered = sums_before(answered, ["seed_id"], ["path"], F.lit(1)).filter(F.col("before") < left)
+            spent = answered.groupBy("seed_id").agg(F.count("*").alias("_spent"))
+            growing = answered.join(spent, "seed_id").withColumn("left", F.when(left == NO_LIMIT, left).otherwise(left - F.col("_spent")))
+        else:
+            growing = answered
         levels.append(answered.select(
             "seed_id", F.lit(depth).alias("depth"), "path", "url", "final_url"))
-        spent = F.count("*").over(Window.partitionBy("seed_id"))
+        growing = growing.filter((left > 0) & (F.col("max_depth") > depth))
         # a final address may be longer than the asked one, so it is measured by itself
-        growing = (
-            answered.withColumn("left", F.col("left") - spent)
-            .filter((F.col("left") > 0) & (F.col("max_depth") > depth))
-        )
         _, growing_bytes = measured(growing, "final_url")
         found = (
             growing.join(rows_for_keys(links, growing, "final_url", growing_bytes), "final_url")
@@ -77,6 +85,9 @@ def crawl_frontier(seeds: DataFrame, responses: DataFrame, edges: DataFrame) ->
         "seed_id", F.lit(0).alias("depth"), "path", "url", F.col("url").alias("final_url"))
     for part in levels[1:]:
         visited = visited.unionByName(part)
+    if largest > bound:
+        placed = sums_before(visited, ["seed_id"], ["depth", "path"], F.lit(1))
+        return placed.select("seed_id", "depth", (F.col("before") + 1).cast("bigint").alias("pos"), "url", "final_url")
     # at most max_pages rows per seed are left here
     in_order = Window.partitionBy("seed_id").orderBy("depth", "path")
     return visited.select(

@@ -13,6 +13,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
+
 BLOCK_ROWS = 8192
 MAX_BLOCKS = 1024
 
@@ -89,3 +91,25 @@ def first_per_group(df: DataFrame, group: list[str], pos: str, limit: Column | i
         .filter(F.col("rank") <= F.col("_limit"))
         .select(*df.columns, "rank")
     )
+
+
+def sums_before(df: DataFrame, group: list[str], order: list[str], amount: Column) -> DataFrame:
+    """Add `before`: the sum of `amount` over the rows of the group that come before in `order`.
+
+    `order` may be of any sortable types. Rows are sorted by ranges over (group, order), which split a
+    group of any size evenly, and written once, so that their places hold. Totals are taken per group
+    and range, a window runs over those (a row per range at most), and the row-level window inside
+    one range. Rows equal in (group, order) come in any order; the group is not NULL.
+    """
+    keys = [*group, *order]
+    placed = cut_lineage(
+        df.withColumn("_amount", amount.cast("bigint")).repartitionByRange(*keys).sortWithinPartitions(*keys)
+        .withColumn("_id", F.monotonically_increasing_id())
+    ).withColumn("_range", F.expr("shiftright(_id, 33)"))  # the id begins with the number of the partition
+    parts = [*group, "_range"]
+    earlier = (Window.unboundedPreceding, -1)
+    offsets = placed.groupBy(*parts).agg(F.sum("_amount").alias("_sum")).select(
+        *parts, F.coalesce(F.sum("_sum").over(Window.partitionBy(*group).orderBy("_range").rowsBetween(*earlier)), F.lit(0)).alias("_offset"))
+    inside = F.sum("_amount").over(Window.partitionBy(*parts).orderBy("_id").rowsBetween(*earlier))
+    return placed.withColumn("_inside", F.coalesce(inside, F.lit(0))).join(offsets, parts).select(
+        *df.columns, (F.col("_offset") + F.col("_inside")).alias("before"))

@@ -9,9 +9,12 @@ from ..functions.staging import built_once
 from ..functions.text import decode_references, strip
 from ..functions.urls import host_of, same_site, scheme_of
 from ..session import cut_lineage, measured, rows_for_keys
+from .ordering import sums_before
 
 # One document has at most as many locations as an array.
 ARRAY_ITEMS = (1 << 31) - 16
+# documents of one seed that a window takes; the locations of more are summed along a range sort
+WINDOW_DOCUMENTS = 5000
 
 
 def _without_comments(xml: Column) -> Column:
@@ -136,12 +139,16 @@ def sitemap_expand(starts: DataFrame, sitemaps: DataFrame, group: list[str]) ->
             *group, F.col("sitemap_url").alias("url"), F.lit(0).cast("bigint").alias("pos"))
     found = _union(urlsets)
     order = ["level", "path"]
-    before = Window.partitionBy(*group).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    counts = found.select(*group, *order, "max_urls", F.size("locs").alias("_n"))
+    most = counts.groupBy(*group).count().agg(F.max("count")).first()[0] or 0
+    if most <= WINDOW_DOCUMENTS:
+        before = Window.partitionBy(*group).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+        placed = counts.withColumn("before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+    else:
+        placed = sums_before(counts, group, order, F.col("_n"))
     offsets = (
-        found.select(*group, *order, "max_urls", F.size("locs").alias("_n"))
-        .withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
-        .filter(F.col("max_urls").isNull() | (F.col("_before") < F.col("max_urls")))
-        .select(*group, *order, "_before")
+        placed.filter(F.col("max_urls").isNull() | (F.col("before") < F.col("max_urls")))
+        .select(*group, *order, F.col("before").alias("_before"))
     )
     return (
         found.join(offsets, [*group, *order])

@@ -1,5 +1,6 @@
 import datetime as dt
 import random
+import re
 import uuid
 from collections import deque
 
@@ -99,6 +100,43 @@ def test_running_sums_and_caps_match_plain_windows(spark, block):
         (g, p, i + 1) for g in (1, 2) for i, p in enumerate(sorted(p for k, p, _ in data if k == g)[:17])]
 
 
+@pytest.fixture
+def few_rows_a_window(spark):
+    """Limits above 2 count as large."""
+    was = spark.conf.get(quota.TOP_ROWS)
+    spark.conf.set(quota.TOP_ROWS, "2")
+    yield
+    spark.conf.set(quota.TOP_ROWS, was)
+
+
+def test_sums_before_match_plain_windows(spark):
+    rng = random.Random(8)
+    data = [(g, [rng.randrange(5) for _ in range(rng.randrange(4))] + [k], rng.randrange(-3, 9)) for g in (1, 1, 1, 2, 3) for k in range(150)]
+    data = [(g, path + [i], v) for i, (g, path, v) in enumerate(data)]
+    df = spark.createDataFrame(data, "g long, path array<long>, v int")
+    want, total = [], {}
+    for g, path, v in sorted(data):
+        want.append((g, path, v, total.get(g, 0)))
+        total[g] = total.get(g, 0) + v
+    assert rows(ordering.sums_before(df, ["g"], ["path"], F.col("v")), "g", "path") == want
+    assert rows(ordering.sums_before(df.limit(0), ["g"], ["path"], F.lit(1)), "g") == []
+
+
+def test_sums_before_spread_one_group(spark):
+    """Rows of one group lie in many partitions while they are counted, and no window holds the group."""
+    df = spark.range(200_000).select(F.lit(1).alias("g"), F.array(F.col("id") % 977, "id").alias("path"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # these rows are few
+    try:
+        got = ordering.sums_before(df, ["g"], ["path"], F.lit(1))
+        sizes = [r["count"] for r in got.groupBy(F.spark_partition_id()).count().collect()]
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    assert max(sizes) < 120_000 and len(sizes) > 1
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert re.search(r"sum\(_amount#\d+L?\) windowspecdefinition\(g#\d+, _range#\d+", plan)
+    assert got.agg(F.count_distinct("before"), F.min("before"), F.max("before")).first() == (200_000, 0, 199_999)
+
+
 @pytest.mark.parametrize("spread", [1, 1_000_000])
 def test_blocks_follow_the_rows_not_the_positions(spark, spread):
     df = spark.range(20_000).select(F.lit(1).alias("g"), F.when(F.col("id") < 19_000, F.col("id") * spread).otherwise(F.col("id") * 1000 * spread).alias("p"))
@@ -222,6 +260,22 @@ def test_crawl_matches_a_queue(spark):
     assert rows(got, "seed_id", "pos") == want
 
 
+@pytest.mark.parametrize("limits", [(None,), (None, 1, 7, 30), (5, 9)])
+def test_crawl_of_large_limits_matches_a_queue(spark, few_rows_a_window, limits):
+    rng = random.Random(4)
+    names = [f"https://h.be/{i}" for i in range(60)]
+    answers = {u: u for u in names if rng.random() < 0.85}
+    links = {u: [(p, rng.choice(names)) for p in range(rng.randint(0, 6))] for u in names}
+    seeds = [(i, names[i], "h.be", i % 5, limits[i % len(limits)]) for i in range(12)]
+    got = crawl.crawl_frontier(
+        spark.createDataFrame(seeds, "seed_id long, url string, host string, max_depth int, max_pages int"),
+        spark.createDataFrame(list(answers.items()), "url string, final_url string"),
+        spark.createDataFrame([(s, p, d) for s, ls in links.items() for p, d in ls], "src string, link_pos int, dst string"))
+    want = [(s, *r) for s, url, host, depth, pages in seeds
+            for r in walk(url, host, depth, len(names) if pages is None else pages, answers, links)]
+    assert rows(got, "seed_id", "pos") == want
+
+
 def test_crawl_without_seeds(spark):
     got = crawl.crawl_frontier(
         spark.createDataFrame([], "seed_id long, url string, host string, max_depth int, max_pages int"),
@@ -264,7 +318,9 @@ def read_all(start, docs, host, cap):
     return sorted((p, u) for u, p in first.items())
 
 
-def test_expansion_matches_a_queue(spark):
+@pytest.mark.parametrize("in_window", [1, sitemaps.WINDOW_DOCUMENTS])
+def test_expansion_matches_a_queue(spark, monkeypatch, in_window):
+    monkeypatch.setattr(sitemaps, "WINDOW_DOCUMENTS", in_window)
     rng = random.Random(5)
     names = [f"https://h.be/m{i}.xml" for i in range(25)]
     pages = [f"https://h.be/p{i}" for i in range(60)] + ["https://o.be/x", "ftp://h.be/f"]
