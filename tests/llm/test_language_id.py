@@ -1,4 +1,5 @@
 import pytest
+import zstandard
 from pyspark.sql import functions as F
 
 from crawlspark.llm import language_id as lang
@@ -49,3 +50,39 @@ def test_held_out_accuracy(spark, least):
     assert len(rows) > 150
     assert sum(r.lang == r.lang_pred for r in rows) / len(rows) >= least
     assert truth.filter(held_out()).count() == len(rows)
+
+
+def test_against_a_plain_loop(spark):
+    """Every text of the smallest tables: one compressor per language over dictionaries made by hand."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text", "lang")
+    learn = docs.filter("doc_id % 2 = 0")
+    sample = lang.learning_sample(learn)
+    plain = {}
+    for name, texts in sample.items():
+        left, parts = lang.DICTIONARY_BYTES, []
+        texts = sorted((t.lower().encode() for t in sorted(texts, key=len)), key=len)
+        for k, raw in enumerate(texts):
+            parts.append(raw[: left // (len(texts) - k)])
+            left -= len(parts[-1])
+        plain[name] = b"\n".join(parts)
+
+    def size(raw, name):
+        whole = 0
+        for at in range(0, len(raw), lang.BLOCK_BYTES):
+            level = lang.LEVEL if len(raw) > lang.SHORT_BYTES else lang.SHORT_LEVEL
+            with_dictionary = zstandard.ZstdCompressionDict(plain[name], dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+            with_dictionary.precompute_compress(level)
+            whole += len(zstandard.ZstdCompressor(
+                dict_data=with_dictionary, level=level, write_content_size=False, write_checksum=False, write_dict_id=False,
+            ).compress(raw[at: at + lang.BLOCK_BYTES]))
+        return whole
+
+    rows = docs.filter("doc_id < 60").collect()
+    got = {r.doc_id: r for r in lang.identify(docs.filter("doc_id < 60"), learn).collect()}
+    for r in rows:
+        if r.text is None or not any(c.isalpha() for c in r.text):
+            assert got[r.doc_id].lang_pred == "und"
+            continue
+        sizes = {name: size(r.text.lower().encode(), name) for name in plain}
+        assert got[r.doc_id].lang_pred == min(sizes, key=lambda n: (sizes[n], list(sizes).index(n)))
+    assert len(rows) >= 40

@@ -58,3 +58,14 @@ def test_empty_table_and_no_python(spark):
     out = u.judge(df)
     assert out.collect() == []
     assert not re.search("Python|Arrow|Pandas", out._jdf.queryExecution().toString())
+
+
+def test_a_family_left_out_of_the_table_is_still_blocked(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet").select("page_id", "url").cache()
+    right = total = 0
+    for family in ("casino-win", "free-bets", "cheap-pills", "ads-track", "spam-farm", "adult-x"):
+        seen = [(url, y) for url, y in u.LABELLED if family not in url]
+        assert len(seen) < len(u.LABELLED)
+        rows = u.judge(pages.filter(F.col("url").contains(family)), rules=(), labelled=seen).collect()
+        right, total = right + sum(r.verdict == "block" for r in rows), total + len(rows)
+    assert total >= 6 and right >= 0.9 * total, (right, total)
